@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from textforge.llm.byte_bpe import op8_byte_bpe
+from textforge.llm.host_rules import OP10_SQL, op10_host_rules
 from textforge.llm.packing import op4_packing
+from textforge.llm.pii import op7_pii
 from textforge.llm.sharding import op1_sharding
 from textforge.llm.token_store import op5_token_store
+from textforge.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op4_packing": op4_packing,
     "op5_token_store": op5_token_store,
+    "op7_pii": op7_pii,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_toxicity": op9_toxicity,
+    "op10_host_rules": op10_host_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_host_rules": OP10_SQL}
