@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textforge.llm.byte_bpe import op8_byte_bpe
+from textforge.llm.fingerprint import op2_fingerprint
 from textforge.llm.host_rules import OP10_SQL, op10_host_rules
 from textforge.llm.packing import op4_packing
 from textforge.llm.pii import op7_pii
@@ -12,6 +13,7 @@ from textforge.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_fingerprint": op2_fingerprint,
     "op4_packing": op4_packing,
     "op5_token_store": op5_token_store,
     "op7_pii": op7_pii,
