@@ -5,6 +5,7 @@ from __future__ import annotations
 from textforge.llm.byte_bpe import op8_byte_bpe
 from textforge.llm.fingerprint import op2_fingerprint
 from textforge.llm.host_rules import OP10_SQL, op10_host_rules
+from textforge.llm.jaccard_join import op6_jaccard_join
 from textforge.llm.packing import op4_packing
 from textforge.llm.pii import op7_pii
 from textforge.llm.sharding import op1_sharding
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_fingerprint": op2_fingerprint,
     "op4_packing": op4_packing,
     "op5_token_store": op5_token_store,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_pii": op7_pii,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
