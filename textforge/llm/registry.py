@@ -9,12 +9,14 @@ from textforge.llm.jaccard_join import op6_jaccard_join
 from textforge.llm.packing import op4_packing
 from textforge.llm.pii import op7_pii
 from textforge.llm.sharding import op1_sharding
+from textforge.llm.suffix_dedup import op3_suffix_dedup
 from textforge.llm.token_store import op5_token_store
 from textforge.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_fingerprint": op2_fingerprint,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_packing": op4_packing,
     "op5_token_store": op5_token_store,
     "op6_jaccard_join": op6_jaccard_join,
