@@ -107,7 +107,7 @@ def cutting_stock(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds
         inverse = inverse - np.outer(column, row)
         inverse[r] = row
         if turn % 50 == 49:  # rounding errors do not build up
-            inverse = np.linalg.inv(basis)
+            inverse = 2 * inverse - np.einsum("ij,jk->ik", inverse, np.einsum("ij,jk->ik", basis, inverse))
             use = np.maximum(0, inverse @ counts)
     return [(basis[:, j].astype(np.int64), float(use[j])) for j in range(m) if use[j] > 1e-9]
 

@@ -20,7 +20,7 @@ from textforge.llm import common
 
 #: Bounds of what is learnt from: rows of either set, words of the model.
 SAMPLE, FEATURES = 6000, 512
-LIMIT, MODELS, EPOCHS = 0.7, 3, 300
+LIMIT, MODELS, EPOCHS = 0.7, 3, 400
 #: Letters to lower case; what is neither an ASCII letter nor part of a longer UTF-8 character to a space.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -29,22 +29,33 @@ def words_of(text: bytes | None) -> set[bytes]:
     return set((text or b"").translate(_LETTERS).split())
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int, epochs: int = EPOCHS, rate: float = 0.05, decay: float = 2e-4) -> np.ndarray:
+class Rows:
+    """Word numbers of rows, as a sparse 0/1 matrix."""
+
+    def __init__(self, rows: list[list[int]], features: int):
+        self.n, self.features = len(rows), features
+        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.column = np.array([c for r in rows for c in r], dtype=np.int64)
+
+    def score(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=weights[self.column], minlength=self.n) + weights[-1]
+
+    def gradient(self, per_row: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.column, weights=per_row[self.row], minlength=self.features), per_row.sum()) / max(1, self.n)
+
+
+def nnpu(positive: Rows, unlabelled: Rows, prior: float, seed: int, epochs: int = EPOCHS, rate: float = 0.05, decay: float = 2e-5) -> np.ndarray:
     """Weights (the last is the bias) of a logistic model by the non-negative risk estimator and Adam."""
     rng = np.random.default_rng(seed)
-    weights = np.append(rng.normal(0, 0.01, positive.shape[1]), np.log(prior / (1 - prior)))
+    weights = np.append(rng.normal(0, 0.01, positive.features), np.log(prior / (1 - prior)))
     first, second = np.zeros_like(weights), np.zeros_like(weights)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    mean = lambda rows, g: np.append(g @ rows, g.sum()) / max(1, len(rows))
     for turn in range(1, epochs + 1):
-        zp, zu = positive @ weights[:-1] + weights[-1], unlabelled @ weights[:-1] + weights[-1]
-        sp, su = sigmoid(zp), sigmoid(zu)
+        zp, zu = positive.score(weights), unlabelled.score(weights)
+        sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
         clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        as_clean = mean(unlabelled, su) - prior * mean(positive, sp)
-        if clean >= 0:
-            gradient = prior * mean(positive, sp - 1) + as_clean
-        else:
-            gradient = -as_clean  # step back from the fitted unlabelled set
+        as_clean = unlabelled.gradient(su) - prior * positive.gradient(sp)
+        # below zero, a step back from the fitted unlabelled set
+        gradient = prior * positive.gradient(sp - 1) + as_clean if clean >= 0 else -as_clean
         gradient[:-1] += decay * weights[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
@@ -96,11 +107,8 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int =
     place = {w: i for i, w in enumerate(words)}
     wanted = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<binary>")
     held = table.select("positive", F.array_intersect("words", wanted).alias("words")).collect()  # about 2 * sample rows of at most `features` words
-    matrix = np.zeros((len(held), len(words)), dtype=np.float32)
-    for i, r in enumerate(held):
-        matrix[i, [place[bytes(w)] for w in r[1]]] = 1
-    is_p = np.array([r[0] == 1 for r in held])
-    return ToxicityModel(words, np.stack([nnpu(matrix[is_p], matrix[~is_p], prior, seed) for seed in range(MODELS)]))
+    sets = [Rows([[place[bytes(w)] for w in r[1]] for r in held if r[0] == k], len(words)) for k in (1, 0)]
+    return ToxicityModel(words, np.stack([nnpu(*sets, prior, seed) for seed in range(MODELS)]))
 
 
 def _some(rows: DataFrame, n: int, sample: int) -> DataFrame:
