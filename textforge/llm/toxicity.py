@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from textforge.llm import common
 
-#: Bounds of what is learnt from: rows of either set, words of the model.
-SAMPLE, FEATURES = 6000, 512
+#: Bounds of what is learnt from: rows of either set, words of the model, and how many standard errors a word's share must differ.
+SAMPLE, FEATURES, LEAST_Z = 6000, 512, 4.5
 LIMIT, MODELS, EPOCHS = 0.7, 3, 400
 #: Letters to lower case; what is neither an ASCII letter nor part of a longer UTF-8 character to a space.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -103,7 +103,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int =
     share_p, share_u = F.col("p") / n_p, (F.col("all") - F.col("p")) / n_u
     pooled = F.col("all") / (n_p + n_u)
     z = (share_p - share_u) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-9)
-    words = [bytes(r[0]) for r in counts.where("all >= 5").select("word", F.abs(z).alias("z")).orderBy(F.desc("z"), "word").limit(features).collect()]
+    words = [bytes(r[0]) for r in counts.where("all >= 5").select("word", F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(features).collect()]
     place = {w: i for i, w in enumerate(words)}
     wanted = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<binary>")
     held = table.select("positive", F.array_intersect("words", wanted).alias("words")).collect()  # about 2 * sample rows of at most `features` words
