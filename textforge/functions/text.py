@@ -81,9 +81,7 @@ def token_set(c: Column, least: int = 3, stop: Sequence[str] = TOKEN_STOP) -> Co
 def company_key(c: Column, endings: Sequence[str] = COMPANY_ENDINGS) -> Column:
     """Lower-case name without its endings: each is taken off at most once, in the order of the list."""
     name = F.trim(F.lower(F.coalesce(c, F.lit(""))))
-    for e in endings:
-        name = F.when(F.endswith(name, F.lit(e)), F.trim(F.substring(name, F.lit(1), F.length(name) - len(e)))).otherwise(name)
-    return name
+    return reduce(lambda x, e: F.trim(F.regexp_replace(x, re.escape(e) + "$", "")), endings, name)
 
 
 # Three ways of matching; they differ on purpose.

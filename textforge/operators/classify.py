@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from textforge.functions import text as T
 from textforge.rulepack import RulePack
@@ -90,9 +91,10 @@ VOTES = {
 
 
 def language(text: Column) -> Column:
-    """The language with most function words among the text's distinct tokens; ties go by order of VOTES, no vote is 'unknown'."""
+    """The language with most function words among the text's tokens; ties go by order of VOTES, no vote is 'unknown'."""
     tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
-    votes = F.array(*[F.struct(F.size(F.filter(tokens, lambda t, w=words: t.isin(w))).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, words) in enumerate(VOTES.items())])
+    count = lambda words: F.size(F.filter(tokens, lambda t: t.isin(words)))
+    votes = F.array(*[F.struct(count(words).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, words) in enumerate(VOTES.items())])
     best = F.array_max(votes)
     return F.when(best["n"] > 0, best["code"]).otherwise("unknown")
 
@@ -116,7 +118,7 @@ def years_in(text: str) -> int | None:
     return best
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def years_required(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield part.map(lambda t: years_in(t) if t else None).astype("Int32")
@@ -147,7 +149,7 @@ def language_clauses(text: str) -> tuple[list[str], list[str], list[str]]:
     return sorted(required), sorted(optional - required), evidence[:5]
 
 
-@F.pandas_udf("required string, optional string, evidence string")
+@F.pandas_udf(StructType([StructField(k, StringType()) for k in ("required", "optional", "evidence")]))
 def clause_languages(texts: pd.Series) -> pd.DataFrame:
     rows = [language_clauses(t) for t in texts]
     return pd.DataFrame([("|".join(a), "|".join(b), " | ".join(c)) for a, b, c in rows], columns=["required", "optional", "evidence"])

@@ -356,7 +356,7 @@ def q_candidate_lookup(spark, sf):
     return state.first_valid(p, "page_id", urls, p.select("url", F.col("html").alias("text"))).select("page_id", "url", F.length("text").cast("long").alias("n"))
 
 
-@query(f"WITH t AS (SELECT doc_id, {O.token_set('substring(text, 1, 400)')} AS ts FROM documents WHERE lang = 'de'), e AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS tok FROM t), p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both FROM e a JOIN e b ON a.tok = b.tok AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id) SELECT a, b, both FROM p WHERE 10 * both >= 6 * (na + nb - both)")
+@query(f"WITH t AS (SELECT doc_id, {O.token_set('substring(text, 1, 400)')} AS ts FROM documents WHERE lang = 'de'), e AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS tok FROM t), p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n_both FROM e a JOIN e b ON a.tok = b.tok AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id) SELECT a, b, n_both FROM p WHERE 10 * n_both >= 6 * (na + nb - n_both)")
 def q_token_jaccard_pairs(spark, sf):
     return extract.token_pairs(docs(spark, sf).where("lang = 'de'").withColumn("text", F.substring("text", 1, 400)), 6, 10)
 
