@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textforge.llm import common, jaccard_join, packing, pii, suffix_dedup, toxicity
 
@@ -44,7 +45,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return joined.where(F.col("cut").isNull() | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType(), useArrow=True)
 def decoded(kept: bytes | None) -> str | None:
     return None if kept is None else kept.decode("utf-8", "ignore")
 
