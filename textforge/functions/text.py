@@ -12,10 +12,18 @@ from pyspark.sql import functions as F
 
 #: Entities that html_to_plain() decodes, `&amp;` last. Fixed values.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
-#: Legal forms and trade words at the end of company names, each taken off once, in this order.
-COMPANY_ENDINGS = (" inc", " ltd", " llc", " gmbh", " sa", " nv", " bv", " ag", " group", " consulting", " services")
-#: Words that token_set() leaves out.
-TOKEN_STOP = ("the", "and", "for", "with", "des", "les", "der", "die", "das", "von", "und")
+#: Legal forms and trade words at the end of company names, each taken off once, in this order. Fixed values.
+COMPANY_ENDINGS = (
+    " gmbh", " ggmbh", " ag", " se", " kg", " ohg", " inc", " corp",
+    " ltd", " llc", " plc", " bv", " nv", " sas", " sa", " spa",
+    " sl", " oy", " ab", " as", " a/s", " limited", " group",
+    " recruitment", " consulting", " conseil", " recrutement",
+    " and consulting", " and cons", " solutions",
+)
+#: Marks such as (m/f/x). Fixed value.
+GENDER_MARK = r"\(m[fwhx]/?f?/?x?\)|\([a-z](/[a-z])+\)"
+#: Words that token_set() leaves out. Fixed values.
+TOKEN_STOP = ("and", "the", "for", "with", "des", "les", "une", "dans", "sur", "job", "jobs")
 
 
 def blank_null(c: Column) -> Column:
@@ -49,7 +57,7 @@ def simple_key(c: Column) -> Column:
 
 def strip_noise(c: Column, tokens: Iterable[str]) -> Column:
     """Lower case without bracketed (m/f/x) marks and without the tokens, which are removed as substrings."""
-    bare = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\([a-z](/[a-z])+\)", " ")
+    bare = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), GENDER_MARK, " ")
     return collapse(reduce(lambda x, t: F.replace(x, F.lit(t), F.lit(" ")), tokens, bare))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textforge.functions import text as T
 
 #: Words without weight in a canonical key. Fixed values.
-NOISE = ("stage", "cdi", "cdd", "junior", "(h/f)", "h/f")
+NOISE = ("m/f/x", "m/f", "m w d", "junior", "senior", "medior")
 
 
 def keep_first(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column | str]) -> DataFrame:
@@ -37,9 +37,9 @@ def by_url(df: DataFrame) -> DataFrame:
 
 
 def canonical_key(df: DataFrame) -> Column:
-    """Company, title and place in simple form without noise words; without a place, title and company."""
-    company, title, place = (T.simple_key(T.strip_noise(F.col(c), NOISE)) for c in ("company", "title", "location"))
-    return F.when(place != "", F.concat_ws("|", company, title, place)).otherwise(F.concat_ws("|", title, company))
+    """Company, title and place in simple form without noise words; where nothing is left, title and company as they are."""
+    whole = T.simple_key(F.concat_ws(" ", *[T.strip_noise(F.col(c), NOISE) for c in ("company", "title", "location")]))
+    return F.when(whole != "", whole).otherwise(T.simple_key(F.concat_ws(" ", "title", "company")))
 
 
 def by_canonical_key(df: DataFrame) -> DataFrame:

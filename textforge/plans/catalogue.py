@@ -78,6 +78,8 @@ def q_substring_score(spark, sf):
     return docs(spark, sf).select("doc_id", T.normalise(F.col("text")).alias("n")).select("doc_id", scoring.junior(F.col("n"), FIXTURE).cast("int").alias("score"))
 
 
+#: The fixed markers, and two that occur in the invented pages.
+MARKERS = (*extract.NOT_FOUND, "thand the", "en la de")
 LADDER = (r"password=\w+", r"token = ", r"[0-9]{12,}", r"\bnicht\b", r"^the ")
 
 
@@ -138,9 +140,9 @@ def q_looks_like_html(spark, sf):
     return a.unionAll(docs(spark, sf).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), T.looks_like_html(F.col("text")).alias("html")))
 
 
-@query(f"SELECT page_id, {O.contains_any(O.norm('html'), extract.NOT_FOUND)} AS not_found FROM pages")
+@query(f"SELECT page_id, {O.contains_any(O.norm('html'), MARKERS)} AS not_found FROM pages")
 def q_not_found_marker(spark, sf):
-    return read_table(spark, sf, "pages").select("page_id", extract.is_not_found(F.col("html")).alias("not_found"))
+    return read_table(spark, sf, "pages").select("page_id", extract.is_not_found(F.col("html"), MARKERS).alias("not_found"))
 
 
 @query("SELECT page_id, pos::INT AS pos, href, label FROM (SELECT page_id, generate_subscripts(m, 1) - 1 AS pos, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">[^<]*</a></li>', 1)) AS href, unnest(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1)) AS label FROM (SELECT page_id, html, regexp_extract_all(html, '<li><a href=\"([^\"]*)\">[^<]*</a></li>') AS m FROM pages))")
@@ -296,7 +298,7 @@ def q_choose_best(spark, sf):
     return dedup.by_url(postings(spark, sf)).select("row_id", "url", "created")
 
 
-KEY = f"{O.simple(O.no_noise('company'))} || '|' || {O.simple(O.no_noise('title'))} || '|' || {O.simple(O.no_noise('location'))}"
+KEY = O.simple(f"{O.no_noise('company')} || ' ' || {O.no_noise('title')} || ' ' || {O.no_noise('location')}")
 
 
 @query(f"WITH {O.POSTING} SELECT row_id, {KEY} AS key FROM posting QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY {BEST}) = 1")

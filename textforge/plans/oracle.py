@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from textforge.functions.text import COMPANY_ENDINGS, ENTITIES, TOKEN_STOP
+from textforge.functions.text import COMPANY_ENDINGS, ENTITIES, GENDER_MARK, TOKEN_STOP
 from textforge.operators.dedup import NOISE
 from textforge.operators.queue import CLOSED, OUTCOME
 from textforge.rulepack import FIXTURE, RulePack
@@ -76,7 +76,7 @@ def simple(x: str) -> str:
 
 
 def no_noise(x: str) -> str:
-    out = f"regexp_replace(lower(coalesce({x}, '')), '\\([a-z](/[a-z])+\\)', ' ', 'g')"
+    out = f"regexp_replace(lower(coalesce({x}, '')), '{GENDER_MARK}', ' ', 'g')"
     for t in NOISE:
         out = f"replace({out}, {q(t)}, ' ')"
     return flat(out)
