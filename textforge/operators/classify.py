@@ -14,12 +14,22 @@ from textforge.functions import text as T
 from textforge.rulepack import RulePack
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are evaluated once for each row.
+
+    As a plain projection Catalyst would copy each expression into every later use of it; a generator of one row
+    is a boundary that it leaves in place, while unused columns are still pruned.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def features(df: DataFrame) -> DataFrame:
     """Normalised columns that every rule uses, made once: title_n, desc_n, text_n, loc_n and the plain description."""
-    plain = F.when(T.looks_like_html(F.coalesce("description", F.lit(""))), T.html_to_plain(F.col("description"))).otherwise(T.collapse(F.coalesce("description", F.lit(""))))
-    out = df.withColumn("plain", plain)
-    out = out.withColumns({"title_n": T.normalise(F.col("title")), "desc_n": T.normalise(F.col("plain")), "loc_n": T.normalise(F.col("location"))})
-    return out.withColumn("text_n", F.concat_ws(" ", T.blank_null(F.col("title_n")), T.blank_null(F.col("desc_n"))))
+    given = F.coalesce("description", F.lit(""))
+    out = computed(df, {"plain": F.when(T.looks_like_html(given), T.html_to_plain(given)).otherwise(T.collapse(given))})
+    out = computed(out, {"title_n": T.normalise(F.col("title")), "desc_n": T.normalise(F.col("plain")), "loc_n": T.normalise(F.col("location"))})
+    return computed(out, {"text_n": F.concat_ws(" ", T.blank_null(F.col("title_n")), T.blank_null(F.col("desc_n")))})
 
 
 def work_mode(text: Column, pack: RulePack) -> Column:

@@ -46,11 +46,11 @@ def scored(df: DataFrame, pack: RulePack) -> DataFrame:
     text = F.col("text_n")
     label, confidence = C.language_requirement(text, pack)
     name, signals = C.track(F.col("title_n"), pack)
-    df = df.withColumns({
+    df = C.computed(df, {
         "work_mode": C.work_mode(text, pack), "experience_level": C.experience_level(text, pack), "language_label": label,
         "language_confidence": confidence, "track": name, "track_signals": signals,
     })
-    df = df.withColumns({
+    df = C.computed(df, {
         "junior_score": junior(text, pack), "hiring_score": hiring(text, F.col("experience_level"), F.col("language_label"), pack),
         "language_fit": language_fit(text, F.col("language_label")), "sponsorship_score": sponsorship(text, pack), "company_signal": company_signal(F.col("company"), pack),
     })
