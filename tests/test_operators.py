@@ -162,3 +162,34 @@ def test_streaming_alerts(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(out).select("user_id").collect()) == [0, 1, 2]
     run_alerts(spark, str(tmp_path / "in"), "event_id long, user_id long", state_path, out, str(tmp_path / "cp"), key="user_id")
     assert spark.read.parquet(out).count() == 3
+
+
+def test_repair(spark):
+    broken = "caf\u00c3\u00a9 d\u00e2\u0080\u0099or " + "é".encode().decode("cp1252").encode().decode("cp1252")
+    assert one(spark, broken, T.repair) == "café d'or é"
+    assert one(spark, "déjà vu", T.repair) == "déjà vu" and one(spark, None, T.repair) == ""
+
+
+def test_role_in_context(spark):
+    far = "x" * 400
+    rows = spark.createDataFrame([(1, "sales lead", ""), (2, "engineer", f"sales work {far}"), (3, "engineer", f"{far} sales"), (4, "engineer", f"{far} your role: sales"), (5, "engineer", "you work with sales daily"), (6, "", "")], "i int, t string, d string")
+    out = rows.select("i", classify.role_forbidden_reason(F.col("t"), F.col("d"), ("sales",), (r"work with",), (r"your role",)).alias("r")).collect()
+    assert {r["i"]: r["r"] for r in out} == {1: "sales", 2: "sales", 3: "", 4: "sales", 5: "", 6: ""}
+
+
+def test_listing_formats(spark):
+    card = '<div class="card card-job featured"><h3> <a href="/offre-emploi-maroc/a-1" title="Turner &amp; Miller">x</a></h3><a class="card-job-company company-name">Acme</a><div class="card-job-description"> <p>Turn <b>things</b></p></div><ul><li>Région de : <strong>Fès</strong></li><li>Contrat proposé : <strong>CDI</strong></li></ul><div><time datetime="2024-01-02">02.01</time></div></div>'
+    r = extract.cards(spark.createDataFrame([("p", card + card.replace("h3", "h4"))], "url string, html string"), "https://x.example", "a", "t").collect()
+    assert len(r) == 1 and (r[0]["title"], r[0]["company"], r[0]["location"], r[0]["description"], r[0]["url"], r[0]["contract_type"], r[0]["experience_hint"]) == ("Turner & Miller", "Acme", "Fès", "Turn things", "https://x.example/offre-emploi-maroc/a-1", "CDI", "")
+    item = '<li class="post-id" id="7"><a class="titreJob" href="/o/7.html">Baker | Town</a><img class="photo" alt="Acme"><div class="info"><span>Bake bread</span></div><em class="date"><span>05/03/2024</span></em><div class="info">Rabat - Maroc Expérience requise : 2 ans Type de contrat proposé : CDI</div></li><a class="next" href="?p=2">'
+    pages = spark.createDataFrame([("p", item)], "url string, html string")
+    r = extract.items(pages, "https://y.example", "b", "t").first()
+    assert (r["title"], r["company"], r["description"], r["created"], r["location"], r["experience_hint"], r["url"]) == ("Baker | Town", "Acme", "Bake bread", "2024-03-05", "Rabat - Maroc", "2 ans", "https://y.example/o/7.html")
+    assert pages.select(extract.next_url(F.col("html"))).first()[0] == "?p=2"
+
+
+def test_canonical_columns(spark):
+    df = spark.createDataFrame([("t", "Acme", None, "snip", "l")], "title string, `company.display_name` string, description string, snippet string, link string")
+    r = tables.canonical(df).first()
+    assert (r["company"], r["description"], r["url"], r["location"], r["salary_min"]) == ("Acme", "snip", "l", "", None)
+    assert tables.output_name("be", "raw", "one") == "one_raw" and tables.output_name("ch", "queue") == "ch_queue"

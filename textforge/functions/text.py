@@ -61,6 +61,22 @@ def strip_noise(c: Column, tokens: Iterable[str]) -> Column:
     return collapse(reduce(lambda x, t: F.replace(x, F.lit(t), F.lit(" ")), tokens, bare))
 
 
+#: Letters and marks that feeds break most. Fixed values.
+BROKEN_LETTERS = "éèêëàâçùûôîï"
+BROKEN_MARKS = (("\u2019", "'"), ("\u2013", "-"), ("\u2014", "-"), ("\u201c", '"'), ("\u201d", '"'))
+
+
+def repair(c: Column) -> Column:
+    """Undoes UTF-8 that was read as Latin-1 or Windows-1252, once or twice, for the usual letters and marks."""
+    pairs: list[tuple[str, str]] = []
+    for good, plain in [*((x, x) for x in BROKEN_LETTERS), *BROKEN_MARKS]:
+        once = good.encode().decode("latin-1")
+        windows = good.encode().decode("cp1252", "ignore")
+        pairs += [(windows.encode().decode("cp1252", "ignore"), plain), (once.encode().decode("latin-1"), plain), (once, plain), (windows, plain)]
+    longest = sorted(dict(pairs).items(), key=lambda p: -len(p[0]))
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), longest, F.coalesce(c, F.lit("")))
+
+
 def decode_entities(c: Column) -> Column:
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
 

@@ -163,3 +163,30 @@ def language_clauses(text: str) -> tuple[list[str], list[str], list[str]]:
 def clause_languages(texts: pd.Series) -> pd.DataFrame:
     rows = [language_clauses(t) for t in texts]
     return pd.DataFrame([("|".join(a), "|".join(b), " | ".join(c)) for a, b, c in rows], columns=["required", "optional", "evidence"])
+
+
+def named_in_role(text: str, word: str, stakeholders: list[re.Pattern], sections: list[re.Pattern], early: int = 360) -> bool:
+    """Whether a word names the role itself: early in the text or after a section cue, and not among the people worked with."""
+    for m in re.finditer(r"(?<![a-z0-9])" + re.escape(word).replace(r"\ ", r"\s+") + r"(?![a-z0-9])", text):
+        around = text[max(0, m.start() - 90) : m.end() + 120]
+        if any(p.search(around) for p in stakeholders):
+            continue
+        if m.start() <= early or any(p.search(text[max(0, m.start() - 160) : m.start()]) for p in sections):
+            return True
+    return False
+
+
+def role_forbidden_reason(title: Column, text: Column, words: tuple[str, ...], stakeholders: tuple[str, ...], sections: tuple[str, ...]) -> Column:
+    """The first forbidden word in list order that the title has or the description names as the role; empty without one.
+
+    The words are tested in the JVM first, so Python sees the text of rows with a candidate only.
+    """
+    around, cues = [re.compile(p) for p in stakeholders], [re.compile(p) for p in sections]
+
+    @F.pandas_udf(StringType())
+    def reason(titles: pd.Series, texts: pd.Series) -> pd.Series:
+        whole = lambda t, w: re.search(r"(?<![a-z0-9])" + re.escape(w).replace(r"\ ", r"\s+") + r"(?![a-z0-9])", t)
+        return pd.Series([next((w for w in words if whole(a, w) or b and named_in_role(b, w, around, cues)), "") for a, b in zip(titles, texts, strict=True)], dtype="object")
+
+    both = F.concat_ws(" ", title, text)
+    return reason(title, F.when(T.contains_any(both, words), text).otherwise(F.lit("")))

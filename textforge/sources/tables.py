@@ -32,6 +32,27 @@ def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Where each canonical column comes from, first non-blank one first. Fixed values.
+ALIASES = {"company": ("company", "company.display_name"), "location": ("location.display_name", "location"), "created": ("created", "updated"), "url": ("redirect_url", "url", "link"), "description": ("description", "snippet")}
+
+
+def canonical(df: DataFrame) -> DataFrame:
+    """A source's flat columns as the canonical ones: texts never null, salaries as they are."""
+
+    def text(name: str):
+        found = [blank_null(F.col(f"`{c}`").cast("string")) for c in ALIASES.get(name, (name,)) if c in df.columns]
+        return F.coalesce(*found, F.lit("")).alias(name)
+
+    number = lambda n: (F.col(n).cast("double") if n in df.columns else F.lit(None).cast("double")).alias(n)
+    names = ("title", "company", "location", "created", "url")
+    return df.select(*map(text, names), number("salary_min"), number("salary_max"), text("description"), text("search_term"))
+
+
+def output_name(market: str, stage: str, source: str = "", default_market: str = "be") -> str:
+    """The logical name of a table: market (but for the default one), source and stage."""
+    return "_".join(x for x in ("" if market == default_market else market, source, stage) if x)
+
+
 def unify(sources: dict[str, DataFrame], default_term: str = "") -> DataFrame:
     """Union of the sources in the order given: `source` and `source_rank` are set, missing columns null, a blank term the default."""
 
