@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_words() -> None:
+    """In a Python worker that Spark uses again: drops the words an encoder of an earlier stage has learnt."""
+    for module, name in (("textforge.llm.word_ids", "encoder"), ("textforge.llm.byte_bpe", "codec")):
+        if module in sys.modules:
+            getattr(sys.modules[module], name).cache_clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

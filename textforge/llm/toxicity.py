@@ -76,6 +76,7 @@ class ToxicityModel:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.forget_words()
     for batch in batches:
         words = [sorted(words_of(x.as_py())) for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.binary()))], names=["positive", "words"])
