@@ -363,6 +363,12 @@ def q_token_jaccard_pairs(spark, sf):
     return extract.token_pairs(docs(spark, sf).where("lang = 'de'").withColumn("text", F.substring("text", 1, 400)), 6, 10)
 
 
+@query()
+def q_token_jaccard_all(spark, sf):
+    """The pairs of all documents by their whole texts; q_token_jaccard_pairs is the slice that its SQL names."""
+    return extract.token_pairs(docs(spark, sf), 6, 10)
+
+
 # Tracker, feedback, queue, alerts
 
 
