@@ -267,6 +267,29 @@ def test_pseudonyms():
     assert pii.pseudonymise("clean words only.") == ("clean words only.", [])
 
 
+VALUES = {
+    "secret": "token=0123abcd0123abcd", "email": "ann.b@mail.example.com", "iban": "BE68 5390 0754 7034", "ip": "190.137.223.204", "date": "2020-01-02",
+    "card": "4111 1111 1111 1111", "phone": "+1 (826) 555-4081", "ssn": "123-45-6789",
+}
+
+
+@pytest.mark.parametrize("one", VALUES)
+@pytest.mark.parametrize("two", VALUES)
+def test_neighbouring_values(one, two):
+    alone = [pii.pseudonymise(VALUES[k])[0] for k in (one, two)]
+    out, found = pii.pseudonymise(f"{VALUES[one]} {VALUES[two]}")
+    assert [k for k, _, _ in found] == [one, two] and out == " ".join(alone)
+
+
+def test_values_beside_numbers():
+    phone, french, card = (pii.pseudonymise(x)[0] for x in ("+1 (826) 555-4081", "+33 6 12 34 56 78", VALUES["card"]))
+    assert pii.pseudonymise("+1 (826) 555-4081 12 apples")[0] == f"{phone} 12 apples"
+    assert pii.pseudonymise("+33 6 12 34 56 78 2020-01-02")[0] == f"{french} {pii.pseudonymise('2020-01-02')[0]}"
+    assert pii.pseudonymise("+33 6 12 34 56 78 12 apples")[0] == f"{french} 12 apples"
+    assert re.sub(r"\D", "", pii.pseudonymise("+33 (0)612345678")[0]).replace("330", "33", 1) == re.sub(r"\D", "", french)
+    assert pii.pseudonymise("2020 4111 1111 1111 1111")[0] == f"2020 {card}"
+
+
 def test_pii_query(spark, sf, texts):
     for r in registry.QUERIES["op7_pii"](spark, sf).collect():
         text, found = pii.pseudonymise(texts[r["doc_id"]])

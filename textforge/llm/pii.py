@@ -72,13 +72,13 @@ def _card(m: re.Match, key: bytes) -> str | None:
 
 
 def _number(kind: bytes) -> Callable[[re.Match, bytes], str | None]:
-    """Digits without a check of their own; a leading country code stays."""
+    """Digits without a check of their own; a leading country code stays, and a (0) behind it."""
 
     def run(m: re.Match, key: bytes) -> str | None:
         head = m.groupdict().get("head") or ""
         rest = m[0][len(head) :]
         digits = re.sub(r"\D", "", rest)
-        new = f"{permute(int(digits), 10 ** len(digits), key, kind + b'%d' % len(digits) + re.sub(r'\D', '', head).encode()):0{len(digits)}d}"
+        new = f"{permute(int(digits), 10 ** len(digits), key, kind + b'%d' % len(digits) + re.sub(r'\(0\)|\D', '', head).encode()):0{len(digits)}d}"
         return head + _laid_out(new, rest)
 
     return run
@@ -154,20 +154,38 @@ def _secret(m: re.Match, key: bytes) -> str | None:
     return m[0][: m.start("value") - m.start()] + new + m[0][m.end("value") - m.start() :]
 
 
-#: In this order; what one rule has replaced, the next do not touch.
+#: Digits behind the country code, for codes with one length; numbers of other codes end where their groups do. Fixed values.
+NATIONAL = {10: "1|7|44|91", 9: "31|33|34|41|48|212|351", 8: "45|47"}
+_NO_CODE = "".join(rf"(?<!\+{'[0-9]' * n}[ .\-])" for n in (1, 2, 3))
+#: In this order; each rule searches the gaps between the values that those before it have found.
 RULES: list[tuple[str, re.Pattern, Callable[[re.Match, bytes], str | None]]] = [
     ("secret", re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_\-]{6,})"), _secret),
     ("email", re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}"), _email),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"), _ip),
     ("date", re.compile(r"(?<![\d/.\-])(?:(?P<ymd>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})|(?P<dmy>\d{2}\.\d{2}\.\d{4})|(?P<mdy>\d{2}/\d{2}/\d{4}))(?![\d/\-]|\.\d)"), _date),
+    *(("phone", re.compile(rf"(?P<head>\+(?:{codes})[ .\-]?(?:\(0\)[ .\-]?)?)\(?\d(?:[ .\-()]{{0,2}}\d){{{n - 1}}}(?!\d)"), _number(b"phone")) for n, codes in NATIONAL.items()),
+    ("ssn", re.compile(rf"(?<![\d\-]){_NO_CODE}\d{{3}}-\d{{2}}-\d{{4}}(?![\d\-])"), _number(b"ssn")),
+    ("phone", re.compile(rf"(?<![\d.\-+(]){_NO_CODE}\(?\d{{3}}\)?[ .\-]\d{{3}}[ .\-]\d{{4}}(?!\d)"), _number(b"phone")),
     ("card", re.compile(r"(?<!\d)(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}([ \-])\d{6}\2\d{5}|\d{13,19})(?!\d)"), _card),
-    ("phone", re.compile(r"(?P<head>\+\d{1,3}[ .\-]?)\(?\d{1,4}\)?(?:[ .\-]?\d{2,5}){1,5}(?!\d)|(?<![\d.\-+(])\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?!\d)"), _number(b"phone")),
-    ("ssn", re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"), _number(b"ssn")),
+    ("phone", re.compile(r"(?P<head>\+\d{1,3}[ .\-]?)\(?\d{1,4}\)?(?:[ .\-]?\d{2,5}){1,5}(?!\d)"), _number(b"phone")),
 ]
 _DIGIT = re.compile("[0-9]")
 
 
+def _values(text: str, low: int, high: int, pattern: re.Pattern, change: Callable[[re.Match, bytes], str | None], key: bytes) -> Iterator[tuple[re.Match, str]]:
+    """Matches in text[low:high] that pass their check, with the new text; one that fails may hold another at its start or inside."""
+    while m := pattern.search(text, low, high):
+        low = m.start() + 1
+        ends = [m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")]
+        for end in ends:
+            part = m if end == m.end() else pattern.match(text, m.start(), end)
+            if part and part.end() == end and (new := change(part, key)) is not None:
+                yield part, new
+                low = end
+                break
+
+
 def pseudonymise(text: str, key: bytes = DEMO_KEY) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each value found in the text as given."""
     numbers = _DIGIT.search(text) is not None
@@ -176,12 +194,9 @@ def pseudonymise(text: str, key: bytes = DEMO_KEY) -> tuple[str, list[tuple[str,
     for kind, pattern, change in RULES:
         if not may.get(kind, numbers):
             continue
-        for m in pattern.finditer(text):
-            if any(m.start() < e and s < m.end() for s, e, _, _ in found):
-                continue
-            if (new := change(m, key)) is not None:
-                found.append((m.start(), m.end(), kind, new))
-    found.sort()
+        gaps = zip([0, *(e for _, e, _, _ in found)], [*(s for s, _, _, _ in found), len(text)], strict=True)
+        found += [(m.start(), m.end(), kind, new) for low, high in gaps for m, new in _values(text, low, high, pattern, change, key)]
+        found.sort()
     out, at = [], 0
     for s, e, _, new in found:
         out += [text[at:s], new]
