@@ -290,6 +290,26 @@ def test_values_beside_numbers():
     assert pii.pseudonymise("2020 4111 1111 1111 1111")[0] == f"2020 {card}"
 
 
+DATES = ("2020-12-31", "2020/12/31", "31.12.2020", "31/12/2020", "12/31/2020", "31-12-2020", "31 December 2020", "December 31, 2020", "31 Dec 2020", "31. Dezember 2020", "31 décembre 2020", "31 de diciembre de 2020")
+
+
+def test_layouts_of_dates():
+    new = {x: pii.pseudonymise(f"on {x}.")[0] for x in DATES}
+    y, m, d = new["2020-12-31"][3:-1].split("-")
+    for x, out in new.items():
+        assert [k for k, _, _ in pii.pseudonymise(f"on {x}.")[1]] == ["date"] and out.startswith("on ") and out.endswith(".") and "2020" not in out, x
+        numbers = [int(n) for n in re.findall(r"\d+", out)]
+        assert sorted(numbers) == sorted(map(int, (y, m, d) if len(numbers) == 3 else (y, d))), x
+    month = int(m) - 1
+    assert pii.MONTHS[0][month].capitalize() in new["31 December 2020"] and pii.MONTHS[3][month] in new["31 décembre 2020"] and pii.MONTHS[4][month] in new["31 de diciembre de 2020"]
+    # the same day, of one digit and of two; month first where that is valid
+    one = re.findall(r"\d+", pii.pseudonymise("5.3.2020")[0])
+    assert [int(n) for n in one] == [int(n) for n in re.findall(r"\d+", pii.pseudonymise("05.03.2020")[0])] and one == [str(int(n)) for n in one]
+    assert [int(n) for n in re.findall(r"\d+", pii.pseudonymise("3/5/2020")[0])] == [int(one[k]) for k in (1, 0, 2)]
+    for no in ("31.02.2020", "32/13/2020", "30 February 2021", "2020-13-32"):
+        assert pii.pseudonymise(no) == (no, [])
+
+
 def test_pii_query(spark, sf, texts):
     for r in registry.QUERIES["op7_pii"](spark, sf).collect():
         text, found = pii.pseudonymise(texts[r["doc_id"]])

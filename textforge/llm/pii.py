@@ -8,6 +8,7 @@ and a pseudonym passes the same check as the value, so equal values stay linked
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import hashlib
 import re
@@ -102,21 +103,40 @@ def _iban(m: re.Match, key: bytes) -> str | None:
 
 
 def _date(m: re.Match, key: bytes) -> str | None:
-    parts = m.groupdict()
-    order = next(k for k in ("ymd", "dmy", "mdy") if parts[k])
-    text, mark = parts[order], re.search(r"\D", parts[order])[0]
-    a, b, c = text.split(mark)
-    year, month, day = {"ymd": (a, b, c), "dmy": (c, b, a), "mdy": (c, a, b)}[order]
-    try:
-        value = datetime.date(int(year), int(month), int(day))
-    except ValueError:
+    """A valid day, written back in its layout. nn/nn/nnnn is month first and else day first, the other marks day first and else month first."""
+    parts, names = m.groupdict(), None
+    if parts["named"] or parts["month_first"]:
+        word = parts["month"] or parts["month2"]
+        names = next(n for n in MONTHS if word.lower() in n)
+        readings = [("y", "m", "d")]
+        fields = (parts["year"] or parts["year2"], str(names.index(word.lower()) + 1), parts["day"] or parts["day2"])
+    else:
+        fields = tuple(re.findall(r"\d+", m[0]))
+        readings = [("y", "m", "d")] if parts["ymd"] else [("m", "d", "y"), ("d", "m", "y")] if parts["mark"] == "/" else [("d", "m", "y"), ("m", "d", "y")]
+    for order in readings:
+        at = dict(zip(order, map(int, fields), strict=True))
+        with contextlib.suppress(ValueError):
+            value = datetime.date(at["y"], at["m"], at["d"])
+            break
+    else:
         return None
     era = (value.year - 100) // 200  # 1900 to 2099 is one range of days, and so on
     low = datetime.date(max(1, 200 * era + 100), 1, 1).toordinal()
     high = datetime.date(min(9999, 200 * era + 299), 12, 31).toordinal()
     new = datetime.date.fromordinal(low + permute(value.toordinal() - low, high - low + 1, key, b"date"))
-    y, mo, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
-    return mark.join({"ymd": (y, mo, d), "dmy": (d, mo, y), "mdy": (mo, d, y)}[order])
+    number = "{:02d}" if all(len(f) > 1 for f in (fields if names is None else fields[2:])) else "{}"
+    text = {"y": f"{new.year:04d}", "m": number.format(new.month), "d": number.format(new.day)}
+    if names is None:
+        it = iter([text[k] for k in order])
+        return re.sub(r"\d+", lambda _: next(it), m[0])
+    name = names[new.month - 1]
+    text["m"] = name.upper() if word.isupper() and len(word) > 1 else name.capitalize() if word[0].isupper() else name
+    kinds = {"day": "d", "month": "m", "year": "y", "day2": "d", "month2": "m", "year2": "y"}
+    out, end = [], m.start()
+    for s, e, k in sorted((*m.span(g), k) for g, k in kinds.items() if parts[g]):
+        out += [m.string[end:s], text[k]]
+        end = e
+    return "".join([*out, m.string[end : m.end()]])
 
 
 def _mixed(text: str, key: bytes, tweak: bytes) -> str:
@@ -154,6 +174,20 @@ def _secret(m: re.Match, key: bytes) -> str | None:
     return m[0][: m.start("value") - m.start()] + new + m[0][m.end("value") - m.start() :]
 
 
+#: Names of the months in the languages of the corpus, long and short. Fixed values.
+MONTHS = tuple(tuple(x.split()) for x in (
+    "january february march april may june july august september october november december",
+    "jan feb mar apr may jun jul aug sep oct nov dec",
+    "januar februar märz april mai juni juli august september oktober november dezember",
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+))
+_NAME = "|".join(sorted({n for names in MONTHS for n in names}, key=lambda n: (-len(n), n)))
+_DATE = re.compile(
+    r"(?i)(?<![\d/.\-])(?:(?P<ymd>\d{4}(?P<first>[\-/])\d{1,2}(?P=first)\d{1,2})|\d{1,2}(?P<mark>[./\-])\d{1,2}(?P=mark)\d{4})(?![\d/\-]|\.\d)"
+    rf"|(?P<named>(?<![\w/.\-])(?P<day>\d{{1,2}})(?:\.|st|nd|rd|th|er)?[ \-](?:de |of )?(?P<month>{_NAME})\b\.?,?[ \-](?:de |del )?(?P<year>\d{{4}})(?!\d))"
+    rf"|(?P<month_first>\b(?P<month2>{_NAME})\b\.? (?P<day2>\d{{1,2}})(?:st|nd|rd|th)?,? (?P<year2>\d{{4}})(?!\d))"
+)
 #: Digits behind the country code, for codes with one length; numbers of other codes end where their groups do. Fixed values.
 NATIONAL = {10: "1|7|44|91", 9: "31|33|34|41|48|212|351", 8: "45|47"}
 _NO_CODE = "".join(rf"(?<!\+{'[0-9]' * n}[ .\-])" for n in (1, 2, 3))
@@ -163,7 +197,7 @@ RULES: list[tuple[str, re.Pattern, Callable[[re.Match, bytes], str | None]]] = [
     ("email", re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}"), _email),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"), _ip),
-    ("date", re.compile(r"(?<![\d/.\-])(?:(?P<ymd>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})|(?P<dmy>\d{2}\.\d{2}\.\d{4})|(?P<mdy>\d{2}/\d{2}/\d{4}))(?![\d/\-]|\.\d)"), _date),
+    ("date", _DATE, _date),
     *(("phone", re.compile(rf"(?P<head>\+(?:{codes})[ .\-]?(?:\(0\)[ .\-]?)?)\(?\d(?:[ .\-()]{{0,2}}\d){{{n - 1}}}(?!\d)"), _number(b"phone")) for n, codes in NATIONAL.items()),
     ("ssn", re.compile(rf"(?<![\d\-]){_NO_CODE}\d{{3}}-\d{{2}}-\d{{4}}(?![\d\-])"), _number(b"ssn")),
     ("phone", re.compile(rf"(?<![\d.\-+(]){_NO_CODE}\(?\d{{3}}\)?[ .\-]\d{{3}}[ .\-]\d{{4}}(?!\d)"), _number(b"phone")),
