@@ -24,12 +24,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with five-word shingle similarity 0.8 or more, the one with the least doc_id.
 
-    Documents without words are in no group and stay. A repeated doc_id stays once.
+    A null doc_id is the lowest; among rows of one doc_id the least digest decides. Documents without words are in no
+    group and stay. Rows of equal doc_id and text stay once, other rows of a repeated or null doc_id are documents of
+    their own.
     """
-    found = jaccard_join.jaccard_components(docs, words=5, percent=80)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    own = docs.select(COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return own.dropDuplicates(["doc_id"])
+    found = jaccard_join.jaccard_components(docs, words=5, percent=80, keyed=True)
+    one = found.where("n_shingles > 0").groupBy("part").agg(F.min(F.struct("id", "mark")).alias("one")).select("one.*")
+    kept = one.unionAll(found.where("n_shingles = 0").select("id", "mark"))
+    own = docs.select(*COLUMNS, *common.row_key(docs)).join(kept, ["id", "mark"], "left_semi")
+    return own.dropDuplicates(["id", "mark"]).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +40,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where a cut parts a character, its bytes left over are dropped.
     """
-    cut = suffix_dedup.remove_repeats(docs, payload=True).where("n_removed > 0")
-    # only texts that lost something are joined; the others stay as they are
-    changed = cut.select(F.col("doc_id").alias("id"), F.col("kept"), F.lit(True).alias("cut"))
+    cut = suffix_dedup.remove_repeats(docs, payload=True, keyed=True).where("n_removed > 0")
+    # only texts that lost something are joined; the others stay as they are, and rows of one key lose the same
+    changed = cut.dropDuplicates(["id", "mark"]).select("id", "mark", "kept", F.lit(True).alias("cut"))
     text = F.when(F.col("cut"), decoded("kept")).otherwise(F.col("text"))
-    joined = docs.select(COLUMNS).join(changed, F.col("doc_id") == F.col("id"), "left").withColumn("text", text)
+    joined = docs.select(*COLUMNS, *common.row_key(docs)).join(changed, ["id", "mark"], "left").withColumn("text", text)
     return joined.where(F.col("cut").isNull() | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

@@ -64,6 +64,15 @@ def text_of(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
 
+def row_key(df: DataFrame) -> list[Column]:
+    """id and mark, which know a row by its doc_id and a digest of its text: a doc_id can be null or repeated.
+
+    Rows without a doc_id have the lowest id and a digest of 64 bits, as there may be many.
+    """
+    own, text = df["doc_id"].cast("long"), text_of(df).cast("binary")
+    return [F.coalesce(own, F.lit(-(2**63))).alias("id"), F.when(own.isNull(), F.xxhash64(text)).otherwise(F.crc32(text)).alias("mark")]
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -83,7 +83,7 @@ def window(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _summaries(words: int, percent: int, frequent: Broadcast):
-    """doc_id, set key, number of shingles and the pivots of each text."""
+    """doc_id, mark, set key, number of shingles and the pivots of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.forget_words()
@@ -102,7 +102,7 @@ def _summaries(words: int, percent: int, frequent: Broadcast):
                 first = order[rank < np.repeat(window(n, percent), n)]
                 offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, window(n, percent), 0))]).astype(np.int32)
                 pivots = pa.ListArray.from_arrays(pa.array(offsets), pa.array(digests[first].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(set_keys(owner, digests, b - a)), pa.array(n.astype(np.int64)), pivots], names=["doc_id", "node", "n_shingles", "pivots"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), batch.column(2).slice(a, b - a), pa.array(set_keys(owner, digests, b - a)), pa.array(n.astype(np.int64)), pivots], names=["doc_id", "mark", "node", "n_shingles", "pivots"])
 
     return run
 
@@ -194,7 +194,7 @@ def _regions(words: int, percent: int):
         least: dict[int, int] = {}
         for c, low in zip(found, lows, strict=True):
             least[c] = min(least.get(c, low), low)
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([least[c] for c in found], pa.int64())], names=["node", "component_id"])
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([least[c] for c in found], pa.int64()), pa.array([rows[c] for c in found], pa.int64())], names=["node", "component_id", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, held = None, {}
@@ -253,34 +253,38 @@ def candidate_links(points: DataFrame, percent: int) -> DataFrame:
     return pairs.unionAll(many.join(centres, ["pivot", "class"]).where("node <> b").select(F.col("node").alias("a"), "b"))
 
 
-def jaccard_components(df: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+def jaccard_components(df: DataFrame, words: int = 4, percent: int = 85, keyed: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of df.
 
     Words are runs of characters other than ASCII white space, A to Z in lower case; texts with fewer words than a
     shingle have one; null, empty and blank texts have none and are linked with nothing. Two sets are linked if
     100 * intersection >= percent * union (percent 50 or more). component_id is the least doc_id of the component;
     a null doc_id counts as the lowest number. Repeated rows belong together. An empty table gives no rows. Only
-    doc_id and text are read, so other columns may have any name.
+    doc_id and text are read, so other columns may have any name. With keyed, the row's common.row_key comes too, and
+    part, a number of the component's own (two components have one component_id if their least doc_id is repeated).
     """
     spark = common.prepare(df.sparkSession)
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(df).cast("binary").alias("text"))
+    key = common.row_key(df)
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(df).cast("binary").alias("text"), key[1], key[0])
     # at most FREQUENT digests and levels: 9 bytes each
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, words, rows.select("doc_id").count()))
-    schema = "doc_id long, node long, n_shingles long, pivots array<long>"
-    points = common.saved(rows.mapInArrow(_summaries(words, percent, frequent), schema), "points")
-    low = F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("low")
-    classes = common.saved(points.where("n_shingles > 0").groupBy("node").agg(low), "classes")
+    schema = "doc_id long, mark long, node long, n_shingles long, pivots array<long>"
+    points = common.saved(rows.drop("id").mapInArrow(_summaries(words, percent, frequent), schema), "points")
+    own = F.coalesce("doc_id", F.lit(-(2**63))).alias("id")
+    least = F.min(F.struct(own, "mark")).alias("least")
+    classes = common.saved(points.where("n_shingles > 0").groupBy("node").agg(least).select("node", F.col("least.id").alias("low"), F.col("least.mark").alias("mark")), "classes")
     links = candidate_links(points, percent)
     regions = connected_components(links)
     members = regions.join(classes, "node")
-    texts = rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("low"), "text").join(members, "low").select("root", "node", "low", "text")
+    texts = rows.select(F.col("id").alias("low"), "mark", "text").join(members, ["low", "mark"]).select("root", "node", "low", "text")
     # a region goes to one task; its texts are fewer bytes than its shingles
     dealt = texts.repartition(common.partitions(spark), "root").sortWithinPartitions("root", "node")
-    linked = common.saved(dealt.mapInArrow(_regions(words, percent), "node long, component_id long"), "linked")
-    found = classes.join(linked, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
+    linked = common.saved(dealt.mapInArrow(_regions(words, percent), "node long, component_id long, part long"), "linked")
+    found = classes.join(linked, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("part", "node").alias("part"))
     lowest = F.col("component_id") == -(2**63)
-    return points.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(found, "node", "left").select(
-        "doc_id", "n_shingles", F.when(lowest, F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id")
+    key = [own, "mark", "part"] if keyed else []
+    return points.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(found, "node", "left").select(
+        "doc_id", "n_shingles", F.when(lowest, F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id"), *key
     )
 
 

@@ -281,7 +281,10 @@ def _cut(payload: bool):
                 kept.append(text[at:])
                 rest = b"".join(kept)
                 rows.append((doc_id, len(text), len(text) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest if payload else None))
-            yield _batch(rows, _RESULT)
+            out = _batch(rows, _RESULT)
+            for k in range(3, batch.num_columns):
+                out = out.append_column(batch.schema.field(k).name, batch.column(k))
+            yield out
 
     return run
 
@@ -300,17 +303,17 @@ def merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, payload: bool = True) -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, payload: bool = True, keyed: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with payload) kept, the remaining bytes, for each row of df.
 
     Null and empty texts have no bytes; texts shorter than length keep all. Repeated rows repeat each other and go
     as a whole if length or longer. A null doc_id is kept. An empty table gives no rows. Only doc_id and text are
-    read, so other columns may have any name. length - gram must be below 256.
+    read, so other columns may have any name. length - gram must be below 256. With keyed, common.row_key comes too.
     """
     spark = common.prepare(df.sparkSession)
     text = common.text_of(df).cast("binary")
     # a row is known by its doc_id and a mark of its text, in case a doc_id is repeated
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.crc32(text).alias("mark"), text.alias("text"))
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), *common.row_key(df), text.alias("text"))
     n = common.partitions(spark)
     found = common.saved(rows.select("id", "mark", "text").mapInArrow(_anchor_rows(length, gram), "doc_id long, mark long, spot long, gram long, hull long"), "anchors")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("hull").alias("least"), F.max("hull").alias("most")).where("n > 1")
@@ -339,8 +342,9 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     hot_parts = strings.where("lone").join(twice, ["one", "two"]).select("doc_id", "mark", F.col("start").alias("low"), (F.col("start") + length).alias("high"))
     parts = whole.unionAll(repeated).unionAll(sorted_parts).unionAll(hot_parts)
     spans = parts.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.collect_list(F.struct("low", "high")).alias("parts"))  # bounded by the text's length
-    result = texts.join(spans, ["id", "mark"], "left").select("doc_id", "text", "parts")
-    return result.mapInArrow(_cut(payload), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    key = ["id", "mark"] if keyed else []
+    result = texts.join(spans, ["id", "mark"], "left").select("doc_id", "text", "parts", *key)
+    return result.mapInArrow(_cut(payload), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + "".join(f", {k} long" for k in key))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
