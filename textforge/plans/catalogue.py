@@ -320,6 +320,14 @@ def q_union_sources(spark, sf):
     return unify({s: d.where(F.col("source") == s).drop("source") for s in ("src0", "src1", "src2")}).select("doc_id", "source", "source_rank", "search_term")
 
 
+@query()
+def q_union_all_sources(spark, sf):
+    """Every source of the table, by name, rows without one last; q_union_sources is the three that its SQL names."""
+    d = docs(spark, sf).withColumn("search_term", F.col("source"))
+    names = sorted((r["source"] for r in d.select("source").distinct().collect()), key=lambda s: (s is None, s or ""))
+    return unify({s: d.where(F.col("source").eqNullSafe(F.lit(s))).drop("source") for s in names}).select("doc_id", "source", "source_rank", "search_term")
+
+
 @query("SELECT d.doc_id, coalesce(nullif(trim(regexp_extract(p.html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), d.source) AS source FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id")
 def q_overlay_details(spark, sf):
     detail = read_table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.trim(extract.tag_text(F.col("html"), "title")).alias("source"))
