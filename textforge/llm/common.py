@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import sys
 import tempfile
@@ -12,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python: long documents then stay within a few MB.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch handed to Python.
+BATCH_ROWS, BATCH_BYTES = 512, 1 << 24
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -25,6 +28,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -49,10 +53,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget_words() -> None:
-    """In a Python worker that Spark uses again: drops the words an encoder of an earlier stage has learnt."""
-    for module, name in (("textforge.llm.word_ids", "encoder"), ("textforge.llm.byte_bpe", "codec")):
-        if module in sys.modules:
-            getattr(sys.modules[module], name).cache_clear()
+    """In a Python worker that Spark uses again: drops what an encoder of an earlier stage has learnt and gives its memory back."""
+    held = [getattr(sys.modules[m], name) for m, name in (("textforge.llm.word_ids", "encoder"), ("textforge.llm.byte_bpe", "codec")) if m in sys.modules]
+    if any(f.cache_info().currsize for f in held):
+        for f in held:
+            f.cache_clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,12 +73,9 @@ def text_of(df: DataFrame) -> Column:
 
 
 def row_key(df: DataFrame) -> list[Column]:
-    """id and mark, which know a row by its doc_id and a digest of its text: a doc_id can be null or repeated.
-
-    Rows without a doc_id have the lowest id and a digest of 64 bits, as there may be many.
-    """
+    """id and mark, which know a row by its doc_id and a 64-bit digest of its text: a doc_id can be null (the lowest id) or repeated."""
     own, text = df["doc_id"].cast("long"), text_of(df).cast("binary")
-    return [F.coalesce(own, F.lit(-(2**63))).alias("id"), F.when(own.isNull(), F.xxhash64(text)).otherwise(F.crc32(text)).alias("mark")]
+    return [F.coalesce(own, F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("mark")]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textforge.llm import common
 
 
-def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b), root the least node of its component.
 
     Each round is written to the shared folder, so a lost executor costs one round; minima are taken per task
@@ -18,7 +18,7 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = common.saved(links.where("a <> b").select(a, b).distinct(), "links")
     mark = _mark(edges)
-    for _ in range(rounds):
+    while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
@@ -31,8 +31,6 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
         before, mark = mark, _mark(edges)
         if mark == before:
             break
-    else:
-        raise RuntimeError("the components have not settled")
     roots = edges.select("b").distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 

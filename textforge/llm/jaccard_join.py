@@ -1,17 +1,21 @@
 """Operator 6, n-gram Jaccard join in the metric space of shingle sets: regions of pivots, triangle-inequality windows.
 
-Equal sets are one point. Points are joined in two levels, both exact:
-
-1. Regions. Unrelated texts are all at distance 1 from one another, so whole documents as pivots would part nothing.
-   The pivots of this level are single shingles, in one order for all (rare ones first, from a bounded sample;
-   the order changes the work, never the result). A point x of n shingles lies in the windows of its first
-   n - ceil(s * n) + SHARED pivots: two points as near as s share SHARED of these (or all they have in common), or
-   one would have too many shingles that the other lacks. So each point is copied to the pivots whose windows it lies
-   in. Points of fitting sizes that meet at SHARED pivots of few points, or at one pivot of many, belong to one
-   region, so a region holds every partner of its points.
-2. Recursion in a region. A document is the next pivot p; with r = 1 - s, those within r of p are linked to it and
-   need no comparison with one another; by the triangle inequality only points within 2r of p can have links into
-   that ball, and just those are compared with it; the rest is split again with the next pivot.
+Equal sets are one point. Two sets are linked within r = 1 - s of one another. Three steps, all exact:
+
+1. Sieve. Unrelated texts are all at distance 1 from one another, so whole documents as first pivots would part
+   nothing. The first pivots are single shingles. In any one order of all shingles a set's window is its first
+   n - ceil(s * n) + 1 shingles: two similar sets share one of these, or one would have too many that the other
+   lacks. The sieve's order is by hash, those that several points hold among their first shingles last. A point whose
+   window then has only shingles of its own has no partner; most points of a corpus end here.
+2. Regions. For the points left, the shingles are counted exactly and ordered by that count, so windows hold what is
+   rarest. Points that share a shingle of their windows are in one region; a region holds every partner of its points.
+3. Cells. A region of more than MOST points is split by document pivots (Voronoi): a point's home is the cell of its
+   nearest pivot within REACH, or the rest beyond. By the triangle inequality a point can have partners at home in a
+   pivot's cell only if it is within 2r of being nearest to it, and within REACH + r; it is copied to just those
+   cells. Points within r of a pivot are linked through it: where the ball's surroundings (to 2r) hold only points of
+   the pivot's component, the ball's points need no comparison at all. Cells are split again, in further shuffles,
+   until each is bounded; a region that pivots do not make smaller is compared block by block, again in bounded parts.
+   Inside a bounded region the same splitting goes on in memory.
 
 Similarities are exact fractions of 64-bit shingle digests.
 """
@@ -22,21 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textforge.llm import common
 from textforge.llm.components import connected_components
-from textforge.llm.fingerprint import _LETTER, BLOCK, _powers, blocks, mix
+from textforge.llm.fingerprint import _LETTER, _powers, blocks, mix
 
 _RNG = np.random.default_rng(6)
 _PLACES = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.uint64(0x6A09E667F3BCC909)
-#: Pivots that two similar sets share, and points of a pivot up to which its pairs are counted one by one.
-SHARED, FEW = 3, 64
-#: Bounds of the sample that orders the pivots: documents, and shingles taken as frequent.
-SAMPLE, FREQUENT = 100_000, 1_000_000
+#: Points and shingles of a region that one task joins, pivots of a split, and points that are compared directly.
+MOST, WEIGHT, PIVOTS, LEAF = 128, 1 << 19, 24, 24
+#: Distance from its pivot up to which a point is at home in a cell, and splits before blocks are compared.
+REACH, DEPTH = 0.5, 6
+#: Rounding of distances, which are fractions of whole numbers: windows are wider by this, never narrower.
+SLACK = 1e-9
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,52 +81,104 @@ def set_keys(owner: np.ndarray, digests: np.ndarray, texts: int) -> np.ndarray:
     starts = np.searchsorted(owner, np.arange(texts), side="left")
     return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64)).view(np.int64)
 
-
 def window(n: np.ndarray, percent: int) -> np.ndarray:
-    """Among how many first shingles of a set of n two sets as similar as percent must share SHARED."""
-    return np.minimum(n, n - -(-percent * n // 100) + SHARED)
+    """Among how many first shingles of a set of n two sets as similar as percent must share one."""
+    return n - -(-percent * n // 100) + 1
+
 
+def sieve_length(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many first shingles of a set of n the sieve sees: its window and some to take the place of shared ones."""
+    return np.minimum(n, (13 * window(n, percent) + 9) // 10 + 4)
 
-def _summaries(words: int, percent: int, frequent: Broadcast):
-    """doc_id, mark, set key, number of shingles and the pivots of each text."""
+
+def _summaries(words: int, percent: int):
+    """doc_id, mark, set key, number of shingles, the first shingles by hash, and how many of these are beyond the window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.forget_words()
-        keys, levels = frequent.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).to_pylist()]
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in blocks(texts):
                 owner, digests = shingle_sets(texts[a:b], words)
                 n = np.bincount(owner, minlength=b - a)
-                level = np.zeros(len(digests), dtype=np.uint8)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, digests), len(keys) - 1)
-                    level = np.where(keys[at] == digests, levels[at], level)
-                order = np.lexsort((digests, level, owner))
                 rank = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-                first = order[rank < np.repeat(window(n, percent), n)]
-                offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, window(n, percent), 0))]).astype(np.int32)
-                pivots = pa.ListArray.from_arrays(pa.array(offsets), pa.array(digests[first].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), batch.column(2).slice(a, b - a), pa.array(set_keys(owner, digests, b - a)), pa.array(n.astype(np.int64)), pivots], names=["doc_id", "mark", "node", "n_shingles", "pivots"])
+                length = np.where(n > 0, sieve_length(n, percent), 0)
+                spare = np.where(n > 0, length - window(n, percent), 0)
+                heads = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(digests[rank < np.repeat(length, n)].view(np.int64)))
+                columns = [ids.slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(set_keys(owner, digests, b - a)), pa.array(n.astype(np.int64)), pa.array(spare.astype(np.int32)), heads]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "n_shingles", "spare", "heads"])
 
     return run
 
 
-def _shingles(words: int):
+def _sets(words: int):
+    """(node, text) to (node, shingles)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.forget_words()
         for batch in batches:
-            texts = [x or b"" for x in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
             for a, b in blocks(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(texts[a:b], words)[1].view(np.int64))], names=["shingle"])
+                owner, digests = shingle_sets(texts[a:b], words)
+                limits = np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(limits), pa.array(digests.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], names=["node", "shingles"])
 
     return run
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The shingles of each row as unsigned numbers."""
+    values, offsets = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def intersections(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections, sets by pivots."""
+    known = np.unique(np.concatenate(pivots))
+    member = np.zeros((len(known), len(pivots)), dtype=np.uint8)
+    for k, p in enumerate(pivots):
+        member[np.searchsorted(known, p), k] = 1
+    out = np.zeros((len(sets), len(pivots)), dtype=np.int64)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(known, s)
+        at[at == len(known)] = 0
+        out[i] = member[at[known[at] == s]].sum(axis=0, dtype=np.int64)
+    return out
+
+
+class Placed:
+    """Where the points of a region belong, by their distances from its pivots."""
+
+    def __init__(self, both: np.ndarray, sizes: np.ndarray, pivot_sizes: np.ndarray, percent: int):
+        union = sizes[:, None] + pivot_sizes[None, :] - both
+        radius, pivots = 1 - percent / 100, both.shape[1]
+        far = 1 - both / union
+        nearest = far.argmin(axis=1)
+        least = far[np.arange(len(far)), nearest]
+        #: Within r and within 2r of each pivot, exactly and with slack.
+        self.ball = 100 * both >= percent * union
+        self.shell = (far <= 2 * radius + SLACK) & ~self.ball
+        #: The home of each point (the last number is the rest) and the cells whose windows it lies in.
+        self.cell = np.where(least <= REACH, nearest, pivots)
+        near = (far <= least[:, None] + 2 * radius + SLACK) & (far <= REACH + radius + SLACK)
+        self.windows = np.concatenate([near, (least > REACH - radius - SLACK)[:, None]], axis=1)
+
+
+def joined_balls(edges: Iterator[tuple[int, int]], pivots: int) -> list[int]:
+    """The component of each pivot, where an edge joins two pivots with a common point in their balls."""
+    label = list(range(pivots))
+    for a, b in edges:
+        if (x := label[a]) != (y := label[b]):
+            low, high = min(x, y), max(x, y)
+            label = [low if v == high else v for v in label]
+    return label
+
+
 def link_region(sets: list[np.ndarray], percent: int) -> list[int]:
-    """The component (an index of its first member) of each set: pivots, balls and triangle-inequality windows."""
-    n = len(sets)
-    parent = list(range(n))
+    """The component (an index of its first member) of each set, by cells of pivots in cells of pivots."""
+    parent = list(range(len(sets)))
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -129,131 +186,203 @@ def link_region(sets: list[np.ndarray], percent: int) -> list[int]:
             i = parent[i]
         return i
 
-    if n < 2:
-        return parent
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    joined = np.concatenate(sets)
-    sets.clear()  # from here on a shingle is a 32-bit number
-    order = np.argsort(joined, kind="stable")
-    joined = joined[order]
-    first = np.concatenate([[True], joined[1:] != joined[:-1]])
-    del joined
-    number = np.cumsum(first, dtype=np.int32) - np.int32(1)
-    code = np.empty(len(order), dtype=np.int32)
-    code[order] = number
-    holder = owner[order]
-    del order, owner
-    starts = np.flatnonzero(first)
-    ends = np.append(starts[1:], len(holder))
-    shared = ends - starts > 1
-    limits = np.concatenate([[0], np.cumsum(sizes)])
-    done, covered = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-
-    def nearness(i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes of the intersection and the union of set i with every set."""
-        own = code[limits[i] : limits[i + 1]]
-        own = own[shared[own]]
-        both = np.zeros(n, dtype=np.int64)
-        for at in range(0, len(own), 256):  # a few postings at a time
-            both += np.bincount(np.concatenate([holder[starts[k] : ends[k]] for k in own[at : at + 256]]), minlength=n)
-        both[i] = sizes[i]
-        return both, sizes[i] + sizes - both
-
-    def join_all(i: int) -> tuple[np.ndarray, np.ndarray]:
-        both, union = nearness(i)
-        for j in np.flatnonzero(100 * both >= percent * union):
-            a, b = find(i), find(int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        done[i] = True
-        return both, union
-
-    for p in range(n):
-        if done[p] or covered[p]:
-            continue
-        both, union = join_all(p)
-        ball = 100 * both >= percent * union
-        shell = ~ball & (100 * both >= (2 * percent - 100) * union) & ~done & ~covered  # within 2r of p
-        covered |= ball
-        if ball.sum() > 1:
-            for s in np.flatnonzero(shell):
-                join_all(int(s))
-    return [find(i) for i in range(n)]
-
-
-def _regions(words: int, percent: int):
-    """Rows (region, node, low doc_id, text) come sorted by region; each region is linked on its own."""
-
-    def flush(held: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        rows = sorted(held, key=lambda node: (held[node][0], node))
-        lows = [held[node][0] for node in rows]
-        sets = [held[node][1] for node in rows]
+    def link(i: int, j: int) -> None:
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+
+    def compare(own: np.ndarray, pivots: np.ndarray) -> Placed:
+        placed = Placed(intersections([sets[i] for i in own], [sets[p] for p in pivots]), sizes[own], sizes[pivots], percent)
+        for i, k in zip(*np.nonzero(placed.ball), strict=True):
+            link(int(own[i]), int(pivots[k]))
+        return placed
+
+    def split(own: np.ndarray, home: np.ndarray) -> None:
+        if len(own) <= LEAF:
+            compare(own, own[home])
+            return
+        pivots = own[home][:: max(1, int(home.sum()) // PIVOTS)][:PIVOTS]
+        placed = compare(own, pivots)
+        roots, pivot_roots = np.array([find(int(i)) for i in own]), np.array([find(int(p)) for p in pivots])
+        is_open = (placed.shell & (roots[:, None] != pivot_roots[None, :])).any(axis=0)
+        left = ~(placed.ball & ~is_open).any(axis=1)
+        for k in range(len(pivots) + 1):
+            inside = left & placed.windows[:, k]
+            at_home = (home & (placed.cell == k))[inside]
+            if not at_home.any() or inside.sum() < 2:
+                continue
+            if inside.sum() >= 0.9 * len(own):  # pivots part nothing here
+                for at in range(0, int(at_home.sum()), PIVOTS):
+                    compare(own[inside], own[inside][at_home][at : at + PIVOTS])
+            else:
+                split(own[inside], at_home)
+
+    if len(sets) > 1:
+        split(np.arange(len(sets)), np.ones(len(sets), dtype=bool))
+    return [find(i) for i in range(len(sets))]
+
+
+def _linked(percent: int):
+    """Rows (region, node, shingles) come sorted by region; gives (node, root) for the points linked with others."""
+
+    def flush(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        nodes = sorted(held)
+        found = link_region([held[x] for x in nodes], percent)
+        pairs = [(x, nodes[c]) for x, c in zip(nodes, found, strict=True) if x != nodes[c]]
         held.clear()
-        found = link_region(sets, percent)
-        least: dict[int, int] = {}
-        for c, low in zip(found, lows, strict=True):
-            least[c] = min(least.get(c, low), low)
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([least[c] for c in found], pa.int64()), pa.array([rows[c] for c in found], pa.int64())], names=["node", "component_id", "part"])
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget_words()
         region, held = None, {}
         for batch in batches:
-            roots, nodes, lows, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in blocks(texts):
-                owner, digests = shingle_sets(texts[a:b], words)
-                keys = set_keys(owner, digests, b - a).tolist()
-                limits = np.searchsorted(owner, np.arange(b - a + 1))
-                for i in range(b - a):
-                    if held and roots[a + i] != region:
-                        yield flush(held)
-                        held = {}
-                    region = roots[a + i]
-                    # a row that only shares its doc_id with the one meant has another key; a set counts once
-                    if keys[i] == nodes[a + i] and nodes[a + i] not in held:
-                        held[nodes[a + i]] = lows[a + i], digests[limits[i] : limits[i + 1]].copy()
+            for own, node, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2)), strict=True):
+                if own != region and held:
+                    yield flush(held)
+                region = own
+                held[node] = shingles.copy()
         if held:
             yield flush(held)
 
     return run
 
 
-def frequent_shingles(rows: DataFrame, words: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a bounded sample have, with the logarithm of how many."""
-    sample = rows if count <= SAMPLE else rows.where(F.xxhash64(F.lit(6), "doc_id") < int(-(2**63) + SAMPLE / count * 2**64))
-    seen = sample.select("doc_id", "text").mapInArrow(_shingles(words), "shingle long").groupBy("shingle").count().where("count >= 3")
-    seen = common.saved(seen, "seen-shingles")
-    least, room = 2**62, FREQUENT
-    for times, shingles in seen.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():  # a row for each number of times
-        if (room := room - shingles) < 0:
-            break
-        least = times
-    top = seen.where(F.col("count") >= least).toPandas()
-    keys = top["shingle"].to_numpy(np.int64).view(np.uint64)
-    levels = np.log2(top["count"].to_numpy(np.float64)).astype(np.uint8)
-    order = np.argsort(keys)
-    return keys[order], levels[order]
+_CELLS = "region long, node long, n int, home boolean, cell int, windows array<int>, balls array<int>, shells array<int>, links array<long>, edges array<int>"
 
 
-def candidate_links(points: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) whose components hold every pair of similar sets: from the pivots of points (node, n_shingles, pivots)."""
-    copies = points.select("node", F.col("n_shingles").alias("n"), F.explode("pivots").alias("pivot"))
+def _placed(percent: int):
+    """Rows (region, salt, slot, node, n, home, shingles) come sorted, pivots (slot 0 and up) before points (slot 99)."""
+
+    def answer(region: int, pivots: list[tuple[int, np.ndarray]], rows: list[tuple]) -> pa.RecordBatch:
+        sizes = np.array([len(r[3]) for r in rows], dtype=np.int64)
+        placed = Placed(intersections([r[3] for r in rows], [p[1] for p in pivots]), sizes, np.array([len(p[1]) for p in pivots], dtype=np.int64), percent)
+        own = [[np.flatnonzero(x).tolist() for x in m] for m in (placed.windows, placed.ball, placed.shell)]
+        links = [[pivots[k][0] for k in b] for b in own[1]]
+        edges = [[b[0] * 256 + k for k in b[1:]] for b in own[1]]
+        columns = [[region] * len(rows), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], placed.cell.tolist(), *own, links, edges]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64()), pa.list_(pa.int32())]
+        names = [c.split()[0] for c in _CELLS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget_words()
+        part, pivots, rows, size = None, [], [], 0
+        for batch in batches:
+            regions, salts, slots, nodes, counts, homes = (batch.column(k).to_pylist() for k in range(6))
+            for region, salt, slot, node, n, home, shingles in zip(regions, salts, slots, nodes, counts, homes, _lists(batch.column(6)), strict=True):
+                if (region, salt) != part or size > WEIGHT:
+                    if rows:
+                        yield answer(part[0], pivots, rows)
+                    rows, size = [], 0
+                    if (region, salt) != part:
+                        part, pivots = (region, salt), []
+                if slot < 99:
+                    pivots.append((node, shingles.copy()))
+                else:
+                    rows.append((node, n, home, shingles.copy()))
+                    size += n
+        if rows:
+            yield answer(part[0], pivots, rows)
+
+    return run
+
+
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        labels = [joined_balls([divmod(e, 256) for e in edges], PIVOTS) for edges in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.list_(pa.int32()))], names=["region", "labels"])
+
+
+def sieved(points: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of classes (node, spare, ...) that may have a partner; from points (node, n_shingles, heads)."""
+    copies = points.where("n_shingles > 0").select("node", F.explode("heads").alias("pivot"))
     met = copies.groupBy("pivot").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("pivot")
-    shared = common.saved(copies.join(met, "pivot").distinct(), "shared-pivots")
-    held = shared.join(shared.groupBy("pivot").agg(F.count("*").alias("members")), "pivot")
-    few = held.where(F.col("members") <= FEW)
-    one, two = (few.select("pivot", F.col("node").alias(k), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
-    least = F.least(F.lit(SHARED), F.ceil(percent * F.greatest("na", "nb") / 100))
-    pairs = one.join(two, "pivot").where(fits).groupBy("a", "b", "na", "nb").count().where(F.col("count") >= least).select("a", "b")
-    # A pivot of many: similar sets are in the same or the next class of sizes, and each class has one centre.
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
-    many = held.where(F.col("members") > FEW).select("pivot", "node", F.explode(F.array(size_class, size_class + 1, size_class + 2)).alias("class"))
-    centres = many.groupBy("pivot", "class").agg(F.min("node").alias("b"))
-    return pairs.unionAll(many.join(centres, ["pivot", "class"]).where("node <> b").select(F.col("node").alias("a"), "b"))
-
-
-def jaccard_components(df: DataFrame, words: int = 4, percent: int = 85, keyed: bool = False) -> DataFrame:
+    shared = copies.join(met, "pivot").groupBy("node").agg(F.countDistinct("pivot").alias("shared"))
+    return classes.join(shared, "node").where("shared > spare").drop("shared")
+
+
+def regions(sets: DataFrame, percent: int) -> DataFrame:
+    """(region, node, n) from sets (node, shingles): all partners of a node are in its region."""
+    held = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("pivot"))
+    met = held.groupBy("pivot").agg(F.count("*").alias("times"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("pivot", "times")
+    # a set's shared shingles, rarest first: bounded by its text
+    shared = held.join(met, "pivot").groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("times", "pivot"))).alias("shared"))
+    least = F.expr(f"cast(({percent} * n + 99) div 100 as int)")
+    pivots = shared.withColumn("room", F.size("shared") - least + 1).where("room > 0").select("node", "n", F.explode(F.expr("slice(shared, 1, room)")).alias("s"))
+    windows = common.saved(pivots.select("node", "n", F.col("s.pivot").alias("pivot")), "windows")
+    centres = windows.groupBy("pivot").agg(F.min("node").alias("b"))
+    links = windows.join(centres, "pivot").where("node <> b").select(F.col("node").alias("a"), "b")
+    roots = connected_components(links)
+    return roots.join(windows.groupBy("node").agg(F.max("n").alias("n")), "node").select(F.col("root").alias("region"), "node", "n")
+
+
+def region_links(members: DataFrame, sets: DataFrame, percent: int, most: int = MOST, weight: int = WEIGHT) -> DataFrame:
+    """Links (a, b) whose components are those of all similar pairs inside the regions of members (region, node, n)."""
+    spark = members.sparkSession
+    n = common.partitions(spark)
+    pending = members.select("region", "node", "n", F.lit(True).alias("home"), F.lit(2**31 - 1).alias("before"))
+    links, bounded, depth = [], [], 0
+    while True:
+        pending = common.saved(pending, "cells")
+        sizes = pending.groupBy("region").agg(F.count("*").alias("points"), F.sum("n").alias("weight"), F.max("home").alias("homes"), F.max("before").alias("before"))
+        sizes = common.saved(sizes.where("homes and points > 1").select("region", "points", "weight", "before", ((F.col("points") <= most) & (F.col("weight") <= weight)).alias("fits")), "cell-sizes")
+        bounded.append(pending.join(sizes.where("fits").select("region"), "region").select("region", "node"))
+        large = sizes.where("not fits")
+        if large.isEmpty():
+            break
+        # cells that the last pivots made little smaller are compared block by block
+        stuck = F.lit(depth >= DEPTH) | (F.col("points") > 0.8 * F.col("before"))
+        bounded.append(_blocks(pending.join(large.where(stuck), "region"), most, weight))
+        split, cells = _split(pending.join(large.where(~stuck).drop("before", "fits"), "region"), sets, percent, most, weight, depth, n)
+        links.append(cells.select(F.col("node").alias("a"), F.explode("links").alias("b")))
+        pending, depth = split, depth + 1
+    own = bounded[0]
+    for more in bounded[1:]:
+        own = own.unionAll(more)
+    dealt = own.join(sets, "node").select("region", "node", "shingles").repartition(n, "region").sortWithinPartitions("region", "node")
+    out = dealt.mapInArrow(_linked(percent), "a long, b long")
+    for more in links:
+        out = out.unionAll(more)
+    return out.where("a <> b")
+
+
+def _salts(most: int, weight: int) -> Column:
+    """Into how many bounded parts a region of so many points and shingles goes."""
+    return F.greatest(F.ceil(F.col("points") / most), F.ceil(F.col("weight") / weight)).cast("int")
+
+
+def _blocks(rows: DataFrame, most: int, weight: int) -> DataFrame:
+    """Regions of two blocks each, of about half the bounds, that together hold each pair of a region."""
+    blocks_ = rows.select("region", "node", (2 * _salts(most, weight)).alias("of"))
+    own = blocks_.withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    pairs = own.select("region", "node", "own", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
+    return pairs.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"), F.lit("blocks")).alias("region"), "node")
+
+
+def _split(rows: DataFrame, sets: DataFrame, percent: int, most: int, weight: int, depth: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """One Voronoi step for rows (region, node, n, home, points, weight): the cells' rows, and what was found of each point."""
+    rows = rows.withColumn("salts", _salts(most, weight))
+    order = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(depth)), "node")
+    first = rows.where("home").withColumn("slot", F.row_number().over(order) - 1).where(F.col("slot") < PIVOTS)
+    pivots = first.select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "slot", "node", "n", "home")
+    points = rows.select("region", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(99).alias("slot"), "node", "n", "home")
+    dealt = pivots.unionAll(points).join(sets, "node").select("region", "salt", "slot", "node", "n", "home", "shingles")
+    dealt = dealt.repartition(n, "region", "salt").sortWithinPartitions("region", "salt", "slot", "node")
+    cells = common.saved(dealt.mapInArrow(_placed(percent), _CELLS), "voronoi")
+    edges = cells.select("region", F.explode("edges").alias("edge")).groupBy("region").agg(F.collect_set("edge").alias("edges"))  # at most PIVOTS squared
+    labels = edges.mapInArrow(_labels, "region long, labels array<int>")
+    each = F.sequence(F.lit(0), F.lit(PIVOTS - 1))
+    known = cells.join(labels, "region", "left").withColumn("labels", F.coalesce("labels", each))
+    known = known.withColumn("mine", F.when(F.size("balls") > 0, F.expr("labels[balls[0]]")).otherwise(-1))
+    strange = known.select("region", F.explode(F.expr("filter(shells, k -> labels[k] <> mine)")).alias("k"))
+    is_open = strange.groupBy("region").agg(F.collect_set("k").alias("open"))  # at most PIVOTS
+    left = known.join(is_open, "region", "left").where(F.size(F.array_except("balls", F.coalesce("open", F.array().cast("array<int>")))) == 0)
+    before = cells.groupBy("region").agg(F.count("*").cast("int").alias("before"))
+    inside = left.join(before, "region").select("region", "node", "n", "home", "cell", "before", F.explode("windows").alias("k"))
+    split = inside.select(F.xxhash64("region", "k", F.lit(depth)).alias("region"), "node", "n", (F.col("home") & (F.col("cell") == F.col("k"))).alias("home"), "before")
+    return split, cells
+
+
+def jaccard_components(df: DataFrame, words: int = 4, percent: int = 85, keyed: bool = False, most: int = MOST) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of df.
 
     Words are runs of characters other than ASCII white space, A to Z in lower case; texts with fewer words than a
@@ -262,29 +391,27 @@ def jaccard_components(df: DataFrame, words: int = 4, percent: int = 85, keyed:
     a null doc_id counts as the lowest number. Repeated rows belong together. An empty table gives no rows. Only
     doc_id and text are read, so other columns may have any name. With keyed, the row's common.row_key comes too, and
     part, a number of the component's own (two components have one component_id if their least doc_id is repeated).
+    most bounds the points that one task joins; it changes the work, never the result.
     """
-    spark = common.prepare(df.sparkSession)
-    key = common.row_key(df)
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(df).cast("binary").alias("text"), key[1], key[0])
-    # at most FREQUENT digests and levels: 9 bytes each
-    frequent = spark.sparkContext.broadcast(frequent_shingles(rows, words, rows.select("doc_id").count()))
-    schema = "doc_id long, mark long, node long, n_shingles long, pivots array<long>"
-    points = common.saved(rows.drop("id").mapInArrow(_summaries(words, percent, frequent), schema), "points")
+    common.prepare(df.sparkSession)
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(df).cast("binary").alias("text"), *common.row_key(df))
+    schema = "doc_id long, mark long, node long, n_shingles long, spare int, heads array<long>"
+    points = common.saved(rows.select("doc_id", "text", "mark").mapInArrow(_summaries(words, percent), schema), "points")
     own = F.coalesce("doc_id", F.lit(-(2**63))).alias("id")
-    least = F.min(F.struct(own, "mark")).alias("least")
-    classes = common.saved(points.where("n_shingles > 0").groupBy("node").agg(least).select("node", F.col("least.id").alias("low"), F.col("least.mark").alias("mark")), "classes")
-    links = candidate_links(points, percent)
-    regions = connected_components(links)
-    members = regions.join(classes, "node")
-    texts = rows.select(F.col("id").alias("low"), "mark", "text").join(members, ["low", "mark"]).select("root", "node", "low", "text")
-    # a region goes to one task; its texts are fewer bytes than its shingles
-    dealt = texts.repartition(common.partitions(spark), "root").sortWithinPartitions("root", "node")
-    linked = common.saved(dealt.mapInArrow(_regions(words, percent), "node long, component_id long, part long"), "linked")
-    found = classes.join(linked, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("part", "node").alias("part"))
-    lowest = F.col("component_id") == -(2**63)
+    classes = points.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(own, "mark")).alias("least"), F.max("spare").alias("spare"))
+    classes = common.saved(classes.select("node", "least.id", "least.mark", "spare"), "classes")
+    few = sieved(points, classes)
+    texts = rows.select("id", "mark", "text").join(few.select("id", "mark", "node"), ["id", "mark"]).dropDuplicates(["id", "mark"])
+    sets = common.saved(texts.select("node", "text").mapInArrow(_sets(words), "node long, shingles array<long>"), "sets")
+    members = common.saved(regions(sets, percent), "regions")
+    linked = connected_components(region_links(members, sets, percent, most))
+    held = classes.join(linked, "node", "left").select("node", "id", F.coalesce("root", "node").alias("part"))
+    lows = held.groupBy("part").agg(F.min("id").alias("low"))
+    found = held.join(lows, "part").select("node", "part", "low")
+    lowest = F.col("low") == -(2**63)
     key = [own, "mark", "part"] if keyed else []
     return points.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(found, "node", "left").select(
-        "doc_id", "n_shingles", F.when(lowest, F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id"), *key
+        "doc_id", "n_shingles", F.when(lowest, F.lit(None)).otherwise(F.coalesce("low", "doc_id")).cast("long").alias("component_id"), *key
     )
 
 
