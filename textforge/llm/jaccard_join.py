@@ -38,8 +38,9 @@ _PLACES = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint6
 _SALT = np.uint64(0x6A09E667F3BCC909)
 #: Points and shingles of a region that one task joins, pivots of a split, and points that are compared directly.
 MOST, WEIGHT, PIVOTS, LEAF = 128, 1 << 19, 24, 24
-#: Distance from its pivot up to which a point is at home in a cell, and splits before blocks are compared.
-REACH, DEPTH = 0.5, 6
+#: Distance from its pivot up to which a point is at home in a cell. A region is compared block by block where a split
+#: would make more than COPIES rows of each point, and after DEPTH splits.
+REACH, COPIES, DEPTH = 0.5, 2, 6
 #: Rounding of distances, which are fractions of whole numbers: windows are wider by this, never narrower.
 SLACK = 1e-9
 
@@ -205,15 +206,15 @@ def link_region(sets: list[np.ndarray], percent: int) -> list[int]:
         roots, pivot_roots = np.array([find(int(i)) for i in own]), np.array([find(int(p)) for p in pivots])
         is_open = (placed.shell & (roots[:, None] != pivot_roots[None, :])).any(axis=0)
         left = ~(placed.ball & ~is_open).any(axis=1)
+        if placed.windows[left].sum() > COPIES * len(own):  # these pivots part nothing
+            at_home = own[home & left]
+            for at in range(0, len(at_home), PIVOTS):
+                compare(own[left], at_home[at : at + PIVOTS])
+            return
         for k in range(len(pivots) + 1):
             inside = left & placed.windows[:, k]
             at_home = (home & (placed.cell == k))[inside]
-            if not at_home.any() or inside.sum() < 2:
-                continue
-            if inside.sum() >= 0.9 * len(own):  # pivots part nothing here
-                for at in range(0, int(at_home.sum()), PIVOTS):
-                    compare(own[inside], own[inside][at_home][at : at + PIVOTS])
-            else:
+            if at_home.any() and inside.sum() > 1:
                 split(own[inside], at_home)
 
     if len(sets) > 1:
@@ -319,22 +320,23 @@ def region_links(members: DataFrame, sets: DataFrame, percent: int, most: int =
     """Links (a, b) whose components are those of all similar pairs inside the regions of members (region, node, n)."""
     spark = members.sparkSession
     n = common.partitions(spark)
-    pending = members.select("region", "node", "n", F.lit(True).alias("home"), F.lit(2**31 - 1).alias("before"))
+    pending = members.select("region", "node", "n", F.lit(True).alias("home"))
     links, bounded, depth = [], [], 0
     while True:
         pending = common.saved(pending, "cells")
-        sizes = pending.groupBy("region").agg(F.count("*").alias("points"), F.sum("n").alias("weight"), F.max("home").alias("homes"), F.max("before").alias("before"))
-        sizes = common.saved(sizes.where("homes and points > 1").select("region", "points", "weight", "before", ((F.col("points") <= most) & (F.col("weight") <= weight)).alias("fits")), "cell-sizes")
+        sizes = pending.groupBy("region").agg(F.count("*").alias("points"), F.sum("n").alias("weight"), F.max("home").alias("homes"))
+        sizes = common.saved(sizes.where("homes and points > 1").select("region", "points", "weight", ((F.col("points") <= most) & (F.col("weight") <= weight)).alias("fits")), "cell-sizes")
         bounded.append(pending.join(sizes.where("fits").select("region"), "region").select("region", "node"))
-        large = sizes.where("not fits")
+        large = sizes.where("not fits").drop("fits")
         if large.isEmpty():
             break
-        # cells that the last pivots made little smaller are compared block by block
-        stuck = F.lit(depth >= DEPTH) | (F.col("points") > 0.8 * F.col("before"))
-        bounded.append(_blocks(pending.join(large.where(stuck), "region"), most, weight))
-        split, cells = _split(pending.join(large.where(~stuck).drop("before", "fits"), "region"), sets, percent, most, weight, depth, n)
+        if depth == DEPTH:
+            bounded.append(_blocks(pending.join(large, "region"), most, weight))
+            break
+        pending, dense, cells = _split(pending.join(large, "region"), sets, percent, most, weight, depth, n)
         links.append(cells.select(F.col("node").alias("a"), F.explode("links").alias("b")))
-        pending, depth = split, depth + 1
+        bounded.append(_blocks(dense, most, weight))
+        depth += 1
     own = bounded[0]
     for more in bounded[1:]:
         own = own.unionAll(more)
@@ -358,8 +360,9 @@ def _blocks(rows: DataFrame, most: int, weight: int) -> DataFrame:
     return pairs.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"), F.lit("blocks")).alias("region"), "node")
 
 
-def _split(rows: DataFrame, sets: DataFrame, percent: int, most: int, weight: int, depth: int, n: int) -> tuple[DataFrame, DataFrame]:
-    """One Voronoi step for rows (region, node, n, home, points, weight): the cells' rows, and what was found of each point."""
+def _split(rows: DataFrame, sets: DataFrame, percent: int, most: int, weight: int, depth: int, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One Voronoi step for rows (region, node, n, home, points, weight): the rows of cells, those of regions that
+    pivots do not part (region, node, points, weight), and what was found of each point."""
     rows = rows.withColumn("salts", _salts(most, weight))
     order = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(depth)), "node")
     first = rows.where("home").withColumn("slot", F.row_number().over(order) - 1).where(F.col("slot") < PIVOTS)
@@ -376,10 +379,12 @@ def _split(rows: DataFrame, sets: DataFrame, percent: int, most: int, weight: in
     strange = known.select("region", F.explode(F.expr("filter(shells, k -> labels[k] <> mine)")).alias("k"))
     is_open = strange.groupBy("region").agg(F.collect_set("k").alias("open"))  # at most PIVOTS
     left = known.join(is_open, "region", "left").where(F.size(F.array_except("balls", F.coalesce("open", F.array().cast("array<int>")))) == 0)
-    before = cells.groupBy("region").agg(F.count("*").cast("int").alias("before"))
-    inside = left.join(before, "region").select("region", "node", "n", "home", "cell", "before", F.explode("windows").alias("k"))
-    split = inside.select(F.xxhash64("region", "k", F.lit(depth)).alias("region"), "node", "n", (F.col("home") & (F.col("cell") == F.col("k"))).alias("home"), "before")
-    return split, cells
+    left = common.saved(left.select("region", "node", "n", "home", "cell", "windows"), "unresolved")
+    sizes = left.groupBy("region").agg(F.count("*").alias("points"), F.sum("n").alias("weight"), (F.sum(F.size("windows")) > COPIES * F.count("*")).alias("dense"))
+    left = left.join(sizes, "region")
+    inside = left.where("not dense").select("region", "node", "n", "home", "cell", F.explode("windows").alias("k"))
+    split = inside.select(F.xxhash64("region", "k", F.lit(depth)).alias("region"), "node", "n", (F.col("home") & (F.col("cell") == F.col("k"))).alias("home"))
+    return split, left.where("dense").select("region", "node", "points", "weight"), cells
 
 
 def jaccard_components(df: DataFrame, words: int = 4, percent: int = 85, keyed: bool = False, most: int = MOST) -> DataFrame:
