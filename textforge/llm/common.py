@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.inMemoryColumnarStorage.batchSize", str(BATCH_ROWS))
     return spark
 
 
@@ -44,14 +46,29 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read back: lineage ends here."""
+#: Rows of one file of a table whose number of rows is known before.
+FILE_ROWS = 200_000
+
+
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read back: lineage ends here. rows: about how many there are."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df kept on the executors' disks for the steps of one operator that read it more than once.
+
+    What a lost executor held is computed anew from its inputs; spark.catalog.clearCache() frees all of it. Loops use
+    saved() instead, as plans would grow with each turn.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def forget_words() -> None:
     """In a Python worker that Spark uses again: drops what an encoder of an earlier stage has learnt and gives its memory back."""
     held = [getattr(sys.modules[m], name) for m, name in (("textforge.llm.word_ids", "encoder"), ("textforge.llm.byte_bpe", "codec")) if m in sys.modules]

@@ -14,9 +14,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round is written to the shared folder, so a lost executor costs one round; minima are taken per task
     before the shuffle, and Spark splits the partition of a node with very many links.
     """
-    spark = links.sparkSession
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    edges = common.saved(links.where("a <> b").select(a, b).distinct(), "links")
+    edges = common.held(links.where("a <> b").select(a, b).distinct())
     mark = _mark(edges)
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -24,10 +23,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
         # node a keeps its own least neighbour as well, so that nothing comes apart
         own = low.where("a > low").select("a", F.col("low").alias("b"))
-        edges = common.saved(large.unionAll(own).distinct(), "large-star")
+        edges = common.saved(large.unionAll(own).distinct(), "large-star", mark[0])
         low = edges.groupBy("a").agg(F.min("b").alias("low"))
         small = edges.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = common.saved(small.unionAll(low.select("a", F.col("low").alias("b"))).distinct(), "small-star")
+        edges = common.saved(small.unionAll(low.select("a", F.col("low").alias("b"))).distinct(), "small-star", mark[0])
         before, mark = mark, _mark(edges)
         if mark == before:
             break

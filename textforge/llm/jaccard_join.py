@@ -309,23 +309,22 @@ def regions(sets: DataFrame, percent: int) -> DataFrame:
     shared = held.join(met, "pivot").groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("times", "pivot"))).alias("shared"))
     least = F.expr(f"cast(({percent} * n + 99) div 100 as int)")
     pivots = shared.withColumn("room", F.size("shared") - least + 1).where("room > 0").select("node", "n", F.explode(F.expr("slice(shared, 1, room)")).alias("s"))
-    windows = common.saved(pivots.select("node", "n", F.col("s.pivot").alias("pivot")), "windows")
+    windows = common.held(pivots.select("node", "n", F.col("s.pivot").alias("pivot")))
     centres = windows.groupBy("pivot").agg(F.min("node").alias("b"))
     links = windows.join(centres, "pivot").where("node <> b").select(F.col("node").alias("a"), "b")
     roots = connected_components(links)
-    return roots.join(windows.groupBy("node").agg(F.max("n").alias("n")), "node").select(F.col("root").alias("region"), "node", "n")
+    members = roots.join(windows.groupBy("node").agg(F.max("n").alias("n")), "node").select(F.col("root").alias("region"), "node", "n")
+    return common.saved(members, "regions", windows.select("node").distinct().count())
 
 
 def region_links(members: DataFrame, sets: DataFrame, percent: int, most: int = MOST, weight: int = WEIGHT) -> DataFrame:
     """Links (a, b) whose components are those of all similar pairs inside the regions of members (region, node, n)."""
-    spark = members.sparkSession
-    n = common.partitions(spark)
+    n = common.partitions(members.sparkSession)
     pending = members.select("region", "node", "n", F.lit(True).alias("home"))
     links, bounded, depth = [], [], 0
     while True:
-        pending = common.saved(pending, "cells")
         sizes = pending.groupBy("region").agg(F.count("*").alias("points"), F.sum("n").alias("weight"), F.max("home").alias("homes"))
-        sizes = common.saved(sizes.where("homes and points > 1").select("region", "points", "weight", ((F.col("points") <= most) & (F.col("weight") <= weight)).alias("fits")), "cell-sizes")
+        sizes = common.held(sizes.where("homes and points > 1").select("region", "points", "weight", ((F.col("points") <= most) & (F.col("weight") <= weight)).alias("fits")))
         bounded.append(pending.join(sizes.where("fits").select("region"), "region").select("region", "node"))
         large = sizes.where("not fits").drop("fits")
         if large.isEmpty():
@@ -333,10 +332,11 @@ def region_links(members: DataFrame, sets: DataFrame, percent: int, most: int =
         if depth == DEPTH:
             bounded.append(_blocks(pending.join(large, "region"), most, weight))
             break
-        pending, dense, cells = _split(pending.join(large, "region"), sets, percent, most, weight, depth, n)
+        points = large.agg(F.sum("points")).first()[0]
+        split, dense, cells = _split(pending.join(large, "region"), sets, percent, most, weight, depth, n)
         links.append(cells.select(F.col("node").alias("a"), F.explode("links").alias("b")))
         bounded.append(_blocks(dense, most, weight))
-        depth += 1
+        pending, depth = common.saved(split, "cells", COPIES * points), depth + 1
     own = bounded[0]
     for more in bounded[1:]:
         own = own.unionAll(more)
@@ -370,7 +370,7 @@ def _split(rows: DataFrame, sets: DataFrame, percent: int, most: int, weight: in
     points = rows.select("region", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(99).alias("slot"), "node", "n", "home")
     dealt = pivots.unionAll(points).join(sets, "node").select("region", "salt", "slot", "node", "n", "home", "shingles")
     dealt = dealt.repartition(n, "region", "salt").sortWithinPartitions("region", "salt", "slot", "node")
-    cells = common.saved(dealt.mapInArrow(_placed(percent), _CELLS), "voronoi")
+    cells = common.held(dealt.mapInArrow(_placed(percent), _CELLS))
     edges = cells.select("region", F.explode("edges").alias("edge")).groupBy("region").agg(F.collect_set("edge").alias("edges"))  # at most PIVOTS squared
     labels = edges.mapInArrow(_labels, "region long, labels array<int>")
     each = F.sequence(F.lit(0), F.lit(PIVOTS - 1))
@@ -379,7 +379,7 @@ def _split(rows: DataFrame, sets: DataFrame, percent: int, most: int, weight: in
     strange = known.select("region", F.explode(F.expr("filter(shells, k -> labels[k] <> mine)")).alias("k"))
     is_open = strange.groupBy("region").agg(F.collect_set("k").alias("open"))  # at most PIVOTS
     left = known.join(is_open, "region", "left").where(F.size(F.array_except("balls", F.coalesce("open", F.array().cast("array<int>")))) == 0)
-    left = common.saved(left.select("region", "node", "n", "home", "cell", "windows"), "unresolved")
+    left = common.held(left.select("region", "node", "n", "home", "cell", "windows"))
     sizes = left.groupBy("region").agg(F.count("*").alias("points"), F.sum("n").alias("weight"), (F.sum(F.size("windows")) > COPIES * F.count("*")).alias("dense"))
     left = left.join(sizes, "region")
     inside = left.where("not dense").select("region", "node", "n", "home", "cell", F.explode("windows").alias("k"))
@@ -401,14 +401,14 @@ def jaccard_components(df: DataFrame, words: int = 4, percent: int = 85, keyed:
     common.prepare(df.sparkSession)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(df).cast("binary").alias("text"), *common.row_key(df))
     schema = "doc_id long, mark long, node long, n_shingles long, spare int, heads array<long>"
-    points = common.saved(rows.select("doc_id", "text", "mark").mapInArrow(_summaries(words, percent), schema), "points")
+    points = common.held(rows.select("doc_id", "text", "mark").mapInArrow(_summaries(words, percent), schema))
     own = F.coalesce("doc_id", F.lit(-(2**63))).alias("id")
     classes = points.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(own, "mark")).alias("least"), F.max("spare").alias("spare"))
-    classes = common.saved(classes.select("node", "least.id", "least.mark", "spare"), "classes")
+    classes = common.held(classes.select("node", "least.id", "least.mark", "spare"))
     few = sieved(points, classes)
     texts = rows.select("id", "mark", "text").join(few.select("id", "mark", "node"), ["id", "mark"]).dropDuplicates(["id", "mark"])
     sets = common.saved(texts.select("node", "text").mapInArrow(_sets(words), "node long, shingles array<long>"), "sets")
-    members = common.saved(regions(sets, percent), "regions")
+    members = regions(sets, percent)
     linked = connected_components(region_links(members, sets, percent, most))
     held = classes.join(linked, "node", "left").select("node", "id", F.coalesce("root", "node").alias("part"))
     lows = held.groupBy("part").agg(F.min("id").alias("low"))

@@ -13,6 +13,7 @@ Any zstandard reader can decompress the whole; read_documents() fetches only the
 
 from __future__ import annotations
 
+import contextlib
 import struct
 import uuid
 import zlib
@@ -103,9 +104,10 @@ class FrameReader:
     def documents(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int | None, bytes]]:
         """(doc_id, ids) in file order; with `wanted`, only frames that hold those documents are decompressed."""
         keep = np.ones(len(self.index), bool) if wanted is None else np.isin(self.index["doc_id"], list(wanted)) & (self.index["present"] == 1)
-        for k in np.unique(self.index["frame"][keep]):
+        frames = self.index["frame"]  # ascending
+        for k in np.unique(frames[keep]):
             raw, at = self.frame(int(k)), 0
-            for row in np.flatnonzero(self.index["frame"] == k):
+            for row in range(*np.searchsorted(frames, (k, k + 1))):
                 size = 4 * int(self.index["n_tokens"][row])
                 if keep[row]:
                     yield (int(self.index["doc_id"][row]) if self.index["present"][row] else None), raw[at : at + size]
@@ -119,13 +121,18 @@ def _writer(folder: str, vocab: str):
         files.create_dir(root, recursive=True)
         own, final = f"{root}/.part-{part:06d}-{uuid.uuid4().hex}", f"{root}/part-{part:06d}.ids.zst"
         encode_all, end = encoder(vocab).encode_all, struct.pack("<I", END_ID)
-        with files.open_output_stream(own) as out:
-            frames = FrameWriter(out)
-            for batch in batches:
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(x.as_py() for x in batch.column(1)), strict=True):
-                    frames.add(doc_id, ids + end)
-            frames.close()
-        files.move(own, final)  # a repeated attempt replaces the same file with the same content
+        try:
+            with files.open_output_stream(own) as out:
+                frames = FrameWriter(out)
+                for batch in batches:
+                    for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(x.as_py() for x in batch.column(1)), strict=True):
+                        frames.add(doc_id, ids + end)
+                frames.close()
+            files.move(own, final)  # a repeated attempt replaces the same file with the same content
+        except BaseException:
+            with contextlib.suppress(OSError):
+                files.delete_file(own)
+            raise
         yield pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([final.rpartition("/")[2]]), pa.array([len(frames.index)], pa.int64()), pa.array([frames.n_tokens], pa.int64())],
             names=["part", "file", "n_docs", "n_tokens"],
