@@ -41,6 +41,8 @@ MOST, WEIGHT, PIVOTS, LEAF = 128, 1 << 19, 24, 24
 #: Distance from its pivot up to which a point is at home in a cell. A region is compared block by block where a split
 #: would make more than COPIES rows of each point, and after DEPTH splits.
 REACH, COPIES, DEPTH = 0.5, 2, 6
+#: Shingles that a task sorts at once before they are dealt, and buckets for each partition they are dealt to.
+HELD, BUCKETS = 1 << 20, 8
 #: Rounding of distances, which are fractions of whole numbers: windows are wider by this, never narrower.
 SLACK = 1e-9
 
@@ -89,7 +91,7 @@ def window(n: np.ndarray, percent: int) -> np.ndarray:
 
 def sieve_length(n: np.ndarray, percent: int) -> np.ndarray:
     """How many first shingles of a set of n the sieve sees: its window and some to take the place of shared ones."""
-    return np.minimum(n, (13 * window(n, percent) + 9) // 10 + 4)
+    return np.minimum(n, (15 * window(n, percent) + 9) // 10 + 4)
 
 
 def _summaries(words: int, percent: int):
@@ -293,20 +295,125 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.list_(pa.int32()))], names=["region", "labels"])
 
 
+_DEALT = pa.schema([("bucket", pa.int32()), ("pivots", pa.binary()), ("nodes", pa.binary()), ("many", pa.binary())])
+
+
+def _pairs(pivots: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs, pivot by pivot, and where a pivot begins."""
+    order = np.lexsort((nodes, pivots))
+    pivots, nodes = pivots[order], nodes[order]
+    new = np.ones(len(pivots), dtype=bool)
+    new[1:] = (pivots[1:] != pivots[:-1]) | (nodes[1:] != nodes[:-1])
+    pivots, nodes = pivots[new], nodes[new]
+    first = np.ones(len(pivots), dtype=bool)
+    first[1:] = pivots[1:] != pivots[:-1]
+    return pivots, nodes, first
+
+
+def _deal(buckets: int):
+    """(node, pivots) to rows of a bucket: its pivots, their nodes and whether a pivot is known to have many.
+
+    A pivot with several nodes in one task is dealt once, marked 1, so a pivot of very many nodes stays few rows;
+    its pairs go along as settled, marked 2, dealt by node.
+    """
+    place = lambda x: ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        pivots, nodes, first = _pairs(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        held.clear()
+        several = np.zeros(len(first), dtype=bool)
+        several[:-1] = ~first[1:]
+        several |= ~first
+        marks = np.where(several, 2, 0).astype(np.uint8)
+        dealt = [np.concatenate([x, y[first & several]]) for x, y in ((pivots, pivots), (nodes, nodes))]
+        marks = np.concatenate([marks, np.ones(int((first & several).sum()), dtype=np.uint8)])
+        own = place(np.where(marks == 2, dealt[1].view(np.uint64), dealt[0]))
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.diff(own[order])) + 1
+        parts = [np.split(x[order], cuts) for x in (dealt[0], dealt[1], marks)]
+        columns = [pa.array([[x.tobytes() for x in p] for p in parts][k], pa.binary()) for k in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(own[order][np.concatenate([[0], cuts])]), *columns], schema=_DEALT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget_words()
+        held, size = [], 0
+        for batch in batches:
+            lists = batch.column(1)
+            values = lists.values.to_numpy().view(np.uint64)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+            held.append((values, np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))))
+            size += len(values)
+            if size > HELD:
+                yield flush(held)
+                size = 0
+        if size:
+            yield flush(held)
+
+    return run
+
+
+def _shared(counts: bool):
+    """Rows of _deal, bucket by bucket, to (node, pivot) for pivots of two or more nodes, or to (node, times) with counts."""
+
+    def flush(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        pivots, nodes, marks = (np.frombuffer(b"".join(h[k] for h in held), dtype=t) for k, t in enumerate((np.uint64, np.int64, np.uint8)))
+        held.clear()
+        known = np.unique(pivots[marks == 1])
+        one = marks == 0
+        own, node, first = _pairs(pivots[one], nodes[one])
+        many = np.zeros(len(own), dtype=bool)
+        many[:-1] = ~first[1:]
+        many |= ~first
+        if len(known):
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            many |= known[at] == own
+        node, own = np.concatenate([node[many], nodes[marks == 2]]), np.concatenate([own[many], pivots[marks == 2]])
+        if counts:
+            node, times = np.unique(node, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(times.astype(np.int64))], names=["node", "times"])
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(own.view(np.int64))], names=["node", "pivot"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget_words()
+        bucket, held = None, []
+        for batch in batches:
+            for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != bucket and held:
+                    yield flush(held)
+                bucket = own
+                held.append(tuple(row))
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def shared_pivots(lists: DataFrame, counts: bool) -> DataFrame:
+    """(node, pivot) for the pivots of lists (node, pivots) that two or more nodes have, or with counts (node, times).
+
+    The pairs are dealt in binary blocks by the pivot's bucket, which costs a fraction of a row for each.
+    """
+    n = common.partitions(lists.sparkSession)
+    dealt = lists.mapInArrow(_deal(BUCKETS * n), "bucket int, pivots binary, nodes binary, many binary")
+    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_shared(counts), "node long, times long" if counts else "node long, pivot long")
+
+
 def sieved(points: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of classes (node, spare, ...) that may have a partner; from points (node, n_shingles, heads)."""
-    copies = points.where("n_shingles > 0").select("node", F.explode("heads").alias("pivot"))
-    met = copies.groupBy("pivot").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("pivot")
-    shared = copies.join(met, "pivot").groupBy("node").agg(F.countDistinct("pivot").alias("shared"))
-    return classes.join(shared, "node").where("shared > spare").drop("shared")
+    """The rows of classes (node, spare, ...) that may have a partner; from points (node, n_shingles, heads).
+
+    Copies of one text may count a shingle more than once, which keeps a point too many, never one too few.
+    """
+    met = shared_pivots(points.where("n_shingles > 0").select("node", "heads"), counts=True)
+    return classes.join(met.groupBy("node").agg(F.sum("times").alias("shared")), "node").where("shared > spare").drop("shared")
 
 
 def regions(sets: DataFrame, percent: int) -> DataFrame:
     """(region, node, n) from sets (node, shingles): all partners of a node are in its region."""
-    held = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("pivot"))
-    met = held.groupBy("pivot").agg(F.count("*").alias("times"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("pivot", "times")
+    held = common.held(shared_pivots(sets.select("node", "shingles"), counts=False))
+    times = held.groupBy("pivot").agg(F.count("*").alias("times"))
     # a set's shared shingles, rarest first: bounded by its text
-    shared = held.join(met, "pivot").groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("times", "pivot"))).alias("shared"))
+    shared = held.join(times, "pivot").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("times", "pivot"))).alias("shared"))
+    shared = shared.join(sets.select("node", F.size("shingles").alias("n")), "node")
     least = F.expr(f"cast(({percent} * n + 99) div 100 as int)")
     pivots = shared.withColumn("room", F.size("shared") - least + 1).where("room > 0").select("node", "n", F.explode(F.expr("slice(shared, 1, room)")).alias("s"))
     windows = common.held(pivots.select("node", "n", F.col("s.pivot").alias("pivot")))
