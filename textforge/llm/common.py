@@ -69,6 +69,28 @@ def held(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+#: Buckets of 32,768 bits of the filter that thinned() broadcasts: 1 MB.
+FILTER_BUCKETS = 256
+
+
+def thinned(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """df without most rows whose 64-bit digest `key` is not in few: a filter of fixed size before a join, which alone decides.
+
+    Where few has very many rows the filter lets more through, so the join's result is the same at every size.
+    """
+    bits = lambda c: F.pmod(c, F.lit(FILTER_BUCKETS * 32768))
+    place = bits(F.col(key)) + 1  # positions count from 1
+    known = few.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    held = df.withColumns({"_bucket": F.bitmap_bucket_number(place), "_at": F.bitmap_bit_position(place).cast("int")}).join(F.broadcast(known), "_bucket")
+    return held.where("getbit(cast(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10) as int), _at % 8) = 1").select(df.columns)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are written: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget_words() -> None:
     """In a Python worker that Spark uses again: drops what an encoder of an earlier stage has learnt and gives its memory back."""
     held = [getattr(sys.modules[m], name) for m, name in (("textforge.llm.word_ids", "encoder"), ("textforge.llm.byte_bpe", "codec")) if m in sys.modules]

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from textforge.llm import common
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links (a, b), root the least node of its component.
+def connected_components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, root) for every node of links (a, b), root the least node of its component. rows: about how many links there are.
 
     Each round is written to the shared folder, so a lost executor costs one round; minima are taken per task
     before the shuffle, and Spark splits the partition of a node with very many links.
     """
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    edges = common.held(links.where("a <> b").select(a, b).distinct())
+    edges = common.saved(links.where("a <> b").select(a, b).distinct(), "links", rows)
     mark = _mark(edges)
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

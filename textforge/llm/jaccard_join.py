@@ -91,7 +91,7 @@ def window(n: np.ndarray, percent: int) -> np.ndarray:
 
 def sieve_length(n: np.ndarray, percent: int) -> np.ndarray:
     """How many first shingles of a set of n the sieve sees: its window and some to take the place of shared ones."""
-    return np.minimum(n, (15 * window(n, percent) + 9) // 10 + 4)
+    return np.minimum(n, (13 * window(n, percent) + 9) // 10 + 4)
 
 
 def _summaries(words: int, percent: int):
@@ -409,17 +409,17 @@ def sieved(points: DataFrame, classes: DataFrame) -> DataFrame:
 
 def regions(sets: DataFrame, percent: int) -> DataFrame:
     """(region, node, n) from sets (node, shingles): all partners of a node are in its region."""
-    held = common.held(shared_pivots(sets.select("node", "shingles"), counts=False))
+    held = shared_pivots(sets.select("node", "shingles"), counts=False)
     times = held.groupBy("pivot").agg(F.count("*").alias("times"))
     # a set's shared shingles, rarest first: bounded by its text
     shared = held.join(times, "pivot").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("times", "pivot"))).alias("shared"))
     shared = shared.join(sets.select("node", F.size("shingles").alias("n")), "node")
     least = F.expr(f"cast(({percent} * n + 99) div 100 as int)")
     pivots = shared.withColumn("room", F.size("shared") - least + 1).where("room > 0").select("node", "n", F.explode(F.expr("slice(shared, 1, room)")).alias("s"))
-    windows = common.held(pivots.select("node", "n", F.col("s.pivot").alias("pivot")))
+    windows = common.saved(pivots.select("node", "n", F.col("s.pivot").alias("pivot")), "windows", 32 * sets.count())
     centres = windows.groupBy("pivot").agg(F.min("node").alias("b"))
     links = windows.join(centres, "pivot").where("node <> b").select(F.col("node").alias("a"), "b")
-    roots = connected_components(links)
+    roots = connected_components(links, windows.count())
     members = roots.join(windows.groupBy("node").agg(F.max("n").alias("n")), "node").select(F.col("root").alias("region"), "node", "n")
     return common.saved(members, "regions", windows.select("node").distinct().count())
 
@@ -440,7 +440,7 @@ def region_links(members: DataFrame, sets: DataFrame, percent: int, most: int =
             bounded.append(_blocks(pending.join(large, "region"), most, weight))
             break
         points = large.agg(F.sum("points")).first()[0]
-        split, dense, cells = _split(pending.join(large, "region"), sets, percent, most, weight, depth, n)
+        split, dense, cells = _split(pending.join(large, "region"), sets, percent, most, weight, depth, n, points)
         links.append(cells.select(F.col("node").alias("a"), F.explode("links").alias("b")))
         bounded.append(_blocks(dense, most, weight))
         pending, depth = common.saved(split, "cells", COPIES * points), depth + 1
@@ -467,8 +467,8 @@ def _blocks(rows: DataFrame, most: int, weight: int) -> DataFrame:
     return pairs.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"), F.lit("blocks")).alias("region"), "node")
 
 
-def _split(rows: DataFrame, sets: DataFrame, percent: int, most: int, weight: int, depth: int, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One Voronoi step for rows (region, node, n, home, points, weight): the rows of cells, those of regions that
+def _split(rows: DataFrame, sets: DataFrame, percent: int, most: int, weight: int, depth: int, n: int, count: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One Voronoi step for count rows (region, node, n, home, points, weight): the rows of cells, those of regions that
     pivots do not part (region, node, points, weight), and what was found of each point."""
     rows = rows.withColumn("salts", _salts(most, weight))
     order = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(depth)), "node")
@@ -477,7 +477,7 @@ def _split(rows: DataFrame, sets: DataFrame, percent: int, most: int, weight: in
     points = rows.select("region", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(99).alias("slot"), "node", "n", "home")
     dealt = pivots.unionAll(points).join(sets, "node").select("region", "salt", "slot", "node", "n", "home", "shingles")
     dealt = dealt.repartition(n, "region", "salt").sortWithinPartitions("region", "salt", "slot", "node")
-    cells = common.held(dealt.mapInArrow(_placed(percent), _CELLS))
+    cells = common.saved(dealt.mapInArrow(_placed(percent), _CELLS), "voronoi", 10 * count)
     edges = cells.select("region", F.explode("edges").alias("edge")).groupBy("region").agg(F.collect_set("edge").alias("edges"))  # at most PIVOTS squared
     labels = edges.mapInArrow(_labels, "region long, labels array<int>")
     each = F.sequence(F.lit(0), F.lit(PIVOTS - 1))
@@ -486,7 +486,7 @@ def _split(rows: DataFrame, sets: DataFrame, percent: int, most: int, weight: in
     strange = known.select("region", F.explode(F.expr("filter(shells, k -> labels[k] <> mine)")).alias("k"))
     is_open = strange.groupBy("region").agg(F.collect_set("k").alias("open"))  # at most PIVOTS
     left = known.join(is_open, "region", "left").where(F.size(F.array_except("balls", F.coalesce("open", F.array().cast("array<int>")))) == 0)
-    left = common.held(left.select("region", "node", "n", "home", "cell", "windows"))
+    left = common.saved(left.select("region", "node", "n", "home", "cell", "windows"), "unresolved", count)
     sizes = left.groupBy("region").agg(F.count("*").alias("points"), F.sum("n").alias("weight"), (F.sum(F.size("windows")) > COPIES * F.count("*")).alias("dense"))
     left = left.join(sizes, "region")
     inside = left.where("not dense").select("region", "node", "n", "home", "cell", F.explode("windows").alias("k"))
@@ -511,12 +511,14 @@ def jaccard_components(df: DataFrame, words: int = 4, percent: int = 85, keyed:
     points = common.held(rows.select("doc_id", "text", "mark").mapInArrow(_summaries(words, percent), schema))
     own = F.coalesce("doc_id", F.lit(-(2**63))).alias("id")
     classes = points.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(own, "mark")).alias("least"), F.max("spare").alias("spare"))
-    classes = common.held(classes.select("node", "least.id", "least.mark", "spare"))
-    few = sieved(points, classes)
-    texts = rows.select("id", "mark", "text").join(few.select("id", "mark", "node"), ["id", "mark"]).dropDuplicates(["id", "mark"])
+    classes = common.saved(classes.select("node", "least.id", "least.mark", "spare"), "classes", points.count())
+    few = common.saved(sieved(points, classes), "sieved", points.count())
+    common.drop_shuffles(df.sparkSession)
+    texts = common.thinned(rows.select("id", "mark", "text"), few, "mark").join(few.select("id", "mark", "node"), ["id", "mark"]).dropDuplicates(["id", "mark"])
     sets = common.saved(texts.select("node", "text").mapInArrow(_sets(words), "node long, shingles array<long>"), "sets")
     members = regions(sets, percent)
-    linked = connected_components(region_links(members, sets, percent, most))
+    common.drop_shuffles(df.sparkSession)
+    linked = connected_components(region_links(members, sets, percent, most), members.count())
     held = classes.join(linked, "node", "left").select("node", "id", F.coalesce("root", "node").alias("part"))
     lows = held.groupBy("part").agg(F.min("id").alias("low"))
     found = held.join(lows, "part").select("node", "part", "low")
