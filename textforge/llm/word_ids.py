@@ -12,8 +12,9 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-#: Bytes of words and ids that a worker remembers, with ENTRY bytes besides for each; beyond, it starts anew.
-HELD, ENTRY = 48 << 20, 160
+#: Bytes of words and ids in a generation, with ENTRY bytes besides for each. A worker remembers two: words that are met
+#: again while a new generation fills are taken over, the others are forgotten.
+HELD, ENTRY = 80 << 20, 160
 #: Characters of texts that are split at once.
 BLOCK = 1 << 19
 _MARKS = ".,;:!?"
@@ -32,6 +33,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def encode(self, text: str) -> bytes:
@@ -64,9 +66,11 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> None:
         if self.held > HELD:
-            self.known, self.held = {}, 0
+            self.known, self.older, self.held = {}, self.known, 0
         known = self.known
-        new = words.difference(known)
+        met = words.difference(known)
+        known.update((w, self.older[w]) for w in met.intersection(self.older))
+        new = met.difference(known)
         # letters before one mark are split from it by the file's pattern; beyond Latin-1, lower case may end in a mark
         marked = [w for w in new if w[-1:] in _MARKS and w[:-1].isalpha() and _is_latin(w)]
         asked = list(new.difference(marked).union([w[:-1] for w in marked], _MARKS).difference(known))
@@ -74,7 +78,7 @@ class WordEncoder:
             known[w] = array("I", e.ids).tobytes()
         for w in marked:
             known[w] = known[w[:-1]] + known[w[-1]]
-        self.held += sum(len(w) + len(known[w]) + ENTRY for w in new)
+        self.held += sum(len(w) + len(known[w]) + ENTRY for w in met)
 
 
 def _is_latin(text: str) -> bool:
