@@ -30,7 +30,7 @@ def run(name, df, spark, labels, tmp_path):
         return token_store.read_tokens(spark, folder, token_store.write_tokens(df, folder))
     return {
         "sharding": lambda: sharding.shard_documents(df), "fingerprint": lambda: fingerprint.fingerprint_documents(df), "suffix": lambda: suffix_dedup.remove_repeats(df),
-        "packing": lambda: packing.pack_documents(df), "jaccard": lambda: jaccard_join.jaccard_components(df), "pii": lambda: pii.pseudonyms(df),
+        "packing": lambda: packing.pack_documents(df), "jaccard": lambda: jaccard_join.jaccard_components(df), "pii": lambda: pii.pseudonyms(df, b"key"),
         "bpe": lambda: byte_bpe.encode_documents(df), "toxicity": lambda: toxicity.score_documents(df, toxicity.fit(df, labels)), "hosts": lambda: host_rules.host_rules(df),
     }[name]()
 

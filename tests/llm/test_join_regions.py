@@ -66,6 +66,6 @@ def test_stock_phrases_make_no_region(spark):
     df = spark.createDataFrame(data, "doc_id long, text string")
     sets = {i: shingles(t, 4) for i, t in data}
     held = spark.createDataFrame([(i, [hash(s) for s in sets[i]]) for i in sets], "node long, shingles array<long>")
-    assert jaccard_join.regions(held, 85).count() == 0
+    assert jaccard_join.regions(held, 85, len(sets)).count() == 0
     got = jaccard_join.jaccard_components(df)
     assert all(r["component_id"] == r["doc_id"] for r in got.collect())

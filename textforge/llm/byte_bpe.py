@@ -2,8 +2,9 @@
 
 Encoded pieces of text form a monoid: the encoding of a concatenation follows from the encodings of its two
 halves by re-encoding only a window around the seam. The window grows on both sides until it is proven that
-nothing outside changes; decoding is plain concatenation up the same tree. Both work on any split of the
-text, so parts of a long match can be encoded apart and joined.
+nothing outside changes; decoding is plain concatenation up the same tree. A whole text is reduced by halves: down to
+LEAVES chunks the halves meet where every match of the pattern ends, so that their seam is stable without a window;
+a match longer than LEAF bytes is halved inside and its halves are joined by windows.
 
 Proof used at a seam. BPE merges the adjacent pair of lowest rank, leftmost first. A window that starts and
 ends at token boundaries of the halves is re-encoded on its own. Its new tokens are accepted when the outermost
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from textforge.llm import common
 
-#: Bytes below which a piece is merged directly, and entries a worker remembers.
-LEAF, KNOWN = 64, 400_000
+#: Bytes up to which a piece is merged directly, and chunks up to which a text is not halved.
+LEAF, LEAVES = 64, 1024
+#: Pairs of tokens that a worker remembers, and bytes of chunks and of pieces in a generation of two, with ENTRY besides for each.
+KNOWN, HELD, ENTRY = 400_000, 96 << 20, 200
 
 
 def ranks_file(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -51,6 +54,9 @@ class ByteBpe:
         self.find = regex.compile(pattern).findall
         self.stable: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.older: tuple[dict, dict] = ({}, {})
+        self.held = 0
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a short piece by greedy merging."""
@@ -110,7 +116,15 @@ class ByteBpe:
         return self.merge_all(b"".join([self.bytes_of[t] for t in left + right]))
 
     def encode(self, text: str) -> list[int]:
-        return [t for m in self.find(text) for t in self.encode_piece(m.encode())]
+        out: list[int] = []
+        for m in self.find(text):
+            if (ids := self.pieces.get(m)) is None:
+                if (ids := self.older[1].get(m)) is None:
+                    ids = self.encode_piece(m.encode())
+                self.pieces[m] = ids
+                self.held += len(m) + 8 * len(ids) + ENTRY
+            out += ids
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         """Concatenation up the tree."""
@@ -128,23 +142,34 @@ class ByteBpe:
         chunks = text.split(" ")
         if not all(chunks) or _GAPS(text):
             chunks = _SEAM(text)
-            chunks = chunks[:1] + [" " + c for c in chunks[1:]]
-        else:
-            chunks[1:] = [" " + c for c in chunks[1:]]
+        chunks[1:] = [" " + c for c in chunks[1:]]
+        return self._reduced(chunks)
+
+    def _reduced(self, chunks: list[str]) -> tuple[list[bytes], list[bytes]]:
+        if len(chunks) > LEAVES:
+            half = len(chunks) // 2
+            left, right = self._reduced(chunks[:half]), self._reduced(chunks[half:])
+            return left[0] + right[0], left[1] + right[1]
         known = self.known
         try:
             found = [known[c] for c in chunks]
         except KeyError:
-            found = []
-            for c in chunks:
-                if (x := known.get(c)) is None:
-                    if len(known) > KNOWN:
-                        known.clear()
-                    ids = self.encode(c)
-                    x = known[c] = (b"".join(b"%d," % t for t in ids), self.decode(ids))
-                found.append(x)
+            get = known.get
+            found = [get(c) or self._learn(c) for c in chunks]
+            if self.held > HELD:
+                self.older, self.known, self.pieces, self.held = (self.known, self.pieces), {}, {}, 0
         return [x[0] for x in found], [x[1] for x in found]
 
+    def _learn(self, chunk: str) -> tuple[bytes, bytes]:
+        """The entry of a chunk that this generation has not met."""
+        if (x := self.known.get(chunk)) is None:
+            if (x := self.older[0].get(chunk)) is None:
+                ids = self.encode(chunk)
+                x = b"".join(b"%d," % t for t in ids), self.decode(ids)
+            self.known[chunk] = x
+            self.held += len(chunk) + len(x[0]) + len(x[1]) + ENTRY
+        return x
+
 
 _GAPS = regex.compile(r" \s|\s ").search
 _SEAM = regex.compile(r"(?<=\S) (?=\S)").split

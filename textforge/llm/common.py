@@ -9,10 +9,10 @@ import os
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +60,56 @@ def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str) -> tuple[DataFrame, int]:
+    """df.mapInArrow(run, schema) as a Parquet table in the shared folder, and its number of rows.
+
+    The workers write the files themselves, so the rows need not pass the JVM. Each task writes under a name of its own
+    and then moves the file, so a repeated attempt replaces it. Folders that only Spark can reach are written by Spark.
+    """
+    spark = df.sparkSession
+    folder = shared_dir(spark, name)
+    try:
+        files, root = filesystem(folder)
+        files.create_dir(root, recursive=True)
+    except (pa.ArrowInvalid, NotImplementedError, OSError):
+        out = saved(df.mapInArrow(run, schema), name)
+        return out, out.count()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import parquet
+
+        files, root = filesystem(folder)
+        part = TaskContext.get().partitionId()
+        own, n, writer, held = f"{root}/.part-{part:06d}-{uuid.uuid4().hex}", 0, None, []
+
+        def flush() -> None:
+            nonlocal writer
+            if held:
+                writer = writer or parquet.ParquetWriter(own, held[0].schema, filesystem=files, compression="zstd", compression_level=1, use_dictionary=False)
+                writer.write_table(pa.Table.from_batches(held))
+                held.clear()
+
+        try:
+            for batch in run(batches):
+                n += batch.num_rows
+                if batch.num_rows:
+                    held.append(batch)
+                if sum(b.nbytes for b in held) > GROUP_BYTES:
+                    flush()
+            flush()
+            if writer is not None:
+                writer.close()
+                files.move(own, f"{root}/part-{part:06d}.parquet")
+        except BaseException:
+            with contextlib.suppress(OSError):
+                files.delete_file(own)
+            raise
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows = df.mapInArrow(write, "n long").agg(F.sum("n")).first()[0]
+    return spark.read.schema(schema).parquet(folder), rows or 0
+
+
 def held(df: DataFrame) -> DataFrame:
     """df kept on the executors' disks for the steps of one operator that read it more than once.
 
@@ -69,6 +119,8 @@ def held(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+#: Bytes that a worker gathers for one row group.
+GROUP_BYTES = 1 << 24
 #: Buckets of 32,768 bits of the filter that thinned() broadcasts: 1 MB.
 FILTER_BUCKETS = 256
 

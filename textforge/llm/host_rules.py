@@ -81,7 +81,7 @@ def host_rules(df: DataFrame, host_column: str = "source", host_limit: float = H
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), common.text_of(df).cast("binary").alias("text"))
     schema = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    measured = common.saved(rows.mapInArrow(_measured, schema).withColumn("base_failed", failed), "measured")
+    measured = common.mapped(rows, _measured, schema, "measured")[0].withColumn("base_failed", failed)
     hosts = measured.groupBy("host").agg(F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     a, b = beta_prior(hosts)
     verdicts = hosts.select("host", ((F.col("failed") + a) / (F.col("docs") + (a + b))).alias("host_rate"))

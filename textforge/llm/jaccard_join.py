@@ -407,8 +407,8 @@ def sieved(points: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.join(met.groupBy("node").agg(F.sum("times").alias("shared")), "node").where("shared > spare").drop("shared")
 
 
-def regions(sets: DataFrame, percent: int) -> DataFrame:
-    """(region, node, n) from sets (node, shingles): all partners of a node are in its region."""
+def regions(sets: DataFrame, percent: int, count: int) -> DataFrame:
+    """(region, node, n) from count sets (node, shingles): all partners of a node are in its region."""
     held = shared_pivots(sets.select("node", "shingles"), counts=False)
     times = held.groupBy("pivot").agg(F.count("*").alias("times"))
     # a set's shared shingles, rarest first: bounded by its text
@@ -416,7 +416,7 @@ def regions(sets: DataFrame, percent: int) -> DataFrame:
     shared = shared.join(sets.select("node", F.size("shingles").alias("n")), "node")
     least = F.expr(f"cast(({percent} * n + 99) div 100 as int)")
     pivots = shared.withColumn("room", F.size("shared") - least + 1).where("room > 0").select("node", "n", F.explode(F.expr("slice(shared, 1, room)")).alias("s"))
-    windows = common.saved(pivots.select("node", "n", F.col("s.pivot").alias("pivot")), "windows", 32 * sets.count())
+    windows = common.saved(pivots.select("node", "n", F.col("s.pivot").alias("pivot")), "windows", 32 * count)
     centres = windows.groupBy("pivot").agg(F.min("node").alias("b"))
     links = windows.join(centres, "pivot").where("node <> b").select(F.col("node").alias("a"), "b")
     roots = connected_components(links, windows.count())
@@ -477,7 +477,7 @@ def _split(rows: DataFrame, sets: DataFrame, percent: int, most: int, weight: in
     points = rows.select("region", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(99).alias("slot"), "node", "n", "home")
     dealt = pivots.unionAll(points).join(sets, "node").select("region", "salt", "slot", "node", "n", "home", "shingles")
     dealt = dealt.repartition(n, "region", "salt").sortWithinPartitions("region", "salt", "slot", "node")
-    cells = common.saved(dealt.mapInArrow(_placed(percent), _CELLS), "voronoi", 10 * count)
+    cells, _ = common.mapped(dealt, _placed(percent), _CELLS, "voronoi")
     edges = cells.select("region", F.explode("edges").alias("edge")).groupBy("region").agg(F.collect_set("edge").alias("edges"))  # at most PIVOTS squared
     labels = edges.mapInArrow(_labels, "region long, labels array<int>")
     each = F.sequence(F.lit(0), F.lit(PIVOTS - 1))
@@ -508,15 +508,15 @@ def jaccard_components(df: DataFrame, words: int = 4, percent: int = 85, keyed:
     common.prepare(df.sparkSession)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(df).cast("binary").alias("text"), *common.row_key(df))
     schema = "doc_id long, mark long, node long, n_shingles long, spare int, heads array<long>"
-    points = common.held(rows.select("doc_id", "text", "mark").mapInArrow(_summaries(words, percent), schema))
+    points, n_points = common.mapped(rows.select("doc_id", "text", "mark"), _summaries(words, percent), schema, "points")
     own = F.coalesce("doc_id", F.lit(-(2**63))).alias("id")
     classes = points.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(own, "mark")).alias("least"), F.max("spare").alias("spare"))
-    classes = common.saved(classes.select("node", "least.id", "least.mark", "spare"), "classes", points.count())
-    few = common.saved(sieved(points, classes), "sieved", points.count())
+    classes = common.saved(classes.select("node", "least.id", "least.mark", "spare"), "classes", n_points)
+    few = common.saved(sieved(points, classes), "sieved", n_points)
     common.drop_shuffles(df.sparkSession)
     texts = common.thinned(rows.select("id", "mark", "text"), few, "mark").join(few.select("id", "mark", "node"), ["id", "mark"]).dropDuplicates(["id", "mark"])
-    sets = common.saved(texts.select("node", "text").mapInArrow(_sets(words), "node long, shingles array<long>"), "sets")
-    members = regions(sets, percent)
+    sets, n_sets = common.mapped(texts.select("node", "text"), _sets(words), "node long, shingles array<long>", "sets")
+    members = regions(sets, percent, n_sets)
     common.drop_shuffles(df.sparkSession)
     linked = connected_components(region_links(members, sets, percent, most), members.count())
     held = classes.join(linked, "node", "left").select("node", "id", F.coalesce("root", "node").alias("part"))

@@ -12,6 +12,7 @@ import contextlib
 import datetime
 import hashlib
 import re
+import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,8 +22,18 @@ from pyspark.sql import functions as F
 from textforge.llm import common
 
 ROUNDS = 8
-#: For tests and examples; a real run passes its own secret.
-DEMO_KEY = b"textforge demonstration key"
+#: The setting that holds the secret, and what tests and the queries on invented data take where it is not set.
+KEY_SETTING, DEMO_KEY = "spark.textforge.pii.key", b"textforge demonstration key"
+
+
+def key_of(spark: SparkSession, demo: bool = False) -> bytes:
+    """The secret of this run; without one, an error, or with demo the public key of the examples."""
+    if given := spark.conf.get(KEY_SETTING, None):
+        return hashlib.blake2b(given.encode(), digest_size=32).digest()
+    if not demo:
+        raise ValueError(f"no secret is set in {KEY_SETTING}")
+    warnings.warn(f"{KEY_SETTING} is not set: these pseudonyms are made with a public key and can be undone", stacklevel=2)
+    return DEMO_KEY
 
 
 def permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
@@ -238,8 +249,12 @@ def pseudonymise(text: str, key: bytes = DEMO_KEY) -> tuple[str, list[tuple[str,
     return "".join([*out, text[at:]]), [(kind, s, e) for s, e, kind, _ in found]
 
 
-def pseudonymise_documents(df: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
-    """df's columns with the values in `text` replaced; a null text stays null, an empty one empty, rows without values as they are."""
+def pseudonymise_documents(df: DataFrame, key: bytes | None = None) -> DataFrame:
+    """df's columns with the values in `text` replaced; a null text stays null, an empty one empty, rows without values as they are.
+
+    Without a key, the secret is read from KEY_SETTING.
+    """
+    key = key_of(df.sparkSession) if key is None else key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,12 +266,13 @@ def pseudonymise_documents(df: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def pseudonyms(df: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
+def pseudonyms(df: DataFrame, key: bytes | None = None) -> DataFrame:
     """doc_id, the new text, n_found and kinds ('card:2 email:1') for each row of df.
 
     A null text gives a null text and 0; repeated rows give equal results; an empty table no rows. Only doc_id
-    and text are read, so other columns may have any name.
+    and text are read, so other columns may have any name. Without a key, the secret is read from KEY_SETTING.
     """
+    key = key_of(df.sparkSession) if key is None else key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,4 +290,4 @@ def pseudonyms(df: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms(common.documents(spark, sf_dir))
+    return pseudonyms(common.documents(spark, sf_dir), key_of(spark, demo=True))

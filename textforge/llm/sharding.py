@@ -65,15 +65,14 @@ def shard_documents(df: DataFrame, shards: int = 16) -> DataFrame:
     """
     spark = common.prepare(df.sparkSession)
     text = common.text_of(df)
-    slim = common.saved(
+    slim = common.held(
         df.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("g1"),
             F.xxhash64(F.lit("second"), text).alias("g2"),
-        ),
-        "shard-rows",
+        )
     )
     groups = slim.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"))
     total = slim.agg(F.sum("size")).first()[0] or 0
@@ -109,7 +108,7 @@ def shard_documents(df: DataFrame, shards: int = 16) -> DataFrame:
     own = Window.partitionBy("shard", "strip").orderBy("doc_id", "text_crc32", "size")
     return (
         placed.withColumn("own", F.row_number().over(own))
-        .join(F.broadcast(before), ["shard", "strip"])
+        .join(before, ["shard", "strip"])
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
             (F.col("before") + F.col("own") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

@@ -315,16 +315,16 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     # a row is known by its doc_id and a mark of its text, in case a doc_id is repeated
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), *common.row_key(df), text.alias("text"))
     n = common.partitions(spark)
-    found = common.saved(rows.select("id", "mark", "text").mapInArrow(_anchor_rows(length, gram), "doc_id long, mark long, spot long, gram long, hull long"), "anchors")
+    found, _ = common.mapped(rows.select("id", "mark", "text"), _anchor_rows(length, gram), "doc_id long, mark long, spot long, gram long, hull long", "anchors")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("hull").alias("least"), F.max("hull").alias("most")).where("n > 1")
     grams = grams.select("gram", (F.col("least") != F.col("most")).alias("mixed"))
-    known = common.saved(found.join(grams, "gram"), "repeated-grams")
+    known = common.held(found.join(grams, "gram"))
     start = F.shiftright("spot", 16) - F.shiftright("spot", 8).bitwiseAND(255)
     part = (F.col("doc_id"), F.col("mark"), start.alias("low"), (start + F.col("spot").bitwiseAND(255) + length).alias("high"))
     whole = known.where("not mixed").select(*part)
     mixed = known.where("mixed").drop("mixed")
     kinds = mixed.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "spot")).alias("one"))
-    kinds = common.saved(kinds, "hulls")
+    kinds = common.held(kinds)
     repeated = mixed.join(kinds.where("n > 1").select("gram", "hull"), ["gram", "hull"]).select(*part)
     large = kinds.groupBy("gram").count().where(F.col("count") > hot).select("gram", F.lit(True).alias("hot"))
     spots = kinds.join(large, "gram", "left").select("one.doc_id", "one.mark", F.struct(F.col("one.spot").alias("spot"), "gram", F.coalesce("hot", F.lit(False)).alias("hot"), (F.col("n") == 1).alias("lone")).alias("at"))
@@ -333,8 +333,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     texts = rows.select("doc_id", "id", "mark", "text").repartition(n, "id", "mark")
     schema = "gram long, hot boolean, lone boolean, doc_id long, mark long, spot long, hull binary"
     by_text = by_text.select(F.col("doc_id").alias("id"), "mark", "spots")
-    hulls = texts.join(by_text, ["id", "mark"]).select("id", "mark", "text", "spots").mapInArrow(_hull_rows(length), schema)
-    hulls = common.saved(hulls, "hull-bytes")
+    hulls, _ = common.mapped(texts.join(by_text, ["id", "mark"]).select("id", "mark", "text", "spots"), _hull_rows(length), schema, "hull-bytes")
     dealt = hulls.where("not hot").repartition(n, "gram").sortWithinPartitions("gram")
     sorted_parts = dealt.mapInArrow(_sorted_grams(length), "doc_id long, mark long, low long, high long")
     strings = hulls.where("hot").mapInArrow(_hot_strings(length), "one long, two long, lone boolean, doc_id long, mark long, start long")

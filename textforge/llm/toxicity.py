@@ -72,7 +72,10 @@ class ToxicityModel:
     def score(self, text: bytes | None) -> float:
         found = [self.place[w] for w in words_of(text) & self.place.keys()]
         z = self.weights[:, found].sum(axis=1) + self.weights[:, -1]
-        return float((1 / (1 + np.exp(-np.clip(z, -30, 30)))).mean())
+        likely = float((1 / (1 + np.exp(-np.clip(z, -30, 30)))).mean())
+        # the models' boundary is at one half, the limit's at LIMIT: the odds are scaled so that they meet
+        odds = likely / (1 - likely) * LIMIT / (1 - LIMIT)
+        return odds / (1 + odds)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +99,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int =
     known = _some(marks.where("toxic = 1").select("doc_id").distinct(), toxic or 0, sample)
     chosen = rows.join(F.broadcast(known), "doc_id", "left_semi").select(F.lit(1).alias("positive"), "text")
     any_text = _some(rows, rows.select("doc_id").count(), sample).select(F.lit(0).alias("positive"), "text")
-    table = common.saved(chosen.unionAll(any_text).mapInArrow(_words, "positive int, words array<binary>"), "toxic-words")
+    table, _ = common.mapped(chosen.unionAll(any_text), _words, "positive int, words array<binary>", "toxic-words")
     n_u, n_p = table.agg(F.count("*") - F.sum("positive"), F.sum("positive")).first()
     if not n_p or not n_u:
         return ToxicityModel([], np.array([[np.log(prior / (1 - prior))]]))
