@@ -55,7 +55,7 @@ def decoded(kept: bytes | None) -> str | None:
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal values replaced by pseudonyms of the same format."""
-    return pii.pseudonymise_documents(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.pseudonymise_documents(docs.select(COLUMNS), pii.key_of(spark, demo=True)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
