@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textforge.functions import markup
 from textforge.functions import text as T
 from textforge.functions import urls as U
-from textforge.operators import cascade, classify, dedup, extract, queue, scoring, state
+from textforge.operators import cascade, classify, dedup, extract, queue, roles, scoring, state
 from textforge.rulepack import FIXTURE, RulePack
 from textforge.sources import tables
 from textforge.streaming.alerts import run_alerts
@@ -34,7 +35,7 @@ def test_three_ways_of_matching(spark, text, word, hit, match):
 
 def test_html(spark):
     page = '<html><script>var a="<p>";</script><style>p{}</style><p>Fish &amp; chips&nbsp;&lt;hot&gt;</p></html>'
-    assert one(spark, page, T.html_to_plain) == "Fish & chips <hot>"
+    assert one(spark, page, T.html_to_plain) == "Fish & chips"
     assert one(spark, page, T.looks_like_html) is True
     assert one(spark, "a < b", T.looks_like_html) is False
 
@@ -52,13 +53,14 @@ def test_urls(spark):
     assert one(spark, "/a", lambda c: U.absolute_url(c, "https://x.example")) == "https://x.example/a"
 
 
-def test_language_rules():
-    assert classify.language_clauses("french required; dutch is a plus") == (["fr"], ["nl"], ["french required", "dutch is a plus"])
-    assert classify.language_clauses("french or dutch required") == ([], ["fr", "nl"], ["french or dutch required"])
-    assert classify.language_clauses("") == ([], [], [])
-    assert classify.years_in("3-5 years of experience") == 3
-    assert classify.years_in("minimum 4 years experience and 2+ years experience") == 4
-    assert classify.years_in("founded 20 years ago") is None
+def test_years_required(spark):
+    found = lambda t: tuple(one(spark, t, roles.years_required))
+    assert found("3-5 years of experience") == (3, True)
+    assert found("minimum 4 years experience and 2+ years experience") == (4, False)
+    assert found("founded 20 years ago") == (None, False) and found("") == (None, False)
+    assert found("at least 3 years in a long and winding sort of experience") == (None, False)
+    assert found("2-4 years experience, 16 years experience") == (2, True)
+    assert found("experience " + "x" * 30 + " 5 years") == (None, False) and found("experience " + "x" * 28 + " 5 years") == (5, False)
 
 
 def rows(spark, *values):
@@ -172,20 +174,25 @@ def test_repair(spark):
 
 def test_role_in_context(spark):
     far = "x" * 400
-    rows = spark.createDataFrame([(1, "sales lead", ""), (2, "engineer", f"sales work {far}"), (3, "engineer", f"{far} sales"), (4, "engineer", f"{far} your role: sales"), (5, "engineer", "you work with sales daily"), (6, "", "")], "i int, t string, d string")
-    out = rows.select("i", classify.role_forbidden_reason(F.col("t"), F.col("d"), ("sales",), (r"work with",), (r"your role",)).alias("r")).collect()
-    assert {r["i"]: r["r"] for r in out} == {1: "sales", 2: "sales", 3: "", 4: "sales", 5: "", 6: ""}
-
-
-def test_listing_formats(spark):
-    card = '<div class="card card-job featured"><h3> <a href="/offre-emploi-maroc/a-1" title="Turner &amp; Miller">x</a></h3><a class="card-job-company company-name">Acme</a><div class="card-job-description"> <p>Turn <b>things</b></p></div><ul><li>Région de : <strong>Fès</strong></li><li>Contrat proposé : <strong>CDI</strong></li></ul><div><time datetime="2024-01-02">02.01</time></div></div>'
-    r = extract.cards(spark.createDataFrame([("p", card + card.replace("h3", "h4"))], "url string, html string"), "https://x.example", "a", "t").collect()
-    assert len(r) == 1 and (r[0]["title"], r[0]["company"], r[0]["location"], r[0]["description"], r[0]["url"], r[0]["contract_type"], r[0]["experience_hint"]) == ("Turner & Miller", "Acme", "Fès", "Turn things", "https://x.example/offre-emploi-maroc/a-1", "CDI", "")
-    item = '<li class="post-id" id="7"><a class="titreJob" href="/o/7.html">Baker | Town</a><img class="photo" alt="Acme"><div class="info"><span>Bake bread</span></div><em class="date"><span>05/03/2024</span></em><div class="info">Rabat - Maroc Expérience requise : 2 ans Type de contrat proposé : CDI</div></li><a class="next" href="?p=2">'
-    pages = spark.createDataFrame([("p", item)], "url string, html string")
-    r = extract.items(pages, "https://y.example", "b", "t").first()
-    assert (r["title"], r["company"], r["description"], r["created"], r["location"], r["experience_hint"], r["url"]) == ("Baker | Town", "Acme", "Bake bread", "2024-03-05", "Rabat - Maroc", "2 ans", "https://y.example/o/7.html")
-    assert pages.select(extract.next_url(F.col("html"))).first()[0] == "?p=2"
+    rules = roles.RoleRules(forbidden=("sales",))
+    rows = spark.createDataFrame([(1, "sales lead", ""), (2, "engineer", f"sales of pumps {far}"), (3, "engineer", f"{far} sales"), (4, "engineer", f"{far} your role: sales"), (5, "engineer", "you work with sales daily"), (6, "", ""), (7, "engineer", f"we work with sales {far} our sales {far} position sales")], "i int, t string, d string")
+    out = rows.select("i", roles.forbidden_reason(F.col("t"), F.col("d"), rules).alias("r")).collect()
+    assert {r["i"]: r["r"] for r in out} == {1: "sales", 2: "sales", 3: "", 4: "sales", 5: "", 6: "", 7: "sales"}
+
+
+def test_markup():
+    root = markup.tree("<div><p>A&nbsp;b<p>c <script>x</script><ul><li>one<li>two<ul><li>in</ul></ul></b><img src=x>tail")
+    assert root.lines() == "A b\nc\none\ntwo\nin\ntail" and [n.text() for n in root.all("li")] == ["one", "two in", "in"]
+    assert markup.tree(None).text() == "" and markup.page_text("<b>x") == "x" and markup.job_description(markup.tree('<script type="application/ld+json">{broken</script>')) == ""
+
+
+def test_spread(spark, tmp_path):
+    df = spark.range(100)
+    df.repartition(1).write.parquet(str(tmp_path / "one"))
+    df.repartition(9).write.parquet(str(tmp_path / "nine"))
+    assert tables.spread(spark.read.parquet(str(tmp_path / "one"))).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.read.parquet(str(tmp_path / "nine"))
+    assert tables.spread(many) is many
 
 
 def test_canonical_columns(spark):

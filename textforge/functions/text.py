@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Sequence
 from functools import lru_cache, reduce
+from html.entities import codepoint2name
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ COMPANY_ENDINGS = (
     " recruitment", " consulting", " conseil", " recrutement",
     " and consulting", " and cons", " solutions",
 )
-#: Marks such as (m/f/x). Fixed value.
-GENDER_MARK = r"\(m[fwhx]/?f?/?x?\)|\([a-z](/[a-z])+\)"
+#: Marks such as (mf/x). Fixed value.
+GENDER_MARK = r"\(m[fwhx]/?f?/?x?\)"
 #: Words that token_set() leaves out. Fixed values.
 TOKEN_STOP = ("and", "the", "for", "with", "des", "les", "une", "dans", "sur", "job", "jobs")
 
@@ -32,8 +33,8 @@ def blank_null(c: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _accents() -> tuple[str, str]:
-    """Letters from U+00C0 to U+024F that decompose into a base letter and marks, and their base letters."""
-    pairs = [(chr(c), base[0]) for c in range(0xC0, 0x250) if len(base := unicodedata.normalize("NFD", chr(c))) > 1]
+    """Letters from U+00C0 to U+1EFF (Latin, Greek, Cyrillic) that decompose into a base letter and marks, and their base letters."""
+    pairs = [(chr(c), base[0]) for c in range(0xC0, 0x1F00) if len(base := unicodedata.normalize("NFD", chr(c))) > 1 and all(unicodedata.category(m) == "Mn" for m in base[1:])]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -61,30 +62,61 @@ def strip_noise(c: Column, tokens: Iterable[str]) -> Column:
     return collapse(reduce(lambda x, t: F.replace(x, F.lit(t), F.lit(" ")), tokens, bare))
 
 
-#: Letters and marks that feeds break most. Fixed values.
-BROKEN_LETTERS = "éèêëàâçùûôîï"
+#: Marks that feeds break most, and what they become. Fixed values.
 BROKEN_MARKS = (("\u2019", "'"), ("\u2013", "-"), ("\u2014", "-"), ("\u201c", '"'), ("\u201d", '"'))
 
 
-def repair(c: Column) -> Column:
-    """Undoes UTF-8 that was read as Latin-1 or Windows-1252, once or twice, for the usual letters and marks."""
-    pairs: list[tuple[str, str]] = []
-    for good, plain in [*((x, x) for x in BROKEN_LETTERS), *BROKEN_MARKS]:
+def _replaced(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    """All pairs, one after the other, as one small expression."""
+    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    return F.aggregate(table, c, lambda x, p: F.replace(x, p["a"], p["b"]))
+
+
+@lru_cache(maxsize=1)
+def _broken() -> tuple[tuple[str, str], ...]:
+    """Letters of Latin-1 and marks as they look when their UTF-8 was read as Latin-1 or Windows-1252, once or twice; longest first."""
+    letters = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+    pairs: dict[str, str] = {}
+    for good, plain in [*((x, x) for x in letters), *BROKEN_MARKS]:
         once = good.encode().decode("latin-1")
         windows = good.encode().decode("cp1252", "ignore")
-        pairs += [(windows.encode().decode("cp1252", "ignore"), plain), (once.encode().decode("latin-1"), plain), (once, plain), (windows, plain)]
-    longest = sorted(dict(pairs).items(), key=lambda p: -len(p[0]))
-    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), longest, F.coalesce(c, F.lit("")))
+        for bad in (windows.encode().decode("cp1252", "ignore"), once.encode().decode("latin-1"), once, windows):
+            if len(bad) > 1:
+                pairs[bad] = plain
+    return tuple(sorted(pairs.items(), key=lambda p: -len(p[0])))
+
+
+def repair(c: Column) -> Column:
+    """Undoes UTF-8 that was read as Latin-1 or Windows-1252, once or twice, for Latin-1 letters and the usual marks."""
+    given = F.coalesce(c, F.lit(""))
+    return F.when(given.rlike("[\u00c2\u00c3\u00e2]"), _replaced(given, _broken())).otherwise(given)
+
+
+@lru_cache(maxsize=1)
+def _entities() -> tuple[tuple[str, str], ...]:
+    """ENTITIES, and before the ampersand the named and decimal ones of Latin-1, which the standard library lists."""
+    latin = [(f"&{n};", chr(c)) for c, n in sorted(codepoint2name.items()) if 0xA1 <= c <= 0xFF]
+    numbers = [(f"&#{c};", chr(c)) for c in range(0xA1, 0x100)]
+    return (*ENTITIES[:-1], *latin, *numbers, ENTITIES[-1])
 
 
 def decode_entities(c: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
+    return F.when(F.contains(c, F.lit("&")), _replaced(c, _entities())).otherwise(c)
 
 
 def html_to_plain(c: Column) -> Column:
-    """Text without scripts, styles and tags."""
-    bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")
-    return collapse(decode_entities(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")))
+    """Text without scripts, styles and tags; entities are decoded first, so that markup written in them counts as markup."""
+    given = decode_entities(repair(c))
+    bare = F.regexp_replace(given, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")
+    return collapse(F.regexp_replace(bare, r"(?s)<[^>]*>", " "))
+
+
+def rule_plain(c: Column) -> Column:
+    """Text as rules read it: repaired, entities decoded, without tags if there are any."""
+    given = decode_entities(repair(c))
+    tagged = looks_like_html(given) | given.rlike(r"(?s)<[^>]+>")
+    bare = F.regexp_replace(F.regexp_replace(given, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " "), r"(?s)<[^>]*>", " ")
+    return collapse(F.when(tagged, bare).otherwise(given))
 
 
 def looks_like_html(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textforge.functions import text as T
 from textforge.functions import urls as U
 from textforge.operators import classify as C
+from textforge.operators import language as L
 from textforge.rulepack import RulePack
 
 
@@ -30,6 +31,10 @@ def steps(pack: RulePack) -> list[tuple[str, Column]]:
         ("excluded_word", F.size(hard) == 0),
         ("experience", F.col("experience_level") != "hard"),
         ("blocked_language", ~blocked),
+    ]
+    if pack.blocked_codes and pack.mode == "strict":
+        out.append(("detected_language", ~L.blocked_text(F.col("plain"), C.language, pack.blocked_codes)))
+    out += [
         ("junior_score", F.col("junior_score") >= (-1 if pack.mode == "broad" else 0)),
     ]
     return out
@@ -85,7 +90,8 @@ def global_hits(df: DataFrame, pack: RulePack) -> DataFrame:
 TRIAGE = (
     ("description_short", False, "insufficient_text"), ("bad_title", True, ""), ("not_recent", True, ""), ("location", False, "check_location"),
     ("role", True, ""), ("student_internship", True, ""), ("generic_internship", False, "check_internship"), ("excluded_word", True, ""),
-    ("experience", False, "check_experience"), ("blocked_language", False, "check_language"), ("junior_score", False, "check_seniority"),
+    ("experience", False, "check_experience"), ("blocked_language", False, "check_language"), ("detected_language", False, "check_language"),
+    ("junior_score", False, "check_seniority"),
 )
 
 

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from textforge.functions import text as T
 from textforge.rulepack import RulePack
@@ -18,7 +13,7 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """df with columns that are evaluated once for each row.
 
     As a plain projection Catalyst would copy each expression into every later use of it; a generator of one row
-    is a boundary that it leaves in place, while unused columns are still pruned.
+    is a boundary that it leaves in place. It is not pruned either, so ask for the columns that are needed only.
     """
     row = F.struct(*[c.alias(n) for n, c in columns.items()])
     return df.select("*", F.inline(F.array(row)))
@@ -26,12 +21,17 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def features(df: DataFrame) -> DataFrame:
     """Normalised columns that every rule uses, made once: title_n, desc_n, text_n, loc_n and the plain description."""
-    given = F.coalesce("description", F.lit(""))
-    out = computed(df, {"plain": F.when(T.looks_like_html(given), T.html_to_plain(given)).otherwise(T.collapse(given))})
+    out = computed(df, {"plain": T.rule_plain(F.col("description"))})
     out = computed(out, {"title_n": T.normalise(F.col("title")), "desc_n": T.normalise(F.col("plain")), "loc_n": T.normalise(F.col("location"))})
     return computed(out, {"text_n": F.concat_ws(" ", T.blank_null(F.col("title_n")), T.blank_null(F.col("desc_n")))})
 
 
+def job_text(df: DataFrame) -> Column:
+    """Title, description, company and location as one normalised text."""
+    parts = [T.blank_null(T.rule_plain(F.col(c))) for c in ("title", "description", "company", "location")]
+    return T.normalise(F.concat_ws(" ", *parts))
+
+
 def work_mode(text: Column, pack: RulePack) -> Column:
     hybrid, remote, onsite = (T.any_hit(text, w) for w in (pack.hybrid_terms, pack.remote_terms, pack.onsite_terms))
     return F.when(hybrid | (remote & onsite), "hybrid").when(remote, "remote").when(onsite, "onsite").otherwise("unknown")
@@ -97,6 +97,7 @@ VOTES = {
     "fr": "le la les de des et en un une du que qui dans pour".split(),
     "de": "der die das und den von zu mit nicht ein eine ist im auf".split(),
     "es": "el los las del y que en una por con para su al se".split(),
+    "nl": "het een van niet met zijn voor naar bij ook wij worden deze wordt aan".split(),
 }
 
 
@@ -107,86 +108,3 @@ def language(text: Column) -> Column:
     votes = F.array(*[F.struct(count(words).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, words) in enumerate(VOTES.items())])
     best = F.array_max(votes)
     return F.when(best["n"] > 0, best["code"]).otherwise("unknown")
-
-
-_RANGE = re.compile(r"(\d{1,2})\s*(?:-|to|a)\s*(\d{1,2})\s*(?:years?|ans?|jahre)")
-_YEARS = [re.compile(p) for p in (r"(?:minimum|at least|min\.?)\s*(\d{1,2})\s*(?:\+)?\s*(?:years?|ans?)", r"(\d{1,2})\s*\+\s*(?:years?|ans?)", r"(\d{1,2})\s*(?:years?|ans?)(?:\s+of|\s+d)?\s*\W?\s*experience")]
-
-
-def years_in(text: str) -> int | None:
-    """The greatest number of years asked for near the word experience; a range counts with its lower end."""
-    best, taken = None, []
-    near = lambda m: "experience" in text[max(0, m.start() - 40) : m.end() + 40]
-    for m in _RANGE.finditer(text):
-        if int(m[1]) <= 15 and near(m):
-            best = max(best or 0, int(m[1]))
-            taken.append(m.span())
-    for p in _YEARS:
-        for m in p.finditer(text):
-            if int(m[1]) <= 15 and near(m) and not any(a < m.end() and m.start() < b for a, b in taken):
-                best = max(best or 0, int(m[1]))
-    return best
-
-
-@F.pandas_udf(IntegerType())
-def years_required(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in texts:
-        yield part.map(lambda t: years_in(t) if t else None).astype("Int32")
-
-
-_CLAUSE = re.compile(r"[;,\n.|]+")
-#: Names of languages and the words that make one optional or required. Fixed values.
-LANGUAGE_NAMES = {"fr": ("french", "francais"), "en": ("english", "anglais"), "nl": ("dutch", "nederlands", "neerlandais"), "de": ("german", "allemand", "deutsch")}
-OPTIONAL = re.compile(r"\b(plus|asset|nice to have|preferred|atout|bonus)\b")
-REQUIRED = re.compile(r"\b(required|must|mandatory|fluent|fluency|native|exige|obligatoire|courant)\b")
-ALTERNATIVE = re.compile(r"\b(or|ou|oder)\b")
-
-
-def language_clauses(text: str) -> tuple[list[str], list[str], list[str]]:
-    """(required, optional, evidence): clause by clause; an optional word outweighs a required one, 'a or b' makes both optional."""
-    required, optional, evidence = set(), set(), []
-    for clause in _CLAUSE.split(text or ""):
-        codes = {c for c, names in LANGUAGE_NAMES.items() if any(re.search(rf"\b{n}\b", clause) for n in names)}
-        if not codes:
-            continue
-        if OPTIONAL.search(clause) or len(codes) > 1 and ALTERNATIVE.search(clause):
-            optional |= codes
-        elif REQUIRED.search(clause):
-            required |= codes
-        else:
-            continue
-        evidence.append(clause.strip())
-    return sorted(required), sorted(optional - required), evidence[:5]
-
-
-@F.pandas_udf(StructType([StructField(k, StringType()) for k in ("required", "optional", "evidence")]))
-def clause_languages(texts: pd.Series) -> pd.DataFrame:
-    rows = [language_clauses(t) for t in texts]
-    return pd.DataFrame([("|".join(a), "|".join(b), " | ".join(c)) for a, b, c in rows], columns=["required", "optional", "evidence"])
-
-
-def named_in_role(text: str, word: str, stakeholders: list[re.Pattern], sections: list[re.Pattern], early: int = 360) -> bool:
-    """Whether a word names the role itself: early in the text or after a section cue, and not among the people worked with."""
-    for m in re.finditer(r"(?<![a-z0-9])" + re.escape(word).replace(r"\ ", r"\s+") + r"(?![a-z0-9])", text):
-        around = text[max(0, m.start() - 90) : m.end() + 120]
-        if any(p.search(around) for p in stakeholders):
-            continue
-        if m.start() <= early or any(p.search(text[max(0, m.start() - 160) : m.start()]) for p in sections):
-            return True
-    return False
-
-
-def role_forbidden_reason(title: Column, text: Column, words: tuple[str, ...], stakeholders: tuple[str, ...], sections: tuple[str, ...]) -> Column:
-    """The first forbidden word in list order that the title has or the description names as the role; empty without one.
-
-    The words are tested in the JVM first, so Python sees the text of rows with a candidate only.
-    """
-    around, cues = [re.compile(p) for p in stakeholders], [re.compile(p) for p in sections]
-
-    @F.pandas_udf(StringType())
-    def reason(titles: pd.Series, texts: pd.Series) -> pd.Series:
-        whole = lambda t, w: re.search(r"(?<![a-z0-9])" + re.escape(w).replace(r"\ ", r"\s+") + r"(?![a-z0-9])", t)
-        return pd.Series([next((w for w in words if whole(a, w) or b and named_in_role(b, w, around, cues)), "") for a, b in zip(titles, texts, strict=True)], dtype="object")
-
-    both = F.concat_ws(" ", title, text)
-    return reason(title, F.when(T.contains_any(both, words), text).otherwise(F.lit("")))

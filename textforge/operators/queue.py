@@ -25,10 +25,11 @@ def feedback_map(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("w", w).where("w <> 0").groupBy(key).agg(clamp(F.bround(F.avg("w"), 0).cast("int"), -4, 4).alias("feedback"))
 
 
-def feedback_scored(df: DataFrame) -> DataFrame:
-    """df with feedback_score, company's plus term's, within 6 of zero. Maps below Spark's size limit are broadcast."""
-    company = feedback_map(df, "company").withColumnRenamed("feedback", "by_company")
-    term = feedback_map(df, "search_term").withColumnRenamed("feedback", "by_term")
+def feedback_scored(df: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """df with feedback_score, company's plus term's, within 6 of zero. history (default df) has the outcomes; maps below Spark's size limit are broadcast."""
+    history = df if history is None else history
+    company = feedback_map(history, "company").withColumnRenamed("feedback", "by_company")
+    term = feedback_map(history, "search_term").withColumnRenamed("feedback", "by_term")
     both = F.coalesce("by_company", F.lit(0)) + F.coalesce("by_term", F.lit(0))
     return df.join(company, "company", "left").join(term, "search_term", "left").withColumn("feedback_score", clamp(both, -6, 6)).drop("by_company", "by_term")
 
@@ -67,11 +68,12 @@ def page_advice(raw: Column, kept: Column, pages: Column) -> tuple[Column, Colum
     return label, count.cast("int")
 
 
-def term_yield(raw: DataFrame, kept: DataFrame, pages: int = 3) -> DataFrame:
-    """search_term, counts, rates and advice. kept has priority and junior_score."""
-    a = raw.groupBy("search_term").agg(F.count("*").alias("raw_count"))
-    b = kept.groupBy("search_term").agg(F.count("*").alias("kept_count"), F.bround(F.avg("priority"), 1).alias("avg_priority"), F.bround(F.avg("junior_score"), 2).alias("avg_junior"))
-    df = a.join(b, "search_term", "full").withColumns({"raw_count": F.coalesce("raw_count", F.lit(0)), "kept_count": F.coalesce("kept_count", F.lit(0))})
+def term_yield(df: DataFrame, kept: Column, pages: int = 3) -> DataFrame:
+    """search_term, counts, rates and advice in one pass over df, which has priority and junior_score; kept tells the rows that stay."""
+    of_kept = lambda c: F.avg(F.when(F.col("_kept"), F.col(c)))
+    df = df.withColumn("_kept", kept).groupBy("search_term").agg(
+        F.count("*").alias("raw_count"), F.count_if("_kept").alias("kept_count"), F.bround(of_kept("priority"), 1).alias("avg_priority"), F.bround(of_kept("junior_score"), 2).alias("avg_junior")
+    )
     share = 100.0 * F.col("kept_count") / F.sum("kept_count").over(Window.partitionBy())
     label, suggested = page_advice(F.col("raw_count"), F.col("kept_count"), F.lit(pages))
     rate = F.when(F.col("raw_count") > 0, 100.0 * F.col("kept_count") / F.col("raw_count")).otherwise(0.0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textforge.functions import text as T
 from textforge.functions import urls as U
-from textforge.operators import cascade, classify, dedup, extract, queue, scoring, state
+from textforge.operators import cascade, classify, dedup, extract, language, queue, roles, scoring, state
 from textforge.plans import oracle as O
 from textforge.rulepack import FIXTURE
 from textforge.sources.tables import postings, read_table, unify
@@ -150,7 +150,7 @@ def q_html_listing(spark, sf):
     return extract.listing(read_table(spark, sf, "pages"))
 
 
-@query("SELECT page_id, coalesce(list_max(list_transform(regexp_extract_all(url, 'page=(\\d+)', 1), lambda x: x::INT)), 0) + 1 AS n_pages FROM pages")
+@query("SELECT page_id, coalesce(list_max(list_transform(regexp_extract_all(url, '[?&]page=(\\d+)', 1), lambda x: x::INT)), 0) + 1 AS n_pages FROM pages")
 def q_page_count(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", extract.page_count(F.col("url")).alias("n_pages"))
 
@@ -189,15 +189,22 @@ def q_track(spark, sf):
 
 @query()
 def q_clause_language(spark, sf):
-    return docs(spark, sf).withColumn("l", classify.clause_languages(T.normalise(F.col("text")))).select("doc_id", "l.*")
+    found = language.signals(T.normalise(F.col("text")), language.LanguageRules())
+    return docs(spark, sf).withColumn("l", found).select("doc_id", *[joined(f"l.{k}").alias(k) for k in ("required", "optional", "alternative", "evidence")])
 
 
 @query()
 def q_years_required(spark, sf):
-    return docs(spark, sf).select("doc_id", classify.years_required(T.normalise(F.col("text"))).alias("years"))
+    return docs(spark, sf).withColumn("y", roles.years_required(T.normalise(F.col("text")))).select("doc_id", "y.years", "y.is_range")
 
 
-@query()
+@query(f"WITH {O.POSTING} SELECT row_id, md5({O.norm("concat_ws(' ', nullif(" + O.plain_html('title') + ", ''), nullif(" + O.plain_html('description') + ", ''), nullif(" + O.plain_html('company') + ", ''), nullif(" + O.plain_html('location') + ", ''))")}) AS text_md5 FROM posting")
+def q_job_text(spark, sf):
+    d = postings(spark, sf)
+    return d.select("row_id", F.md5(classify.job_text(d)).alias("text_md5"))
+
+
+@query(f"SELECT lang, count(*) AS n, count(*) FILTER (lang = found) AS right FROM (SELECT lang, {O.language('text')} AS found FROM documents) GROUP BY lang")
 def q_lang_id_accuracy(spark, sf):
     d = docs(spark, sf).select("lang", classify.language(F.col("text")).alias("found"))
     return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("found")).alias("right"))
@@ -246,7 +253,7 @@ def q_independent_impact(spark, sf):
 
 @query(f"WITH {O.scored()}, h AS (SELECT unnest({O.hits('text_n', FIXTURE.exclude)}) AS word FROM scored) SELECT word, count(*) AS n FROM h GROUP BY word")
 def q_global_hits(spark, sf):
-    return cascade.global_hits(scored(spark, sf), FIXTURE)
+    return cascade.global_hits(classify.features(postings(spark, sf)), FIXTURE)
 
 
 @query(f"WITH {O.scored()} SELECT count(*) FILTER ({O.passes()}) AS strict_n, count(*) FILTER ({O.passes(BROAD)}) AS broad_n, count(*) FILTER (({O.passes()}) AND NOT ({O.passes(BROAD)})) AS only_strict FROM scored")
@@ -414,12 +421,12 @@ def q_feedback_maps(spark, sf):
 
 
 def acted(spark, sf):
-    return queue.recommended(queue.feedback_scored(scored(spark, sf)), FIXTURE)
+    return queue.recommended(queue.feedback_scored(scored(spark, sf), postings(spark, sf)), FIXTURE)
 
 
 @query(f"WITH {O.queued()} SELECT row_id, feedback_score FROM fed")
 def q_feedback_score(spark, sf):
-    return queue.feedback_scored(scored(spark, sf)).select("row_id", "feedback_score")
+    return queue.feedback_scored(postings(spark, sf)).select("row_id", "feedback_score")
 
 
 @query(f"WITH {O.queued()} SELECT row_id, adjusted, action FROM acted")
@@ -458,8 +465,7 @@ e AS (SELECT *, CASE WHEN raw_count < 8 THEN 'insufficient_data' WHEN kept_count
 SELECT search_term, raw_count, kept_count, raw_count - kept_count AS filtered_out, round_even(rate, 2) AS keep_rate, round_even(share, 2) AS share_of_kept, avg_priority, avg_junior, recommendation,
   (CASE recommendation WHEN 'drop' THEN 1 WHEN 'decrease' THEN 2 WHEN 'increase' THEN 4 ELSE 3 END)::INT AS suggested_pages FROM e""")
 def q_term_yield(spark, sf):
-    d = scored(spark, sf)
-    return queue.term_yield(d, cascade.keep(d, BROAD))
+    return queue.term_yield(scored(spark, sf), cascade.first_fail(BROAD) == "")
 
 
 @query("SELECT event_type, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS k, count(*) AS n FROM events GROUP BY event_type")

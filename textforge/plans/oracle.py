@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from textforge.functions.text import COMPANY_ENDINGS, ENTITIES, GENDER_MARK, TOKEN_STOP
+from textforge.functions.text import COMPANY_ENDINGS, GENDER_MARK, TOKEN_STOP, _entities
+from textforge.operators.classify import VOTES
 from textforge.operators.dedup import NOISE
 from textforge.operators.queue import CLOSED, OUTCOME
 from textforge.rulepack import FIXTURE, RulePack
@@ -22,11 +23,23 @@ def flat(x: str) -> str:
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
-def plain_html(x: str) -> str:
-    out = f"regexp_replace(regexp_replace(coalesce({x}, ''), '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
-    for a, b in ENTITIES:
+def decoded(x: str) -> str:
+    out = given = f"coalesce({x}, '')"
+    for a, b in _entities():
         out = f"replace({out}, {q(a)}, {q(b)})"
-    return flat(out)
+    return f"(CASE WHEN contains({given}, '&') THEN {out} ELSE {given} END)"
+
+
+def plain_html(x: str) -> str:
+    return flat(f"regexp_replace(regexp_replace({decoded(x)}, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')")
+
+
+def language(x: str) -> str:
+    """The code with most function words; ties go to the first, no vote is 'unknown'."""
+    words = f"string_split_regex(lower(coalesce({x}, '')), '[^\\p{{L}}]+')"
+    votes = ", ".join(f"len(list_filter({words}, lambda w: list_contains({listed(v)}, w)))" for v in VOTES.values())
+    order = listed(VOTES)
+    return f"(CASE WHEN list_max([{votes}]) > 0 THEN {order}[list_position([{votes}], list_max([{votes}]))] ELSE 'unknown' END)"
 
 
 def html_like(x: str) -> str:
@@ -112,7 +125,7 @@ def scored(pack: RulePack = FIXTURE) -> str:
     bonus = " + ".join(f"CASE WHEN track = {q(t)} THEN {b} ELSE 0 END" for t, b in pack.track_bonus)
     terms = " + ".join(f"CASE WHEN contains(text_n, {q(t)}) THEN {w} ELSE 0 END" for t, w in pack.term_weights)
     return f"""{POSTING},
-plain AS (SELECT *, CASE WHEN {html_like("coalesce(description, '')")} THEN {plain_html('description')} ELSE {flat("coalesce(description, '')")} END AS plain FROM posting),
+plain AS (SELECT *, CASE WHEN {html_like(decoded('description'))} OR regexp_matches({decoded('description')}, '(?s)<[^>]+>') THEN {plain_html('description')} ELSE {flat(decoded('description'))} END AS plain FROM posting),
 feat0 AS (SELECT *, {norm('title')} AS title_n, {norm('plain')} AS desc_n, {norm('location')} AS loc_n FROM plain),
 feat AS (SELECT *, concat_ws(' ', nullif(title_n, ''), nullif(desc_n, '')) AS text_n FROM feat0),
 labelled0 AS (SELECT *,
@@ -160,6 +173,7 @@ def steps(pack: RulePack = FIXTURE) -> list[tuple[str, str]]:
         ("excluded_word", f"len({hard_soft(pack)[0]}) = 0"),
         ("experience", "experience_level <> 'hard'"),
         ("blocked_language", f"NOT ({blocked})"),
+        *([("detected_language", f"{language('substring(plain, 1, 800)')} NOT IN ({', '.join(map(q, pack.blocked_codes))})")] if pack.blocked_codes and pack.mode == "strict" else []),
         ("junior_score", f"junior_score >= {-1 if pack.mode == 'broad' else 0}"),
     ]
 

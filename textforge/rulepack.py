@@ -39,6 +39,8 @@ class RulePack:
     soft_experience: tuple[str, ...] = ()
     blocked_language: tuple[str, ...] = ()
     optional_language: tuple[str, ...] = ()
+    #: Languages of whole texts that the strict mode drops.
+    blocked_codes: tuple[str, ...] = ()
     junior_plus: tuple[str, ...] = ()
     junior_minus: tuple[str, ...] = ()
     junior_mild: tuple[str, ...] = ()
@@ -96,6 +98,7 @@ FIXTURE = RulePack(
     soft_experience=("pathetic", "was"),
     blocked_language=("nicht", "keiten"),
     optional_language=("auch", "nicht der"),
+    blocked_codes=("es",),
     junior_plus=("the", "ring", "red", "por"),
     junior_minus=("nicht", "idiot", "token"),
     junior_mild=("avec", "for"),

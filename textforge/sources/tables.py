@@ -72,6 +72,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, share: int = 32 << 20) -> DataFrame:
+    """A small table of fewer files than cores, dealt to all cores; any other as it is, so a large scan is never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * share and len(df.inputFiles()) < cores else df
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's tables as postings: row_id, title, company, location, description, url, html, created, search_term, lang, status."""
     t = {n: read_table(spark, sf_dir, n) for n in ("documents", "part", "supplier", "nation", "pages", "orders", "labels")}
@@ -82,7 +89,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((F.col("quality") == 0) & (F.col("toxic") == 0), "rejected").when((F.col("quality") == 0) & (F.col("toxic") == 1), "withdrawn").otherwise("to_apply")
     )
     return (
-        t["documents"]
+        spread(t["documents"])
         .join(t["part"].select("p_partkey", F.col("p_name").alias("title")), key("part") == F.col("p_partkey"))
         .join(t["supplier"].select("s_suppkey", "s_nationkey", F.col("s_name").alias("company")), key("supplier") == F.col("s_suppkey"))
         .join(t["nation"].select("n_nationkey", F.col("n_name").alias("location")), F.col("s_nationkey") == F.col("n_nationkey"))
