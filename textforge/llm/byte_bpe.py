@@ -212,7 +212,7 @@ def encode_documents(df: DataFrame, path: str | None = None, pattern: str | None
     common.prepare(df.sparkSession)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(df).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded binary"
-    return rows.mapInArrow(_rows(path or ranks_file(), pattern or splitter(), payload), schema)
+    return rows.mapInArrow(common.task(_rows(path or ranks_file(), pattern or splitter(), payload), encoder=True), schema)
 
 
 def decode_ids(bpe: ByteBpe, parts: Iterable[list[int]]) -> bytes:

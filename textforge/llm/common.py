@@ -60,7 +60,7 @@ def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str) -> tuple[DataFrame, int]:
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str, encoder: bool = False) -> tuple[DataFrame, int]:
     """df.mapInArrow(run, schema) as a Parquet table in the shared folder, and its number of rows.
 
     The workers write the files themselves, so the rows need not pass the JVM. Each task writes under a name of its own
@@ -72,7 +72,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
     except (pa.ArrowInvalid, NotImplementedError, OSError):
-        out = saved(df.mapInArrow(run, schema), name)
+        out = saved(df.mapInArrow(task(run, encoder), schema), name)
         return out, out.count()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +106,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             raise
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    rows = df.mapInArrow(write, "n long").agg(F.sum("n")).first()[0]
+    rows = df.mapInArrow(task(write, encoder), "n long").agg(F.sum("n")).first()[0]
     return spark.read.schema(schema).parquet(folder), rows or 0
 
 
@@ -120,7 +120,7 @@ def held(df: DataFrame) -> DataFrame:
 
 
 #: Bytes that a worker gathers for one row group.
-GROUP_BYTES = 1 << 24
+GROUP_BYTES = 1 << 23
 #: Buckets of 32,768 bits of the filter that thinned() broadcasts: 1 MB.
 FILTER_BUCKETS = 256
 
@@ -143,15 +143,28 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def forget_words() -> None:
-    """In a Python worker that Spark uses again: drops what an encoder of an earlier stage has learnt and gives its memory back."""
-    held = [getattr(sys.modules[m], name) for m, name in (("textforge.llm.word_ids", "encoder"), ("textforge.llm.byte_bpe", "codec")) if m in sys.modules]
-    if any(f.cache_info().currsize for f in held):
-        for f in held:
-            f.cache_clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+def tidy() -> None:
+    """Gives memory that a task no longer needs back to the system: Spark keeps several idle Python workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], encoder: bool = False):
+    """run for mapInArrow, in a Python worker that Spark uses again: starts without the words that an encoder of an earlier step has learnt, unless it is one itself, and tidies up."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encoder:
+            for module, name in (("textforge.llm.word_ids", "encoder"), ("textforge.llm.byte_bpe", "codec")):
+                if module in sys.modules:
+                    getattr(sys.modules[module], name).cache_clear()
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return whole
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,30 +186,6 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def utf8_blocks(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[tuple[int, int, bytes, list[int]]]:
-    """Runs of rows of about `most` bytes: first row, end row, their bytes in one piece, and the offsets in it.
-
-    Null counts as empty. One document above `most` makes a run of its own.
-    """
-    rows = [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
-    first, total = 0, 0
-    for i, x in enumerate(rows):
-        if total and total + len(x) > most:
-            yield _block(rows, first, i)
-            first, total = i, 0
-        total += len(x)
-    if first < len(rows):
-        yield _block(rows, first, len(rows))
-
-
-def _block(rows: list[bytes], first: int, end: int) -> tuple[int, int, bytes, list[int]]:
-    at, offsets = 0, [0]
-    for x in rows[first:end]:
-        at += len(x)
-        offsets.append(at)
-    return first, end, b"".join(rows[first:end]), offsets
-
-
 def filesystem(path: str):
     """The pyarrow file system of a path or URI, and the path in it; works on any node of the cluster."""
     from pyarrow import fs

@@ -244,7 +244,7 @@ def fingerprint_documents(df: DataFrame) -> DataFrame:
     dealt = rows.withColumn("to", F.explode(places("id"))).select(F.col("to.strip").alias("strip"), F.col("to.extra").alias("extra"), "id", "text")
     ordered = dealt.repartition(common.partitions(spark), "strip").sortWithinPartitions("strip", "extra", F.desc("id"), "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.select("strip", "extra", F.when(F.col("id") > -(2**63), F.col("id")).alias("doc_id"), "text").mapInArrow(_fingerprinted, schema)
+    return ordered.select("strip", "extra", F.when(F.col("id") > -(2**63), F.col("id")).alias("doc_id"), "text").mapInArrow(common.task(_fingerprinted), schema)
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

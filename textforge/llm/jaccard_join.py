@@ -42,7 +42,7 @@ MOST, WEIGHT, PIVOTS, LEAF = 128, 1 << 19, 24, 24
 #: would make more than COPIES rows of each point, and after DEPTH splits.
 REACH, COPIES, DEPTH = 0.5, 2, 6
 #: Shingles that a task sorts at once before they are dealt, and buckets for each partition they are dealt to.
-HELD, BUCKETS = 1 << 20, 8
+HELD, BUCKETS = 1 << 19, 8
 #: Rounding of distances, which are fractions of whole numbers: windows are wider by this, never narrower.
 SLACK = 1e-9
 
@@ -98,7 +98,6 @@ def _summaries(words: int, percent: int):
     """doc_id, mark, set key, number of shingles, the first shingles by hash, and how many of these are beyond the window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.forget_words()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in blocks(texts):
@@ -118,7 +117,6 @@ def _sets(words: int):
     """(node, text) to (node, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.forget_words()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in blocks(texts):
@@ -235,7 +233,6 @@ def _linked(percent: int):
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.forget_words()
         region, held = None, {}
         for batch in batches:
             for own, node, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2)), strict=True):
@@ -267,7 +264,6 @@ def _placed(percent: int):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.forget_words()
         part, pivots, rows, size = None, [], [], 0
         for batch in batches:
             regions, salts, slots, nodes, counts, homes = (batch.column(k).to_pylist() for k in range(6))
@@ -335,7 +331,6 @@ def _deal(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(own[order][np.concatenate([[0], cuts])]), *columns], schema=_DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.forget_words()
         held, size = [], 0
         for batch in batches:
             lists = batch.column(1)
@@ -373,7 +368,6 @@ def _shared(counts: bool):
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(own.view(np.int64))], names=["node", "pivot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.forget_words()
         bucket, held = None, []
         for batch in batches:
             for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -393,9 +387,9 @@ def shared_pivots(lists: DataFrame, counts: bool) -> DataFrame:
     The pairs are dealt in binary blocks by the pivot's bucket, which costs a fraction of a row for each.
     """
     n = common.partitions(lists.sparkSession)
-    dealt = lists.mapInArrow(_deal(BUCKETS * n), "bucket int, pivots binary, nodes binary, many binary")
+    dealt = lists.mapInArrow(common.task(_deal(BUCKETS * n)), "bucket int, pivots binary, nodes binary, many binary")
     dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_shared(counts), "node long, times long" if counts else "node long, pivot long")
+    return dealt.mapInArrow(common.task(_shared(counts)), "node long, times long" if counts else "node long, pivot long")
 
 
 def sieved(points: DataFrame, classes: DataFrame) -> DataFrame:
@@ -448,7 +442,7 @@ def region_links(members: DataFrame, sets: DataFrame, percent: int, most: int =
     for more in bounded[1:]:
         own = own.unionAll(more)
     dealt = own.join(sets, "node").select("region", "node", "shingles").repartition(n, "region").sortWithinPartitions("region", "node")
-    out = dealt.mapInArrow(_linked(percent), "a long, b long")
+    out = dealt.mapInArrow(common.task(_linked(percent)), "a long, b long")
     for more in links:
         out = out.unionAll(more)
     return out.where("a <> b")

@@ -182,7 +182,7 @@ def pack_documents(df: DataFrame, sequence: int = SEQUENCE, step: int = STEP, vo
     spark = common.prepare(df.sparkSession)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(df).alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-    pieces, _ = common.mapped(rows, _pieces(vocab or vocabulary(), sequence, step, payload), schema, "pieces")
+    pieces, _ = common.mapped(rows, _pieces(vocab or vocabulary(), sequence, step, payload), schema, "pieces", encoder=True)
     # The ranks of a length are given strip by strip, so a frequent length is not one task's work.
     pieces = pieces.withColumn("strip", F.pmod(F.xxhash64("doc_id", "start"), F.lit(2 * common.partitions(spark))))
     strips = pieces.groupBy("length", "strip").count()

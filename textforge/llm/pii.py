@@ -263,7 +263,7 @@ def pseudonymise_documents(df: DataFrame, key: bytes | None = None) -> DataFrame
             yield batch.set_column(i, batch.schema.field(i), texts.cast(batch.schema.field(i).type))
 
     common.prepare(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(common.task(run), df.schema)
 
 
 def pseudonyms(df: DataFrame, key: bytes | None = None) -> DataFrame:
@@ -286,7 +286,7 @@ def pseudonyms(df: DataFrame, key: bytes | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], names=["doc_id", "text", "n_found", "kinds"])
 
     common.prepare(df.sparkSession)
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, n_found long, kinds string")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.task(run), "doc_id long, text string, n_found long, kinds string")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            for a, b in blocks(texts, 1 << 20):
+            for a, b in blocks(texts):
                 found = anchors(texts[a:b], length, gram)
                 at = found["text"] + a
                 packed = found["place"] << 16 | (found["place"] - found["low"]) << 8 | (found["high"] - found["low"])
@@ -335,15 +335,15 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     by_text = by_text.select(F.col("doc_id").alias("id"), "mark", "spots")
     hulls, _ = common.mapped(texts.join(by_text, ["id", "mark"]).select("id", "mark", "text", "spots"), _hull_rows(length), schema, "hull-bytes")
     dealt = hulls.where("not hot").repartition(n, "gram").sortWithinPartitions("gram")
-    sorted_parts = dealt.mapInArrow(_sorted_grams(length), "doc_id long, mark long, low long, high long")
-    strings = hulls.where("hot").mapInArrow(_hot_strings(length), "one long, two long, lone boolean, doc_id long, mark long, start long")
+    sorted_parts = dealt.mapInArrow(common.task(_sorted_grams(length)), "doc_id long, mark long, low long, high long")
+    strings = hulls.where("hot").mapInArrow(common.task(_hot_strings(length)), "one long, two long, lone boolean, doc_id long, mark long, start long")
     twice = strings.groupBy("one", "two").count().where("count > 1").select("one", "two")
     hot_parts = strings.where("lone").join(twice, ["one", "two"]).select("doc_id", "mark", F.col("start").alias("low"), (F.col("start") + length).alias("high"))
     parts = whole.unionAll(repeated).unionAll(sorted_parts).unionAll(hot_parts)
     spans = parts.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.collect_list(F.struct("low", "high")).alias("parts"))  # bounded by the text's length
     key = ["id", "mark"] if keyed else []
     result = texts.join(spans, ["id", "mark"], "left").select("doc_id", "text", "parts", *key)
-    return result.mapInArrow(_cut(payload), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + "".join(f", {k} long" for k in key))
+    return result.mapInArrow(common.task(_cut(payload)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + "".join(f", {k} long" for k in key))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,7 +150,7 @@ def write_tokens(df: DataFrame, folder: str, vocab: str | None = None) -> list[t
     spark = common.prepare(df.sparkSession)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(df).alias("text"))
     ranged = rows.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted(map(tuple, ranged.mapInArrow(_writer(folder, vocab or vocabulary()), "part int, file string, n_docs long, n_tokens long").collect()))
+    return sorted(map(tuple, ranged.mapInArrow(common.task(_writer(folder, vocab or vocabulary()), encoder=True), "part int, file string, n_docs long, n_tokens long").collect()))
 
 
 def read_tokens(spark: SparkSession, folder: str, files: list[tuple[int, str, int, int]]) -> DataFrame:
@@ -178,7 +178,7 @@ def read_tokens(spark: SparkSession, folder: str, files: list[tuple[int, str, in
                         yield _rows(held)
 
     listed = spark.createDataFrame(starts, "part int, file string, start long").repartition(max(1, len(starts)))
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return listed.mapInArrow(common.task(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(held: list[tuple]) -> pa.RecordBatch:

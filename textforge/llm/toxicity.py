@@ -79,7 +79,6 @@ class ToxicityModel:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    common.forget_words()
     for batch in batches:
         words = [sorted(words_of(x.as_py())) for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.binary()))], names=["positive", "words"])
@@ -138,7 +137,7 @@ def score_documents(df: DataFrame, model: ToxicityModel, limit: float = LIMIT) -
 
     common.prepare(df.sparkSession)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(df).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double").select(
+    return rows.mapInArrow(common.task(run), "doc_id long, score double").select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted")
     )
 
@@ -153,7 +152,7 @@ def keep_clean(df: DataFrame, model: ToxicityModel, limit: float = LIMIT) -> Dat
             yield batch.filter(pa.array([s < limit for s in scores], pa.bool_()))
 
     common.prepare(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(common.task(run), df.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
