@@ -1,5 +1,8 @@
 """Rules on literal rows; companies and texts are invented."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +121,30 @@ def test_fuzzy():
     assert dedup.token_set_ratio("", "x") == 0.0
 
 
+def test_fuzzy_groups_are_those_of_a_plain_pass(spark):
+    rng = random.Random(3)
+    companies, titles, places = ["Acme Works", "Acme Work", "Supplier#000000001", "Supplier#000000012", "Bolt and Ring", ""], ["red bolt maker", "red bolt makers", "maker of red bolts", "small ring", "ring", "senior ring polisher of the small ring", ""], ["Rabat", "Rabat Sale", "Sale Rabat", "Fes", ""]
+    rows = []
+    for i in range(160):
+        t = rng.choice(titles)
+        if t and rng.random() < 0.3:
+            k = rng.randrange(len(t))
+            t = t[:k] + rng.choice("abz") + t[k + 1 :]
+        rows.append((i, rng.choice(companies), t, rng.choice(places), "d" * rng.randint(0, 9), None))
+    df = spark.createDataFrame(rows, "row_id long, company string, title string, location string, description string, created timestamp")
+    key = lambda *x: " ".join(re.sub("[^a-z0-9 ]", " ", " ".join(x).lower()).split())
+    kept, want = [], {}
+    for i, c, t, p, _, _ in rows:
+        name, place = key(c, t), key(p)
+        near = lambda q, own=place: not q or not own or q == own or dedup.token_set_ratio(q, own) >= 90
+        want[i] = next((k for k, n, q in kept if name and near(q) and dedup.token_set_ratio(n, name) >= 92), i)
+        if want[i] == i:
+            kept.append((i, name, place))
+    assert {r[0]: r[1] for r in dedup.fuzzy_groups(df).collect()} == want and len(set(want.values())) < 100
+    best = {r["group"]: r["row_id"] for r in dedup.fuzzy_best(df).collect()}
+    assert best == {g: max((i for i in want if want[i] == g), key=lambda i: (len(rows[i][4]), -i)) for g in set(want.values())}
+
+
 def test_fuzzy_groups(spark):
     df = rows(spark, (1, "senior bolt maker", "Acme", "town", "", "", None, "", ""), (2, "bolt maker senior", "Acme", "town", "", "", None, "", ""), (3, "bolt maker senior", "Acme", "city", "", "", None, "", ""), (4, "baker", "Other", "", "", "", None, "", ""))
     assert {r[0]: r[1] for r in dedup.fuzzy_groups(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}

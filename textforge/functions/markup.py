@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from typing import Any
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements that end a line of text, and elements without text of their own.
+#: Elements that begin and end a line of text, and elements without text of their own.
 _LINES = frozenset("p div li ul ol section br h1 h2 h3 h4 h5 h6 tr table article".split())
 _SILENT = frozenset("script style noscript".split())
 #: An element of these closes an open one of the same kind, and is closed by a new one only inside its own list.
@@ -32,10 +32,10 @@ class Node:
             if isinstance(x, str):
                 yield x
             elif x.tag not in _SILENT and x not in without:
-                if x.tag == "br":
-                    yield "\n"
+                edge = "\n" if x.tag in _LINES else " "
+                yield edge
                 yield from x._pieces(without)
-                yield "\n" if x.tag in _LINES else " "
+                yield edge
 
     def lines(self, without: frozenset[Node] = frozenset()) -> str:
         """Text with a line for each block, each trimmed of blanks, dashes and colons at its ends."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 import pandas as pd
@@ -76,28 +77,90 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(scores)
 
 
-def fuzzy_groups(df: DataFrame, threshold: float = 92.0, block: Column | None = None) -> DataFrame:
+def _rare_first(keys: DataFrame, column: str, item: str) -> DataFrame:
+    """keys with `column`, an array, in the order of how many keys have each item, rare ones first."""
+    flat = keys.select("first", F.explode(column).alias(item))
+    counts = flat.groupBy(item).agg(F.count("*").alias("n"))
+    ordered = flat.join(counts, item).groupBy("first").agg(F.array_sort(F.collect_list(F.struct("n", item))).alias("o"))
+    return keys.drop(column).join(ordered.select("first", F.col("o")[item].alias(column)), "first")
+
+
+def fuzzy_pairs(df: DataFrame, threshold: float = 92.0, place: float = 90.0) -> DataFrame:
+    """a, b: every two keys of df (first, name, place) that match, a the lower; candidates come from two bounds on the ratio.
+
+    * If the sorted tokens of both sides are near each other by insertions and deletions, so are their bags of
+      characters. With each character numbered by its occurrence, two bags share one of their first rare items.
+    * If the common tokens alone are near one side, or all of it, the tokens that the other lacks weigh little, so the
+      other has one of this side's first rare tokens.
+    """
+    miss = 1 - threshold / 100
+    tokens = F.array_sort(F.array_distinct(F.filter(F.split("name", " "), lambda t: t != "")))
+    keys = df.withColumn("tokens", tokens).withColumn("whole", F.array_join("tokens", " ")).withColumn("size", F.length("whole"))
+    letters = F.split("whole", "")
+    numbered = F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.concat(F.element_at("ch", i), F.size(F.filter(F.slice("ch", F.lit(1), i), lambda c: c == F.element_at("ch", i))).cast("string")))
+    bags = _rare_first(keys.where("size > 0").select("first", "size", letters.alias("ch")).select("first", "size", numbered.alias("bag")), "bag", "item")
+    least = F.ceil(F.col("size") * (1 - miss) / (1 + miss) - 1e-9)
+    heads = bags.select("first", "size", F.explode(F.slice("bag", F.lit(1), (F.col("size") - least + 1).cast("int"))).alias("item"))
+    one, two = (heads.select(F.col("first").alias(k), F.col("size").alias(f"s{k}"), "item") for k in ("a", "b"))
+    near = F.abs(F.col("sa") - F.col("sb")) <= miss * (F.col("sa") + F.col("sb")) + 1e-9
+    by_bag = one.join(two, "item").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    words = _rare_first(keys.select("first", "size", "tokens"), "tokens", "token")
+    room = 2 * miss / (1 + miss)
+    before = lambda i: F.aggregate(F.slice("tokens", F.lit(1), i), F.lit(0), lambda n, t: n + F.length(t))
+    probes = words.select("first", F.explode(F.filter(F.col("tokens"), lambda t, i: before(i) <= room * F.col("size") + 1e-9)).alias("token"))
+    every = words.select(F.col("first").alias("other"), F.explode("tokens").alias("token"))
+    by_token = probes.join(every, "token").where("first <> other").select(F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"))
+    @F.pandas_udf("boolean")
+    def alike(na: pd.Series, pa: pd.Series, nb: pd.Series, pb: pd.Series) -> pd.Series:
+        """The places first, as they are the cheaper test."""
+        there = lambda p, q: not p or not q or p == q or token_set_ratio(p, q) >= place
+        return pd.Series([there(p, q) and token_set_ratio(x, y) >= threshold for x, p, y, q in zip(na, pa, nb, pb, strict=True)], dtype=bool)
+
+    named = [keys.select(F.col("first").alias(k), F.col("name").alias(f"n{k}"), F.col("place").alias(f"p{k}")) for k in ("a", "b")]
+    pairs = by_bag.unionAll(by_token).distinct().join(named[0], "a").join(named[1], "b")
+    return pairs.where(alike("na", "pa", "nb", "pb")).select("a", "b")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df in the checkpoint folder that the cluster names in spark.checkpoint.dir; a temporary one is set where there is none, as in tests."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textforge-"))
+    return df.checkpoint()
+
+
+def first_matches(pairs: DataFrame) -> DataFrame:
+    """key, group: what a greedy pass in ascending order makes of pairs (a, b), a < b: each key joins the lowest kept key
+    that it matches, and is kept if there is none. A key is settled in the round after all lower ones that decide it."""
+    pairs = _cut(pairs)
+    nodes = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    state = _cut(nodes.join(pairs.select(F.col("b").alias("key")).distinct().withColumn("later", F.lit(True)), "key", "left").select("key", F.when(F.col("later"), None).otherwise(F.lit(True)).alias("kept")))
+    while not state.where("kept IS NULL").isEmpty():
+        told = pairs.join(state.select(F.col("key").alias("a"), "kept"), "a").groupBy(F.col("b").alias("key")).agg(
+            F.max(F.coalesce("kept", F.lit(False))).alias("some"), F.max(F.col("kept").isNull()).alias("open")
+        )
+        new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("some"), False).when(~F.col("open"), True)
+        state = _cut(state.join(told, "key", "left").select("key", new.alias("kept")))
+    kept = state.where("kept").select(F.col("key").alias("a"))
+    joined = pairs.join(kept, "a").groupBy(F.col("b").alias("key")).agg(F.min("a").alias("group"))
+    return state.join(joined, "key", "left").select("key", F.when(F.col("kept"), F.col("key")).otherwise(F.col("group")).alias("group"))
+
+
+def fuzzy_groups(df: DataFrame, threshold: float = 92.0, place: float = 90.0) -> DataFrame:
     """df's rows with `group`, the row_id of the first row that greedy matching in row_id order joins each to.
 
     Rows match when the token-set ratio of company and title reaches the threshold and their places are alike: equal,
-    or one within the other, or either empty. Rows are compared inside blocks; the default block is the company's key,
-    which loses pairs whose companies differ in spelling, so pass a coarser one to widen the search.
+    either empty, or of a token-set ratio of `place` or more. Every row is compared with every kept one that can match.
+    Rows without company and title match nothing. The place compared is that of the group's first row.
     """
-    block = T.company_key(F.col("company")) if block is None else block
-    slim = df.select("row_id", block.alias("block"), T.simple_key(F.concat_ws(" ", "company", "title")).alias("name"), T.normalise(F.col("location")).alias("place"))
+    slim = df.select("row_id", T.simple_key(F.concat_ws(" ", "company", "title")).alias("name"), T.simple_key(F.col("location")).alias("place"))
     # equal names and places are one: the greedy pass then runs over distinct keys
-    keys = slim.groupBy("block", "name", "place").agg(F.min("row_id").alias("first"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, str, int]] = []
-        out = []
-        for r in pdf.sort_values("first").itertuples(index=False):
-            alike = lambda p, place=r.place: not p or not place or p == place or p in place or place in p
-            found = next((k for n, p, k in kept if alike(p) and token_set_ratio(n, r.name) >= threshold), None)
-            if found is None:
-                kept.append((r.name, r.place, r.first))
-            out.append((r.block, r.name, r.place, r.first if found is None else found))
-        return pd.DataFrame(out, columns=["block", "name", "place", "group"])
-
-    groups = keys.withColumnRenamed("name", "name").groupBy("block").applyInPandas(greedy, "block string, name string, place string, group long")
-    return slim.join(groups, ["block", "name", "place"]).select("row_id", "group")
+    keys = _cut(slim.groupBy("name", "place").agg(F.min("row_id").alias("first")))
+    groups = first_matches(fuzzy_pairs(keys, threshold, place))
+    found = keys.join(groups, keys["first"] == groups["key"], "left").select("name", "place", F.coalesce("group", "first").alias("group"))
+    return slim.join(found, ["name", "place"]).select("row_id", F.when(F.col("name") == "", F.col("row_id")).otherwise(F.col("group")).alias("group"))
+
+
+def fuzzy_best(df: DataFrame, **limits: float) -> DataFrame:
+    """The best row of each fuzzy group."""
+    return keep_first(df.join(fuzzy_groups(df, **limits), "row_id"), ["group"], best_order())
