@@ -115,6 +115,32 @@ def test_suffix_dedup(spark, hot, length, gram):
     assert got == brute_repeats({i: t.encode() for i, t in data.items()}, length)
 
 
+@pytest.mark.parametrize("hot", [2, 20_000])
+def test_suffix_dedup_at_its_real_length(spark, hot):
+    """Passages of 150 to 260 bytes, cut and joined in many ways, by the definition: a dictionary of all strings of 200 bytes."""
+    rng = random.Random(hot)
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randint(1, 9)))
+    passages = [" ".join(word() for _ in range(rng.randint(28, 50))) for _ in range(8)]
+    data = {}
+    for i in range(90):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            p = rng.choice(passages)
+            cut = rng.choice([0, 0, rng.randint(0, 40)])
+            parts += [" ".join(word() for _ in range(rng.randint(0, 30))), p[cut : len(p) - rng.choice([0, 0, rng.randint(0, 40)])]]
+        data[i] = " ".join(parts) if i % 10 else data.get(i - 3, "")
+    texts = {i: t.encode() for i, t in data.items()}
+    seen = Counter(x[k : k + 200] for x in texts.values() for k in range(len(x) - 199))
+    want = {}
+    for i, x in texts.items():
+        gone = {b for k in range(len(x) - 199) if seen[x[k : k + 200]] > 1 for b in range(k, k + 200)}
+        kept = bytes(c for b, c in enumerate(x) if b not in gone)
+        want[i] = (len(x), len(gone), sum(b - 1 not in gone for b in gone), hashlib.sha256(kept).hexdigest())
+    df = spark.createDataFrame(list(data.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(df, hot=hot, payload=False).collect()}
+    assert got == want and any(w[1] for w in want.values())
+
+
 def test_suffix_sort_is_the_sorted_order():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 400).astype(np.uint8)

@@ -16,6 +16,8 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textforge.sources.tables import spread
+
 #: Rows and bytes of one Arrow batch handed to Python.
 BATCH_ROWS, BATCH_BYTES = 512, 1 << 24
 
@@ -168,7 +170,7 @@ def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], en
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def text_of(df: DataFrame) -> Column:

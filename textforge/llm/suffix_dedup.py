@@ -5,18 +5,20 @@ it whose GRAM bytes have the least hash; equal strings have their anchors at the
 same hash, and only about one position in 70 is an anchor.
 
 * An anchor's hull is all bytes of all strings filed under it. Anchors whose gram occurs once are done: nothing is
-  repeated there. Hulls that occur twice, by two hashes, are repeated as a whole.
+  repeated there. Hulls that occur twice are repeated as a whole; 128 bits of a cryptographic digest of all their bytes
+  tell them apart, which stands for comparing the bytes.
 * The few anchors with a repeated gram but a hull of their own lie at the ends of repeats. Their hulls, one of each
   kind, are sorted gram by gram: the suffixes from each start are merge-sorted by comparisons that find the common
   extension by binary search over prefix polynomial hashes, so a comparison costs log2(LENGTH) steps. Neighbours
   that agree in LENGTH bytes are repeats; these are verified byte by byte.
-* A gram with more than HOT kinds of hull is not gathered: its strings are counted by two hashes.
+* A gram with more than HOT kinds of hull is not gathered in one task: each of its strings is dealt by such a digest of
+  its own bytes, and equal ones meet there. The result is the same.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +29,19 @@ from textforge.llm import common
 from textforge.llm.fingerprint import _powers, blocks, mix
 
 LENGTH, GRAM, HOT = 200, 48, 20_000
+#: Bits for the place in a block of texts: blocks of up to 16 GB.
+PLACE_BITS = np.uint64(34)
 _RNG = np.random.default_rng(3)
-_TABLES = _RNG.integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TABLE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class PrefixHashes:
     """Polynomial hashes of every prefix of some bytes: of any slice in a few operations."""
 
-    def __init__(self, data: np.ndarray, table: int = 0):
+    def __init__(self, data: np.ndarray):
         powers, self.inverses = _powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_TABLES[table][data] * powers[:-1], out=self.sums[1:])
+        np.cumsum(_TABLE[data] * powers[:-1], out=self.sums[1:])
 
     def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self.sums[ends] - self.sums[starts]) * self.inverses[starts]
@@ -60,13 +64,13 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[
     n = len(data)
     if n < length:
         none = np.zeros(0, dtype=np.int64)
-        return {k: none for k in ("text", "place", "low", "high", "gram", "hull")}
+        return {k: none for k in ("text", "place", "low", "high", "gram", "hull", "hull2")}
     hashes = PrefixHashes(data)
     at = np.arange(n - gram + 1)
     grams = mix(hashes.slices(at, at + gram))
-    bits = np.uint64(int(n).bit_length())
-    least = _window_least((grams >> bits << bits) | at.astype(np.uint64), length - gram + 1)
-    place = (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)  # of the string at each start; ties go to the first
+    # the upper bits of the hash, the same number in every block, then the place: of equal ones the first in the string
+    least = _window_least((grams >> PLACE_BITS << PLACE_BITS) | at.astype(np.uint64), length - gram + 1)
+    place = (least & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)  # of the string at each start
     text = np.repeat(np.arange(len(texts)), np.maximum(0, sizes - length + 1))
     start = np.concatenate([np.arange(b, b + max(0, s - length + 1)) for b, s in zip(bases, sizes, strict=True)]) if len(text) else np.zeros(0, dtype=np.int64)
     place = place[start]
@@ -75,10 +79,15 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[
     heads = np.flatnonzero(first)
     low, high = start[heads], start[np.concatenate([heads[1:], [len(start)]]) - 1] if len(heads) else start[:0]
     text, place = text[heads], place[heads]
-    second = PrefixHashes(data, 1)
-    hull = mix(mix(hashes.slices(low, high + length)) + second.slices(low, high + length) * np.uint64(3) + (place - low).astype(np.uint64))
+    raw = data.tobytes()
+    hull = digests((raw[a : b + length] + bytes((c,)) for a, b, c in zip(low.tolist(), high.tolist(), (place - low).tolist(), strict=True)), len(low))
     base = bases[text]
-    return {"text": text, "place": place - base, "low": low - base, "high": high - base, "gram": grams[place].view(np.int64), "hull": hull.view(np.int64)}
+    return {"text": text, "place": place - base, "low": low - base, "high": high - base, "gram": grams[place].view(np.int64), "hull": hull[:, 0], "hull2": hull[:, 1]}
+
+
+def digests(pieces: Iterable[bytes], count: int) -> np.ndarray:
+    """128 bits of a cryptographic digest of each piece, as two numbers."""
+    return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in pieces]), dtype=np.int64).reshape(count, 2)
 
 
 def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +161,7 @@ def _anchor_rows(length: int, gram: int):
                 found = anchors(texts[a:b], length, gram)
                 at = found["text"] + a
                 packed = found["place"] << 16 | (found["place"] - found["low"]) << 8 | (found["high"] - found["low"])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(marks[at]), pa.array(packed), pa.array(found["gram"]), pa.array(found["hull"])], names=["doc_id", "mark", "spot", "gram", "hull"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(marks[at]), pa.array(packed), pa.array(found["gram"]), pa.array(found["hull"]), pa.array(found["hull2"])], names=["doc_id", "mark", "spot", "gram", "hull", "hull2"])
 
     return run
 
@@ -256,18 +265,16 @@ def _hot_strings(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for gram, _, lone, doc_id, mark, spot, hull in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(hull, dtype=np.uint8)
-                at = np.arange(len(hull) - length + 1)
-                one, two = (mix(PrefixHashes(data, k).slices(at, at + length)).view(np.int64) for k in (0, 1))
+                n = len(hull) - length + 1
+                at, found = np.arange(n), digests((hull[i : i + length] for i in range(n)), n)
                 low, _ = _range(spot)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array([lone] * n), pa.array([doc_id] * n, pa.int64()), pa.array([mark] * n, pa.int64()), pa.array(at + low)], schema=_STRING)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array([lone] * n), pa.array([doc_id] * n, pa.int64()), pa.array([mark] * n, pa.int64()), pa.array(at + low)], schema=_STRING)
 
     return run
 
 
-def _cut(payload: bool):
-    """(doc_id, mark, text, parts) to the counts, the digest of what is kept, and with payload that text and the spans."""
+def _cut(payload: bool | str):
+    """(doc_id, text, parts, ...) to the counts, the digest of what is kept, with payload these bytes, and the other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +287,7 @@ def _cut(payload: bool):
                     at = e
                 kept.append(text[at:])
                 rest = b"".join(kept)
-                rows.append((doc_id, len(text), len(text) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest if payload else None))
+                rows.append((doc_id, len(text), len(text) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), (rest.decode("utf-8", "ignore").encode() if payload == "text" and spans else rest) if payload else None))
             out = _batch(rows, _RESULT)
             for k in range(3, batch.num_columns):
                 out = out.append_column(batch.schema.field(k).name, batch.column(k))
@@ -303,37 +310,43 @@ def merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, payload: bool = True, keyed: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, payload: bool | str = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with payload) kept, the remaining bytes, for each row of df.
 
+    With payload "text", kept is valid UTF-8: bytes left over of a character that a cut parts are dropped.
+
     Null and empty texts have no bytes; texts shorter than length keep all. Repeated rows repeat each other and go
     as a whole if length or longer. A null doc_id is kept. An empty table gives no rows. Only doc_id and text are
-    read, so other columns may have any name. length - gram must be below 256. With keyed, common.row_key comes too.
+    read, so other columns may have any name. length - gram must be below 256. Columns of df named in carry come too.
     """
     spark = common.prepare(df.sparkSession)
     text = common.text_of(df).cast("binary")
     # a row is known by its doc_id and a mark of its text, in case a doc_id is repeated
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), *common.row_key(df), text.alias("text"))
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), *common.row_key(df), text.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     n = common.partitions(spark)
-    found, _ = common.mapped(rows.select("id", "mark", "text"), _anchor_rows(length, gram), "doc_id long, mark long, spot long, gram long, hull long", "anchors")
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("hull").alias("least"), F.max("hull").alias("most")).where("n > 1")
-    grams = grams.select("gram", (F.col("least") != F.col("most")).alias("mixed"))
-    known = common.held(found.join(grams, "gram"))
+    schema = "doc_id long, mark long, spot long, gram long, hull long, hull2 long"
+    found, count = common.mapped(rows.select("id", "mark", "text"), _anchor_rows(length, gram), schema, "anchors")
+    # tables of their own, so that Spark can split the partition of a very frequent gram or hull in the joins
+    several = found.groupBy("gram").agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("hull", "hull2") for k, f in (("least", F.min), ("most", F.max))]).where("n > 1")
+    grams = common.saved(several.select("gram", F.expr("least_hull <> most_hull or least_hull2 <> most_hull2").alias("mixed")), "repeated-grams", count // 4)
+    common.drop_shuffles(spark)
+    known = common.saved(found.join(grams, "gram"), "repeated-anchors", count // 3)
+    common.drop_shuffles(spark)
     start = F.shiftright("spot", 16) - F.shiftright("spot", 8).bitwiseAND(255)
     part = (F.col("doc_id"), F.col("mark"), start.alias("low"), (start + F.col("spot").bitwiseAND(255) + length).alias("high"))
     whole = known.where("not mixed").select(*part)
     mixed = known.where("mixed").drop("mixed")
-    kinds = mixed.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "spot")).alias("one"))
-    kinds = common.held(kinds)
-    repeated = mixed.join(kinds.where("n > 1").select("gram", "hull"), ["gram", "hull"]).select(*part)
+    kinds = mixed.groupBy("gram", "hull", "hull2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "spot")).alias("one"))
+    kinds = common.saved(kinds, "hulls", count // 4)
+    repeated = mixed.join(kinds.where("n > 1").select("gram", "hull", "hull2"), ["gram", "hull", "hull2"]).select(*part)
     large = kinds.groupBy("gram").count().where(F.col("count") > hot).select("gram", F.lit(True).alias("hot"))
     spots = kinds.join(large, "gram", "left").select("one.doc_id", "one.mark", F.struct(F.col("one.spot").alias("spot"), "gram", F.coalesce("hot", F.lit(False)).alias("hot"), (F.col("n") == 1).alias("lone")).alias("at"))
     by_text = spots.groupBy("doc_id", "mark").agg(F.collect_list("at").alias("spots"))  # bounded by the text's length
-    # the texts are dealt once, by row, for both joins below
-    texts = rows.select("doc_id", "id", "mark", "text").repartition(n, "id", "mark")
     schema = "gram long, hot boolean, lone boolean, doc_id long, mark long, spot long, hull binary"
-    by_text = by_text.select(F.col("doc_id").alias("id"), "mark", "spots")
-    hulls, _ = common.mapped(texts.join(by_text, ["id", "mark"]).select("id", "mark", "text", "spots"), _hull_rows(length), schema, "hull-bytes")
+    by_text = common.saved(by_text.select(F.col("doc_id").alias("id"), "mark", "spots"), "spots", count // 40)
+    texts = common.thinned(rows.select("id", "mark", "text"), by_text, "mark").join(by_text, ["id", "mark"]).dropDuplicates(["id", "mark"])
+    hulls, _ = common.mapped(texts.select("id", "mark", "text", "spots"), _hull_rows(length), schema, "hull-bytes")
+    common.drop_shuffles(spark)
     dealt = hulls.where("not hot").repartition(n, "gram").sortWithinPartitions("gram")
     sorted_parts = dealt.mapInArrow(common.task(_sorted_grams(length)), "doc_id long, mark long, low long, high long")
     strings = hulls.where("hot").mapInArrow(common.task(_hot_strings(length)), "one long, two long, lone boolean, doc_id long, mark long, start long")
@@ -341,9 +354,10 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     hot_parts = strings.where("lone").join(twice, ["one", "two"]).select("doc_id", "mark", F.col("start").alias("low"), (F.col("start") + length).alias("high"))
     parts = whole.unionAll(repeated).unionAll(sorted_parts).unionAll(hot_parts)
     spans = parts.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.collect_list(F.struct("low", "high")).alias("parts"))  # bounded by the text's length
-    key = ["id", "mark"] if keyed else []
-    result = texts.join(spans, ["id", "mark"], "left").select("doc_id", "text", "parts", *key)
-    return result.mapInArrow(common.task(_cut(payload)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + "".join(f", {k} long" for k in key))
+    result = rows.join(spans, ["id", "mark"], "left").select("doc_id", "text", "parts", *[f"carry_{c}" for c in carry])
+    kinds_of = dict(rows.dtypes)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + "".join(f", carry_{c} {kinds_of[f'carry_{c}']}" for c in carry)
+    return result.mapInArrow(common.task(_cut(payload)), schema).withColumnsRenamed({f"carry_{c}": c for c in carry})
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
