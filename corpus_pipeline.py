@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from textforge.llm import common, jaccard_join, packing, pii, suffix_dedup, toxicity
 
@@ -38,19 +37,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of strings of 200 bytes that the corpus repeats; those with nothing left go.
 
-    Where a cut parts a character, its bytes left over are dropped.
+    Where a cut parts a character, its bytes left over are dropped. Null and empty texts stay.
     """
-    cut = suffix_dedup.remove_repeats(docs, payload=True, keyed=True).where("n_removed > 0")
-    # only texts that lost something are joined; the others stay as they are, and rows of one key lose the same
-    changed = cut.dropDuplicates(["id", "mark"]).select("id", "mark", "kept", F.lit(True).alias("cut"))
-    text = F.when(F.col("cut"), decoded("kept")).otherwise(F.col("text"))
-    joined = docs.select(*COLUMNS, *common.row_key(docs)).join(changed, ["id", "mark"], "left").withColumn("text", text)
-    return joined.where(F.col("cut").isNull() | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
-
-
-@F.udf(StringType(), useArrow=True)
-def decoded(kept: bytes | None) -> str | None:
-    return None if kept is None else kept.decode("utf-8", "ignore")
+    given = docs.select(*COLUMNS, F.col("text").isNull().alias("no_text"))
+    cut = suffix_dedup.remove_repeats(given, payload="text", carry=("lang", "source", "no_text"))
+    text = F.when(~F.col("no_text"), F.col("kept").cast("string"))
+    left = cut.withColumn("text", text).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
