@@ -321,15 +321,9 @@ def q_fuzzy_dedup(spark, sf):
 # Sources and joins
 
 
-@query("SELECT doc_id, source, (CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END)::INT AS source_rank, source AS search_term FROM documents WHERE source IN ('src0', 'src1', 'src2')")
+@query("SELECT doc_id, source, (dense_rank() OVER (ORDER BY source NULLS LAST) - 1)::INT AS source_rank, coalesce(source, '') AS search_term FROM documents")
 def q_union_sources(spark, sf):
-    d = docs(spark, sf).withColumn("search_term", F.col("source"))
-    return unify({s: d.where(F.col("source") == s).drop("source") for s in ("src0", "src1", "src2")}).select("doc_id", "source", "source_rank", "search_term")
-
-
-@query()
-def q_union_all_sources(spark, sf):
-    """Every source of the table, by name, rows without one last; q_union_sources is the three that its SQL names."""
+    """Every source of the table, by name, rows without one last."""
     d = docs(spark, sf).withColumn("search_term", F.col("source"))
     names = sorted((r["source"] for r in d.select("source").distinct().collect()), key=lambda s: (s is None, s or ""))
     return unify({s: d.where(F.col("source").eqNullSafe(F.lit(s))).drop("source") for s in names}).select("doc_id", "source", "source_rank", "search_term")
@@ -373,14 +367,9 @@ def q_candidate_lookup(spark, sf):
     return state.first_valid(p, "page_id", urls, p.select("url", F.col("html").alias("text"))).select("page_id", "url", F.length("text").cast("long").alias("n"))
 
 
-@query(f"WITH t AS (SELECT doc_id, {O.token_set('substring(text, 1, 400)')} AS ts FROM documents WHERE lang = 'de'), e AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS tok FROM t), p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n_both FROM e a JOIN e b ON a.tok = b.tok AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id) SELECT a, b, n_both FROM p WHERE 10 * n_both >= 6 * (na + nb - n_both)")
-def q_token_jaccard_pairs(spark, sf):
-    return extract.token_pairs(docs(spark, sf).where("lang = 'de'").withColumn("text", F.substring("text", 1, 400)), 6, 10)
-
-
 @query()
-def q_token_jaccard_all(spark, sf):
-    """The pairs of all documents by their whole texts; q_token_jaccard_pairs is the slice that its SQL names."""
+def q_token_jaccard_pairs(spark, sf):
+    """The pairs of all documents by their whole texts."""
     return extract.token_pairs(docs(spark, sf), 6, 10)
 
 
