@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textforge.sources.tables import spread
 
@@ -39,10 +40,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the cluster names in spark.checkpoint.dir.
 
-    Where the setting is absent (tests, a single machine) a temporary folder is made and set.
+    Where the setting is absent on a single machine, as in tests, a temporary folder is made and set; on a cluster that
+    is an error, as each executor would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textforge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -54,15 +58,12 @@ FILE_ROWS = 200_000
 
 def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: lineage ends here. rows: about how many there are."""
-    spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(1 + rows // FILE_ROWS)
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return mapped(df, lambda batches: batches, df.schema, name, encoder=True)[0]
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str, encoder: bool = False) -> tuple[DataFrame, int]:
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, name: str, encoder: bool = False) -> tuple[DataFrame, int]:
     """df.mapInArrow(run, schema) as a Parquet table in the shared folder, and its number of rows.
 
     The workers write the files themselves, so the rows need not pass the JVM. Each task writes under a name of its own
@@ -74,7 +75,8 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
     except (pa.ArrowInvalid, NotImplementedError, OSError):
-        out = saved(df.mapInArrow(task(run, encoder), schema), name)
+        df.mapInArrow(task(run, encoder), schema).write.parquet(folder)
+        out = spark.read.schema(schema).parquet(folder)
         return out, out.count()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,6 +60,10 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
 
+#: Hosts whose verdicts are sent to every task: a few MB.
+BROADCAST_HOSTS = 50_000
+
+
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     """Prior successes and failures from the mean and variance of the hosts' rates. Without variance the prior is strong."""
     mean, variance = hosts.select((F.col("failed") / F.col("docs")).alias("rate")).agg(F.avg("rate"), F.var_pop("rate")).first()
@@ -81,11 +85,14 @@ def host_rules(df: DataFrame, host_column: str = "source", host_limit: float = H
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), common.text_of(df).cast("binary").alias("text"))
     schema = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    measured = common.mapped(rows, _measured, schema, "measured")[0].withColumn("base_failed", failed)
+    measured, count = common.mapped(rows, _measured, schema, "measured")
+    measured = measured.withColumn("base_failed", failed)
     hosts = measured.groupBy("host").agg(F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    hosts = common.saved(hosts, "hosts", count // 100)
     a, b = beta_prior(hosts)
     verdicts = hosts.select("host", ((F.col("failed") + a) / (F.col("docs") + (a + b))).alias("host_rate"))
-    # Spark broadcasts the verdicts only while they are below its size limit; else skewed hosts are split.
+    if hosts.count() <= BROADCAST_HOSTS:
+        verdicts = F.broadcast(verdicts)  # else Spark splits the partitions of hosts with very many rows
     return measured.join(verdicts, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host", "host_rate",
         (~F.col("base_failed") & (F.col("host_rate") <= host_limit)).alias("kept"),
