@@ -31,7 +31,7 @@ from textforge.llm import common
 #: Bytes up to which a piece is merged directly, and chunks up to which a text is not halved.
 LEAF, LEAVES = 64, 1024
 #: Pairs of tokens that a worker remembers, and bytes of chunks and of pieces in a generation of two, with ENTRY besides for each.
-KNOWN, HELD, ENTRY = 400_000, 96 << 20, 200
+KNOWN, HELD, ENTRY = 400_000, 160 << 20, 200
 
 
 def ranks_file(name: str = "byte_bpe_multi_50k.tiktoken") -> str:

@@ -147,7 +147,7 @@ class Sketches:
             left += np.bincount(owner[sign > 0], minlength=self.texts)
             right += np.bincount(owner[sign < 0], minlength=self.texts)
             self.add(owner, digests, -sign)
-        empty = ((self.number == 0) & (self.total == 0)).reshape(self.texts, self.cells).all(axis=1)
+        empty = ((self.number == 0) & (self.total == 0) & (self.check == 0)).reshape(self.texts, self.cells).all(axis=1)
         return left, right, empty
 
     def written(self) -> list[str]:
@@ -158,9 +158,9 @@ class Sketches:
         return [base64.b64encode(r.tobytes()).decode() for r in rows]
 
 
-def likenesses(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
-    """Jaccard likeness of each pair of texts, from what their subtracted sketches recover. Two empty texts are alike."""
-    out, todo = np.ones(len(a)), np.arange(len(a))
+def likenesses(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard likeness of each pair of texts, from what their subtracted sketches recover, and the size of the sketches that did. Two empty texts are alike."""
+    out, todo, used = np.ones(len(a)), np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
     while len(todo):
         rest = []
         step = max(1, (1 << 18) // cells)
@@ -171,9 +171,10 @@ def likenesses(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) ->
             total = np.array([len(x) + len(y) for x, y in zip(la, lb, strict=True)])
             both = (total - left - right) / 2
             out[own[done]] = np.where(total == 0, 1.0, both / np.maximum(1, total - both))[done]
+            used[own[done]] = cells
             rest.append(own[~done])
         todo, cells = np.concatenate(rest), cells * GROW
-    return out
+    return out, used
 
 
 def edited_text(text: str, following: str) -> str:
@@ -210,15 +211,19 @@ def _answers(rows: list[tuple]) -> pa.RecordBatch:
         pa.array([hashlib.sha256(x).hexdigest() for x in raw_edits], pa.string()),
         pa.array(Sketches(mine, CELLS).written() if own else [], pa.string()),
         pa.array(Sketches(edit_lists, CELLS).written() if own else [], pa.string()),
-        pa.array(likenesses(mine, edit_lists), pa.float64()),
-        pa.array(likenesses(mine, [lists[i + 1] for i in own]), pa.float64()),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+    for others in (edit_lists, [lists[i + 1] for i in own]):
+        near, cells = likenesses(mine, others)
+        columns += [pa.array(near, pa.float64()), pa.array(cells, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "edited_cells", "near_next", "next_cells"])
 
 
 def fingerprint_documents(df: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next for each row of df.
 
+    edited_cells and next_cells are the sizes of the sketches that were peeled for them: CELLS if the written
+    fingerprints were enough, else larger ones made from the texts.
+
     Documents follow one another by descending doc_id, then text, null ids last, and the first follows the last;
     a single row follows itself. Null and empty texts have an empty sketch. An empty table gives no rows. Only
     doc_id and text are read, so other columns may have any name.
@@ -243,7 +248,7 @@ def fingerprint_documents(df: DataFrame) -> DataFrame:
 
     dealt = rows.withColumn("to", F.explode(places("id"))).select(F.col("to.strip").alias("strip"), F.col("to.extra").alias("extra"), "id", "text")
     ordered = dealt.repartition(common.partitions(spark), "strip").sortWithinPartitions("strip", "extra", F.desc("id"), "text")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, edited_cells long, near_next double, next_cells long"
     return ordered.select("strip", "extra", F.when(F.col("id") > -(2**63), F.col("id")).alias("doc_id"), "text").mapInArrow(common.task(_fingerprinted), schema)
 
 
