@@ -1,4 +1,4 @@
-"""The training-data pipeline: stages on documents, each written as Parquet and read back for the next.
+"""The training-data pipeline: stages on documents; each writes what it keeps as Parquet, which the next reads.
 
 Each stage function takes (spark, docs, sf_dir). All but the last return the columns of documents; n_chars follows
 the text. Null texts count as empty; an empty table passes through.
@@ -14,10 +14,21 @@ from textforge.llm import common, jaccard_join, packing, pii, suffix_dedup, toxi
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Bytes of Parquet in one partition of what a stage returns, so that neither small files nor large tasks come of it.
+PARTITION_BYTES = 24 << 20
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back in partitions of about PARTITION_BYTES."""
+    written = common.saved(df, name)
+    size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return written.coalesce(1 + size // PARTITION_BYTES)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text scores below the toxicity limit."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.keep_clean(docs.select(COLUMNS), model)
+    return table(toxicity.keep_clean(docs.select(COLUMNS), model), "toxicity")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +38,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     group and stay. Rows of equal doc_id and text stay once, other rows of a repeated or null doc_id are documents of
     their own.
     """
+    docs = common.spread(docs)
     found = jaccard_join.jaccard_components(docs, words=5, percent=80, keyed=True)
     one = found.where("n_shingles > 0").groupBy("part").agg(F.min(F.struct("id", "mark")).alias("one")).select("one.*")
     kept = one.unionAll(found.where("n_shingles = 0").select("id", "mark"))
     own = docs.select(*COLUMNS, *common.row_key(docs)).join(kept, ["id", "mark"], "left_semi")
-    return own.dropDuplicates(["id", "mark"]).select(COLUMNS)
+    return table(own.dropDuplicates(["id", "mark"]).select(COLUMNS), "jaccard-join")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,21 +51,22 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where a cut parts a character, its bytes left over are dropped. Null and empty texts stay.
     """
-    given = docs.select(*COLUMNS, F.col("text").isNull().alias("no_text"))
+    given = common.spread(docs).select(*COLUMNS, F.col("text").isNull().alias("no_text"))
     cut = suffix_dedup.remove_repeats(given, payload="text", carry=("lang", "source", "no_text"))
     text = F.when(~F.col("no_text"), F.col("kept").cast("string"))
     left = cut.withColumn("text", text).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return table(left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS), "suffix-dedup")
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal values replaced by pseudonyms of the same format."""
-    return pii.pseudonymise_documents(docs.select(COLUMNS), pii.key_of(spark, demo=True)).withColumn("n_chars", F.length("text").cast("long"))
+    docs = pii.pseudonymise_documents(common.spread(docs).select(COLUMNS), pii.key_of(spark, demo=True))
+    return table(docs.withColumn("n_chars", F.length("text").cast("long")), "pii")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 ids."""
-    return packing.pack_documents(docs, payload="crc32").drop("ids")
+    return packing.pack_documents(common.spread(docs), payload="crc32").drop("ids")
 
 
 STAGES = [
@@ -67,8 +80,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = common.saved(stage(spark, docs, sf_dir), name)
+    for _, stage in STAGES:  # each but the last returns a table that it has written
+        docs = stage(spark, docs, sf_dir)
     return docs
 
 
