@@ -49,28 +49,52 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textforge-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+#: For each scratch() that is open, the folders and held tables made in it.
+_SCRATCH: list[list[str | DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """On leaving, deletes the tables that were made inside; what was written of them to a folder made before stays."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+        for made in _SCRATCH.pop():
+            if isinstance(made, DataFrame):
+                made.unpersist()
+                continue
+            path = spark._jvm.org.apache.hadoop.fs.Path(made)
+            path.getFileSystem(hadoop).delete(path, True)
+        drop_shuffles(spark)
 
 
 #: Rows of one file of a table whose number of rows is known before.
 FILE_ROWS = 200_000
 
 
-def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read back: lineage ends here. rows: about how many there are."""
+def saved(df: DataFrame, name: str, rows: int | None = None, folder: str | None = None) -> DataFrame:
+    """df written as a Parquet table in the shared folder, or in the one given, and read back: lineage ends here. rows: about how many there are."""
     if rows is not None:
         df = df.coalesce(1 + rows // FILE_ROWS)
-    return mapped(df, lambda batches: batches, df.schema, name, encoder=True)[0]
+    return mapped(df, lambda batches: batches, df.schema, name, encoder=True, folder=folder)[0]
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, name: str, encoder: bool = False) -> tuple[DataFrame, int]:
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, name: str, encoder: bool = False, folder: str | None = None) -> tuple[DataFrame, int]:
     """df.mapInArrow(run, schema) as a Parquet table in the shared folder, and its number of rows.
 
     The workers write the files themselves, so the rows need not pass the JVM. Each task writes under a name of its own
     and then moves the file, so a repeated attempt replaces it. Folders that only Spark can reach are written by Spark.
     """
     spark = df.sparkSession
-    folder = shared_dir(spark, name)
+    folder = folder or shared_dir(spark, name)
     try:
         files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
@@ -120,7 +144,10 @@ def held(df: DataFrame) -> DataFrame:
     What a lost executor held is computed anew from its inputs; spark.catalog.clearCache() frees all of it. Loops use
     saved() instead, as plans would grow with each turn.
     """
-    return df.persist(StorageLevel.DISK_ONLY)
+    df = df.persist(StorageLevel.DISK_ONLY)
+    if _SCRATCH:
+        _SCRATCH[-1].append(df)
+    return df
 
 
 #: Bytes that a worker gathers for one row group.
