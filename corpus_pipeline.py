@@ -6,6 +6,8 @@ the text. Null texts count as empty; an empty table passes through.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,23 +16,32 @@ from textforge.llm import common, jaccard_join, packing, pii, suffix_dedup, toxi
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-#: Bytes of Parquet in one partition of what a stage returns, so that neither small files nor large tasks come of it.
-PARTITION_BYTES = 24 << 20
+#: Bytes of Parquet in one partition of what a stage returns: a small corpus is not a heap of tiny files.
+PARTITION_BYTES = 8 << 20
+
+
+def stage(function):
+    """A stage whose result is written as a table; the tables that it made on the way are deleted."""
 
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        folder = common.shared_dir(spark, function.__name__)
+        with common.scratch(spark):
+            written = common.saved(function(spark, common.spread(docs), sf_dir), function.__name__, folder=folder)
+        size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return written.coalesce(1 + size // PARTITION_BYTES)
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back in partitions of about PARTITION_BYTES."""
-    written = common.saved(df, name)
-    size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return written.coalesce(1 + size // PARTITION_BYTES)
+    return run
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text scores below the toxicity limit."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return table(toxicity.keep_clean(docs.select(COLUMNS), model), "toxicity")
+    return toxicity.keep_clean(docs.select(COLUMNS), model)
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with five-word shingle similarity 0.8 or more, the one with the least doc_id.
 
@@ -38,30 +49,31 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     group and stay. Rows of equal doc_id and text stay once, other rows of a repeated or null doc_id are documents of
     their own.
     """
-    docs = common.spread(docs)
     found = jaccard_join.jaccard_components(docs, words=5, percent=80, keyed=True)
     one = found.where("n_shingles > 0").groupBy("part").agg(F.min(F.struct("id", "mark")).alias("one")).select("one.*")
     kept = one.unionAll(found.where("n_shingles = 0").select("id", "mark"))
     own = docs.select(*COLUMNS, *common.row_key(docs)).join(kept, ["id", "mark"], "left_semi")
-    return table(own.dropDuplicates(["id", "mark"]).select(COLUMNS), "jaccard-join")
+    return own.dropDuplicates(["id", "mark"]).select(COLUMNS)
 
 
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of strings of 200 bytes that the corpus repeats; those with nothing left go.
 
     Where a cut parts a character, its bytes left over are dropped. Null and empty texts stay.
     """
-    given = common.spread(docs).select(*COLUMNS, F.col("text").isNull().alias("no_text"))
+    given = docs.select(*COLUMNS, F.col("text").isNull().alias("no_text"))
     cut = suffix_dedup.remove_repeats(given, payload="text", carry=("lang", "source", "no_text"))
     text = F.when(~F.col("no_text"), F.col("kept").cast("string"))
     left = cut.withColumn("text", text).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return table(left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS), "suffix-dedup")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+@stage
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal values replaced by pseudonyms of the same format."""
-    docs = pii.pseudonymise_documents(common.spread(docs).select(COLUMNS), pii.key_of(spark, demo=True))
-    return table(docs.withColumn("n_chars", F.length("text").cast("long")), "pii")
+    docs = pii.pseudonymise_documents(docs.select(COLUMNS), pii.key_of(spark, demo=True))
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
