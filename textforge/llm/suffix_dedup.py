@@ -325,13 +325,14 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), *common.row_key(df), text.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     n = common.partitions(spark)
     schema = "doc_id long, mark long, spot long, gram long, hull long, hull2 long"
-    found, count = common.mapped(rows.select("id", "mark", "text"), _anchor_rows(length, gram), schema, "anchors")
-    # tables of their own, so that Spark can split the partition of a very frequent gram or hull in the joins
-    several = found.groupBy("gram").agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("hull", "hull2") for k, f in (("least", F.min), ("most", F.max))]).where("n > 1")
-    grams = common.saved(several.select("gram", F.expr("least_hull <> most_hull or least_hull2 <> most_hull2").alias("mixed")), "repeated-grams", count // 4)
-    common.drop_shuffles(spark)
-    known = common.saved(found.join(grams, "gram"), "repeated-anchors", count // 3)
-    common.drop_shuffles(spark)
+    folder = common.shared_dir(spark, "repeated-anchors")
+    with common.scratch(spark):  # most anchors are not repeated, and are deleted here
+        found, count = common.mapped(rows.select("id", "mark", "text"), _anchor_rows(length, gram), schema, "anchors")
+        # tables of their own, so that Spark can split the partition of a very frequent gram or hull in the joins
+        several = found.groupBy("gram").agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("hull", "hull2") for k, f in (("least", F.min), ("most", F.max))]).where("n > 1")
+        grams = common.saved(several.select("gram", F.expr("least_hull <> most_hull or least_hull2 <> most_hull2").alias("mixed")), "repeated-grams", count // 4)
+        common.drop_shuffles(spark)
+        known = common.saved(found.join(grams, "gram"), "repeated-anchors", count // 3, folder)
     start = F.shiftright("spot", 16) - F.shiftright("spot", 8).bitwiseAND(255)
     part = (F.col("doc_id"), F.col("mark"), start.alias("low"), (start + F.col("spot").bitwiseAND(255) + length).alias("high"))
     whole = known.where("not mixed").select(*part)
