@@ -20,28 +20,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 PARTITION_BYTES = 8 << 20
 
 
-def stage(function):
-    """A stage whose result is written as a table; the tables that it made on the way are deleted."""
+def written(function):
+    """A stage of several steps: its result is written as a table, and the tables that it made on the way are deleted."""
 
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         folder = common.shared_dir(spark, function.__name__)
         with common.scratch(spark):
-            written = common.saved(function(spark, common.spread(docs), sf_dir), function.__name__, folder=folder)
-        size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return written.coalesce(1 + size // PARTITION_BYTES)
+            table = common.saved(function(spark, common.spread(docs), sf_dir), function.__name__, folder=folder)
+        size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return table.coalesce(1 + size // PARTITION_BYTES)
 
+    run.writes = True
     return run
 
 
-@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text scores below the toxicity limit."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs.select(COLUMNS), model)
 
 
-@stage
+@written
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with five-word shingle similarity 0.8 or more, the one with the least doc_id.
 
@@ -56,7 +56,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return own.dropDuplicates(["id", "mark"]).select(COLUMNS)
 
 
-@stage
+@written
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of strings of 200 bytes that the corpus repeats; those with nothing left go.
 
@@ -69,7 +69,6 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
-@stage
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal values replaced by pseudonyms of the same format."""
     docs = pii.pseudonymise_documents(docs.select(COLUMNS), pii.key_of(spark, demo=True))
@@ -92,8 +91,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    for _, stage in STAGES:  # each but the last returns a table that it has written
-        docs = stage(spark, docs, sf_dir)
+    for name, function in STAGES:
+        docs = function(spark, docs, sf_dir)
+        if not getattr(function, "writes", False):
+            docs = common.saved(docs, name)
     return docs
 
 
