@@ -55,14 +55,37 @@ def _walk(value: int, size: int, key: bytes, tweak: bytes, rounds: range) -> int
         left, right = value >> half, value & mask
         for r in rounds:
             held = right if forward else left
-            digest = hashlib.blake2b(tweak + bytes((r,)) + held.to_bytes(width, "big"), key=key[:64], digest_size=min(64, width + 8)).digest()
-            mix = int.from_bytes(digest, "big") & mask
+            mix = int.from_bytes(_digest(tweak + bytes((r,)) + held.to_bytes(width, "big"), key, width + 8), "big") & mask
             left, right = (right, left ^ mix) if forward else (right ^ mix, left)
         value = left << half | right
         if value < size:  # else walk on along the cycle, which returns into the range
             return value
 
 
+def _digest(given: bytes, key: bytes, size: int) -> bytes:
+    """A keyed digest of at least size bytes, so that it covers the whole half: as many numbered blocks as that needs."""
+    first = hashlib.blake2b(given, key=key[:64], digest_size=min(64, size)).digest()
+    more = (hashlib.blake2b(given + b"more%d" % i, key=key[:64]).digest() for i in range(1, -(-size // 64)))
+    return b"".join([first, *more])
+
+
+#: Characters that are permuted together; longer values are cut into equal blocks, each with the one before it as its tweak.
+BLOCK = 200
+
+
+def _blocks(text: str, change: Callable[[str, bytes], str], tweak: bytes) -> str:
+    """change() of a value, block by block where it is long: time grows with its length, and no part stays as it is."""
+    if len(text) <= BLOCK:
+        return change(text, tweak)
+    count = -(-len(text) // BLOCK)
+    cuts = [i * len(text) // count for i in range(count + 1)]
+    out, held = [], b"%d:" % len(text)
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        out.append(change(text[low:high], tweak + held))
+        held = hashlib.blake2b(held + out[-1].encode(), digest_size=16).digest()
+    return "".join(out)
+
+
 def luhn(digits: str) -> int:
     """The check digit that follows these digits."""
     total = sum(sum(divmod(2 * int(d), 10)) if i % 2 == 0 else int(d) for i, d in enumerate(reversed(digits)))
@@ -152,6 +175,10 @@ def _date(m: re.Match, key: bytes) -> str | None:
 
 def _mixed(text: str, key: bytes, tweak: bytes) -> str:
     """Letters and digits permuted within their own class; other characters stay."""
+    return _blocks(text, lambda part, own: _mixed_block(part, key, own), tweak)
+
+
+def _mixed_block(text: str, key: bytes, tweak: bytes) -> str:
     radix = [10 if c in "0123456789" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 0 for c in text]
     value, size = 0, 1
     for c, r in zip(text, radix, strict=True):
@@ -170,7 +197,7 @@ def _mixed(text: str, key: bytes, tweak: bytes) -> str:
 
 
 def _hex(text: str, key: bytes) -> str:
-    return f"{permute(int(text, 16), 16 ** len(text), key, b'hex%d' % len(text)):0{len(text)}x}"
+    return _blocks(text, lambda part, own: f"{permute(int(part, 16), 16 ** len(part), key, own + b'hex%d' % len(part)):0{len(part)}x}", b"")
 
 
 def _email(m: re.Match, key: bytes) -> str | None:
@@ -204,8 +231,8 @@ NATIONAL = {10: "1|7|44|91", 9: "31|33|34|41|48|212|351", 8: "45|47"}
 _NO_CODE = "".join(rf"(?<!\+{'[0-9]' * n}[ .\-])" for n in (1, 2, 3))
 #: In this order; each rule searches the gaps between the values that those before it have found.
 RULES: list[tuple[str, re.Pattern, Callable[[re.Match, bytes], str | None]]] = [
-    ("secret", re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_\-]{6,})"), _secret),
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}"), _email),
+    ("secret", re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?(?P<value>eyJ[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+){1,4}|[A-Za-z0-9+/_\-]{6,})"), _secret),
+    ("email", re.compile(r"(?<![\w.%+\-])[\w.%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}"), _email),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"), _ip),
     ("date", _DATE, _date),
