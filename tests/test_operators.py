@@ -57,7 +57,7 @@ def test_urls(spark):
 
 
 def test_years_required(spark):
-    found = lambda t: tuple(one(spark, t, roles.years_required))
+    found = lambda t: (lambda y: (y["years"], y["is_range"]))(one(spark, t, roles.years_required))
     assert found("3-5 years of experience") == (3, True)
     assert found("minimum 4 years experience and 2+ years experience") == (4, False)
     assert found("founded 20 years ago") == (None, False) and found("") == (None, False)
@@ -199,14 +199,6 @@ def test_repair(spark):
     assert one(spark, "déjà vu", T.repair) == "déjà vu" and one(spark, None, T.repair) == ""
 
 
-def test_role_in_context(spark):
-    far = "x" * 400
-    rules = roles.RoleRules(forbidden=("sales",))
-    rows = spark.createDataFrame([(1, "sales lead", ""), (2, "engineer", f"sales of pumps {far}"), (3, "engineer", f"{far} sales"), (4, "engineer", f"{far} your role: sales"), (5, "engineer", "you work with sales daily"), (6, "", ""), (7, "engineer", f"we work with sales {far} our sales {far} position sales")], "i int, t string, d string")
-    out = rows.select("i", roles.forbidden_reason(F.col("t"), F.col("d"), rules).alias("r")).collect()
-    assert {r["i"]: r["r"] for r in out} == {1: "sales", 2: "sales", 3: "", 4: "sales", 5: "", 6: "", 7: "sales"}
-
-
 def test_markup():
     root = markup.tree("<div><p>A&nbsp;b<p>c <script>x</script><ul><li>one<li>two<ul><li>in</ul></ul></b><img src=x>tail")
     assert root.lines() == "A b\nc\none\ntwo\nin\ntail" and [n.text() for n in root.all("li")] == ["one", "two in", "in"]

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import html
+import json
 import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache, reduce
-from html.entities import codepoint2name
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entities that html_to_plain() decodes, `&amp;` last. Fixed values.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 #: Legal forms and trade words at the end of company names, each taken off once, in this order. Fixed values.
 COMPANY_ENDINGS = (
     " gmbh", " ggmbh", " ag", " se", " kg", " ohg", " inc", " corp",
@@ -27,23 +27,94 @@ GENDER_MARK = r"\(m[fwhx]/?f?/?x?\)"
 TOKEN_STOP = ("and", "the", "for", "with", "des", "les", "une", "dans", "sur", "job", "jobs")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated a single time however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def blank_null(c: Column) -> Column:
     return F.when(F.trim(c) == "", None).otherwise(c)
 
 
 @lru_cache(maxsize=1)
-def _accents() -> tuple[str, str]:
-    """Letters from U+00C0 to U+1EFF (Latin, Greek, Cyrillic) that decompose into a base letter and marks, and their base letters."""
-    pairs = [(chr(c), base[0]) for c in range(0xC0, 0x1F00) if len(base := unicodedata.normalize("NFD", chr(c))) > 1 and all(unicodedata.category(m) == "Mn" for m in base[1:])]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """Letters with one base letter, then marks, which go; the base letters; and what falls into several letters, but for Hangul.
+
+    All from the standard library's decompositions of every code point, so a text is as unicodedata's NFD without marks (Mn).
+    """
+    many, letters, bases, marks = {}, [], [], []
+    for c in map(chr, (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000))):
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif unicodedata.decomposition(c)[:1] not in ("", "<"):
+            base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+            if len(base) == 1:
+                letters.append(c)
+                bases.append(base)
+            else:
+                many[c] = base
+    return "".join(letters + marks), "".join(bases), many
+
+
+#: The parts of Hangul syllables: first code points of leading, vowel and trailing signs and how many there are of the latter two. Fixed values.
+HANGUL, LEADING, VOWEL, TRAILING, VOWELS, TRAILINGS = 0xAC00, 0x1100, 0x1161, 0x11A7, 21, 28
+
+
+def _each(text: Column, known: Column) -> Column:
+    """The text with each character for which known, a lambda, is not null replaced by it."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(known(c), c)), "")
+
+
+def constant(value: list | dict, kind: str) -> Column:
+    """A list or map as one literal of the plan, however long it is."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _map(pairs: dict[str, str]) -> Column:
+    return constant(pairs, "map<string, string>")
+
+
+def _jamo(c: Column) -> Column:
+    """A Hangul syllable's parts, or null."""
+    at = F.ascii(c) - HANGUL
+    sign = lambda first, n, i: F.element_at(constant([chr(first + k) for k in range(n)], "array<string>"), (i + 1).cast("int"))
+    tail = F.when(at % TRAILINGS == 0, F.lit("")).otherwise(sign(TRAILING, TRAILINGS, at % TRAILINGS))
+    parts = F.concat(sign(LEADING, 19, F.floor(at / (VOWELS * TRAILINGS))), sign(VOWEL, VOWELS, F.floor(at / TRAILINGS) % VOWELS), tail)
+    return F.when((at >= 0) & (at < 19 * VOWELS * TRAILINGS), parts)
 
 
 def unaccent(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, *_accents()), r"\p{Mn}", "")
+    """The text without accents: canonical decomposition without marks, as unicodedata has it, for every code point."""
+    letters, bases, many = _decomposed()
+    rare = "[가-힣" + "".join(many) + "]"
+    whole = F.when(c.rlike(rare), _each(c, lambda x: F.coalesce(_jamo(x), F.try_element_at(_map(many), x)))).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(whole, letters, bases)).otherwise(c)
+
+
+@lru_cache(maxsize=1)
+def _compatible() -> tuple[str, str, dict[str, str]]:
+    """Characters beyond ASCII whose compatibility decomposition has one ASCII character, that one, and those that have several."""
+    one, many = {}, {}
+    for c in map(chr, (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000))):
+        if unicodedata.decomposition(c):
+            plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+            (one if len(plain) == 1 else many if plain else {})[c] = plain
+    return "".join(one), "".join(one.values()), many
+
+
+def to_ascii(c: Column) -> Column:
+    """The ASCII characters of the text's compatibility decomposition (NFKD): ligatures, full-width letters and the like as letters; others go."""
+    letters, plain, many = _compatible()
+    whole = F.when(c.rlike("[" + "".join(re.escape(x) for x in many) + "]"), _each(c, lambda x: F.try_element_at(_map(many), x))).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(whole, letters, plain), r"[^\x00-\x7F]", "")).otherwise(c)
+
+
+#: White space as Unicode has it. Fixed value.
+SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0  -     　]"
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
 
 
 def normalise(c: Column) -> Column:
@@ -51,6 +122,11 @@ def normalise(c: Column) -> Column:
     return collapse(unaccent(F.lower(F.coalesce(c, F.lit("")))))
 
 
+def normalised(text: str) -> str:
+    """normalise() of a word of a rule."""
+    return " ".join("".join(x for x in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(x) != "Mn").split())
+
+
 def simple_key(c: Column) -> Column:
     """Normalised, with everything but a-z, 0-9 as one space."""
     return collapse(F.regexp_replace(normalise(c), r"[^a-z0-9\s]", " "))
@@ -66,12 +142,6 @@ def strip_noise(c: Column, tokens: Iterable[str]) -> Column:
 BROKEN_MARKS = (("\u2019", "'"), ("\u2013", "-"), ("\u2014", "-"), ("\u201c", '"'), ("\u201d", '"'))
 
 
-def _replaced(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
-    """All pairs, one after the other, as one small expression."""
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    return F.aggregate(table, c, lambda x, p: F.replace(x, p["a"], p["b"]))
-
-
 @lru_cache(maxsize=1)
 def _broken() -> tuple[tuple[str, str], ...]:
     """Letters of Latin-1 and marks as they look when their UTF-8 was read as Latin-1 or Windows-1252, once or twice; longest first."""
@@ -87,21 +157,59 @@ def _broken() -> tuple[tuple[str, str], ...]:
 
 
 def repair(c: Column) -> Column:
-    """Undoes UTF-8 that was read as Latin-1 or Windows-1252, once or twice, for Latin-1 letters and the usual marks."""
+    """Undoes UTF-8 that was read as Latin-1 or Windows-1252, once or twice, for Latin-1 letters and the usual marks: one pass, the longest first."""
     given = F.coalesce(c, F.lit(""))
-    return F.when(given.rlike("[\u00c2\u00c3\u00e2]"), _replaced(given, _broken())).otherwise(given)
+    pairs = dict(_broken())
+    lead = "".join(sorted({x[0] for x in pairs}))
+    pieces = F.regexp_extract_all(given, F.lit(f"(?s){'|'.join(map(re.escape, pairs))}|[^{lead}]+|."), F.lit(0))
+    return F.when(given.rlike(f"[{lead}]"), F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(_map(pairs), p), p)), "")).otherwise(given)
 
 
 @lru_cache(maxsize=1)
-def _entities() -> tuple[tuple[str, str], ...]:
-    """ENTITIES, and before the ampersand the named and decimal ones of Latin-1, which the standard library lists."""
-    latin = [(f"&{n};", chr(c)) for c, n in sorted(codepoint2name.items()) if 0xA1 <= c <= 0xFF]
-    numbers = [(f"&#{c};", chr(c)) for c in range(0xA1, 0x100)]
-    return (*ENTITIES[:-1], *latin, *numbers, ENTITIES[-1])
+def _numbers() -> tuple[dict[int, str], str]:
+    """Code points that a numeric entity does not stand for: what stands instead, from the standard library."""
+    return {n: got for n in range(0x10000) if not 0xD800 <= n <= 0xDFFF and (got := html.unescape(f"&#{n};")) != chr(n)}, "�"
+
+
+def _numeric(digits: Column, base: int) -> Column:
+    """The character of a numeric entity, given its digits."""
+    odd, lost = _numbers()
+    bare = F.regexp_replace(digits, "^0+", "")
+    code = F.when(F.length(bare) <= 7, F.conv(F.concat(F.lit("0"), bare), base, 10).cast("long")).otherwise(F.lit(1 << 30))
+    odds = constant({str(n): x for n, x in odd.items()}, "map<string, string>")
+    letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit(lost)).otherwise(
+        F.coalesce(F.try_element_at(odds, code.cast("string")), F.when(code.isin(list(_planes())), F.lit("")).otherwise(letter))
+    )
+
+
+@lru_cache(maxsize=1)
+def _planes() -> tuple[int, ...]:
+    """The last two code points of each further plane, which stand for nothing."""
+    return tuple(n for p in range(1, 17) for n in (p << 16 | 0xFFFE, p << 16 | 0xFFFF))
+
+
+def _entity(piece: Column) -> Column:
+    """What stands for `&` and the piece behind it."""
+    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    bare = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))  # those that need no semicolon
+    full = F.regexp_extract(piece, r"^([^\t\n\f <&#;]{1,32});", 1)
+    short = F.regexp_extract(piece, f"^({'|'.join(bare)})", 1)
+    decimal, hexa = F.regexp_extract(piece, r"^#([0-9]+)", 1), F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]+)", 1)
+    after = lambda skipped: F.substr(piece, skipped + 1)
+    number = lambda digits, more, base: F.concat(_numeric(digits, base), F.regexp_replace(after(F.length(digits) + more), "^;", ""))
+    return (
+        F.when(decimal != "", number(decimal, 1, 10)).when(hexa != "", number(hexa, 2, 16))
+        .when((full != "") & F.try_element_at(_map(names), full).isNotNull(), F.concat(F.try_element_at(_map(names), full), after(F.length(full) + 1)))
+        .when((short != "") & (F.length(F.regexp_extract(piece, r"^([^\t\n\f <&#;]{1,32})", 1)) >= 2), F.concat(F.try_element_at(_map({k: html5[k] for k in bare}), short), after(F.length(short))))
+        .otherwise(F.concat(F.lit("&"), piece))
+    )
 
 
 def decode_entities(c: Column) -> Column:
-    return F.when(F.contains(c, F.lit("&")), _replaced(c, _entities())).otherwise(c)
+    """The text with its HTML entities decoded, named, decimal and hexadecimal, in one pass from the left, as html.unescape() does it."""
+    decoded = lambda x: F.array_join(F.transform(F.split(x, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(_entity(p))), "")
+    return once(c, lambda x: F.when(F.contains(x, F.lit("&")), decoded(x)).otherwise(x))
 
 
 def html_to_plain(c: Column) -> Column:
@@ -113,10 +221,12 @@ def html_to_plain(c: Column) -> Column:
 
 def rule_plain(c: Column) -> Column:
     """Text as rules read it: repaired, entities decoded, without tags if there are any."""
-    given = decode_entities(repair(c))
-    tagged = looks_like_html(given) | given.rlike(r"(?s)<[^>]+>")
-    bare = F.regexp_replace(F.regexp_replace(given, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " "), r"(?s)<[^>]*>", " ")
-    return collapse(F.when(tagged, bare).otherwise(given))
+
+    def read(given: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(given, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " "), r"(?s)<[^>]*>", " ")
+        return collapse(F.when(given.rlike(r"(?s)<[^>]+>") | looks_like_html(given), bare).otherwise(given))
+
+    return once(decode_entities(repair(c)), read)
 
 
 def looks_like_html(c: Column) -> Column:

@@ -40,18 +40,26 @@ def steps(pack: RulePack) -> list[tuple[str, Column]]:
     return out
 
 
-def first_fail(pack: RulePack) -> Column:
+#: What a cascade runs: a pack's steps, or a list of them such as market.steps().
+Steps = RulePack | list[tuple[str, Column]]
+
+
+def _steps(given: Steps) -> list[tuple[str, Column]]:
+    return steps(given) if isinstance(given, RulePack) else given
+
+
+def first_fail(pack: Steps) -> Column:
     """The name of the first step that fails, or empty."""
-    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in steps(pack)], F.lit(""))
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in _steps(pack)], F.lit(""))
 
 
-def attributed(df: DataFrame, pack: RulePack) -> DataFrame:
+def attributed(df: DataFrame, pack: Steps) -> DataFrame:
     return df.withColumn("first_fail", first_fail(pack))
 
 
-def keep(df: DataFrame, pack: RulePack) -> DataFrame:
+def keep(df: DataFrame, pack: Steps) -> DataFrame:
     """Rows that pass every step, as one conjunction: cheap, prunable tests come first."""
-    for _, ok in steps(pack):
+    for _, ok in _steps(pack):
         df = df.where(ok)
     return df
 
@@ -64,19 +72,19 @@ def near_misses(df: DataFrame, pack: RulePack) -> DataFrame:
     return df.withColumn("priority", plain.cast("int")).where(F.col("priority") >= pack.near_miss_min).withColumn("near_miss_reason", F.lit("location_only"))
 
 
-def funnel(df: DataFrame, pack: RulePack) -> DataFrame:
-    """step_no, step, before, removed, kept for each step in order: one pass, then sums over the few steps."""
-    names = [name for name, _ in steps(pack)]
-    counts = attributed(df, pack).agg(F.count("*").alias("total"), *[F.count_if(F.col("first_fail") == n).alias(n) for n in names])
+def funnel(df: DataFrame, pack: Steps, by: tuple[str, ...] = ()) -> DataFrame:
+    """step_no, step, before, removed, kept for each step in order, and for each group of the columns `by`: one pass, then sums over the few steps."""
+    names = [name for name, _ in _steps(pack)]
+    counts = attributed(df, pack).groupBy(*by).agg(F.count("*").alias("total"), *[F.count_if(F.col("first_fail") == n).alias(n) for n in names])
     rows = F.array(*[F.struct(F.lit(i + 1).alias("step_no"), F.lit(n).alias("step"), F.col(n).alias("removed"), F.col("total")) for i, n in enumerate(names)])
-    out = counts.select(F.inline(rows))
-    gone = F.sum("removed").over(Window.orderBy("step_no").rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("kept", F.col("total") - gone).select("step_no", "step", (F.col("kept") + F.col("removed")).alias("before"), "removed", "kept")
+    out = counts.select(*by, F.inline(rows))
+    gone = F.sum("removed").over(Window.partitionBy(*by).orderBy("step_no").rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("kept", F.col("total") - gone).select(*by, "step_no", "step", (F.col("kept") + F.col("removed")).alias("before"), "removed", "kept")
 
 
-def independent_impact(df: DataFrame, pack: RulePack) -> DataFrame:
+def independent_impact(df: DataFrame, pack: Steps) -> DataFrame:
     """step, removed: rows that each step would remove on its own; all in one pass."""
-    own = steps(pack)
+    own = _steps(pack)
     counts = df.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(n) for n, ok in own])
     return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("step"), F.col(n).alias("removed")) for n, _ in own])))
 
@@ -86,6 +94,21 @@ def global_hits(df: DataFrame, pack: RulePack) -> DataFrame:
     return df.select(F.explode(T.hits(F.col("text_n"), pack.exclude)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def replay_steps(pack: RulePack) -> list[tuple[str, Column]]:
+    """The list that reports replay: without general internships and experience, blind to the mode where a language is asked for, which counts again with the language found."""
+    own, strict = dict(steps(pack)), dict(steps(pack.with_mode("strict")))
+    asked = strict["blocked_language"]
+    found = own.get("detected_language", F.lit(True))
+    told = {**own, "blocked_language": asked, "detected_language": asked & found}
+    return [(n, told[n]) for n in ("description_short", "bad_title", "not_recent", "location", "role", "student_internship", "excluded_word", "blocked_language", "detected_language", "junior_score")]
+
+
+def differing(df: DataFrame, a: Steps, b: Steps) -> DataFrame:
+    """step_a, step_b, n: rows that one list of steps keeps and the other does not, by the step where each list first fails them; empty where it keeps them."""
+    told = df.select(first_fail(a).alias("step_a"), first_fail(b).alias("step_b")).where((F.col("step_a") == "") != (F.col("step_b") == ""))
+    return told.groupBy("step_a", "step_b").agg(F.count("*").alias("n"))
+
+
 #: How a reason is triaged: (beginning of the reason, hard exclusion, review reason). Fixed order.
 TRIAGE = (
     ("description_short", False, "insufficient_text"), ("bad_title", True, ""), ("not_recent", True, ""), ("location", False, "check_location"),

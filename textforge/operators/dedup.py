@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textforge.functions import text as T
+from textforge.sources.store import shared_dir
 
 #: Words without weight in a canonical key. Fixed values.
 NOISE = ("m/f/x", "m/f", "m w d", "junior", "senior", "medior")
@@ -31,10 +31,16 @@ def best_order(description: str = "description", created: str = "created", salar
     return [*out, F.asc(row_id)]
 
 
+def _best_of(df: DataFrame) -> list[Column]:
+    """best_order() with the salary and the preference of sources, where the table has them."""
+    pay = [F.col(c) for c in ("salary_min", "salary_max") if c in df.columns]
+    return best_order(salary=F.coalesce(*pay) if pay else None, source_rank="source_rank" if "source_rank" in df.columns else None)
+
+
 def by_url(df: DataFrame) -> DataFrame:
     """The best row of each url; rows without one all stay."""
     has = F.coalesce(F.trim("url"), F.lit("")) != ""
-    return keep_first(df.where(has), ["url"], best_order()).unionByName(df.where(~has))
+    return keep_first(df.where(has), ["url"], _best_of(df)).unionByName(df.where(~has))
 
 
 def canonical_key(df: DataFrame) -> Column:
@@ -44,7 +50,7 @@ def canonical_key(df: DataFrame) -> Column:
 
 
 def by_canonical_key(df: DataFrame) -> DataFrame:
-    return keep_first(df.withColumn("key", canonical_key(df)), ["key"], best_order())
+    return keep_first(df.withColumn("key", canonical_key(df)), ["key"], _best_of(df))
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -122,10 +128,10 @@ def fuzzy_pairs(df: DataFrame, threshold: float = 92.0, place: float = 90.0) ->
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df in the checkpoint folder that the cluster names in spark.checkpoint.dir; a temporary one is set where there is none, as in tests."""
+    """df in the checkpoint folder that the cluster names in spark.checkpoint.dir; without one a cluster is refused."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textforge-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 
@@ -163,4 +169,4 @@ def fuzzy_groups(df: DataFrame, threshold: float = 92.0, place: float = 90.0) ->
 
 def fuzzy_best(df: DataFrame, **limits: float) -> DataFrame:
     """The best row of each fuzzy group."""
-    return keep_first(df.join(fuzzy_groups(df, **limits), "row_id"), ["group"], best_order())
+    return keep_first(df.join(fuzzy_groups(df, **limits), "row_id"), ["group"], _best_of(df))

@@ -2,102 +2,103 @@
 
 from __future__ import annotations
 
-import dataclasses
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textforge import vocabularies as V
 from textforge.functions import text as T
+from textforge.markets import Market
+from textforge.operators.classify import computed
+from textforge.operators.rules import Rules
 
-Words = tuple[str, ...]
+#: Titles that a gated market takes at once, and those it never takes. Fixed values.
+CLEAR_TITLES, GENERIC_TITLES = V.MA_CLEAR_TITLES, V.MA_GENERIC_TITLES
+#: Places whose region a reason names, and the focus under which other places are called by the second name. Fixed values.
+REGION, REGION_PLACES, REGION_FOCUS, ELSEWHERE = "romandie", V.ROMANDIE + V.ROMANDIE_MORE, "romandie", "swiss-wide"
+#: The focus that takes remote work anywhere. Fixed value.
+REMOTE_FOCUS = "rabat_or_remote"
 
 
-@dataclasses.dataclass(frozen=True)
-class GateRules:
-    """Markers are substrings of match_text(); an empty gate lets everything through."""
+def match_text(*values: Column) -> Column:
+    """Values joined, compatibility forms as plain letters, other characters beyond ASCII left out, lower case, single blanks."""
+    return T.collapse(F.lower(T.to_ascii(F.concat_ws(" ", *[T.blank_null(v) for v in values]))))
 
-    #: (language code, markers anywhere) that cost 12 each unless the code is allowed, (label, markers in the title) that cost 10.
-    languages: tuple[tuple[str, Words], ...] = ()
-    allowed_languages: Words = ()
-    titles: tuple[tuple[str, Words], ...] = ()
-    generic_titles: Words = ()
-    clear_titles: Words = ()
-    gated: bool = False
-    #: (focus, places): names that stand for several places; one of them may take remote work as well.
-    clusters: tuple[tuple[str, Words], ...] = ()
-    remote_focus: str = ""
-    #: A region with its markers, and whether the pack aims at it.
-    region: str = ""
-    region_markers: Words = ()
-    region_aim: bool = False
 
+def plain(word: str) -> str:
+    """match_text() of a word of a rule."""
+    return " ".join(unicodedata.normalize("NFKD", word).encode("ascii", "ignore").decode().lower().split())
 
-def match_text(*values: Column) -> Column:
-    """Values joined, without accents and other characters beyond ASCII, lower case, single blanks."""
-    given = F.concat_ws(" ", *[T.blank_null(v) for v in values])
-    return T.collapse(F.lower(F.regexp_replace(T.unaccent(given), r"[^\x00-\x7F]", "")))
-
-
-def adjustment(title: Column, text: Column, rules: GateRules) -> Column:
-    """Struct of penalty (at least -30), reasons (up to four) and forced, whether the row must be reviewed."""
-    found = [(F.concat(F.lit("language:"), F.lit(code)), 12, T.contains_any(text, words)) for code, words in rules.languages if code not in rules.allowed_languages]
-    found += [(F.lit(label), 10, T.contains_any(title, words)) for label, words in rules.titles]
-    if not found:
-        return F.struct(F.lit(0).alias("penalty"), F.lit("").alias("reasons"), F.lit(False).alias("forced"))
-    labels = F.array_compact(F.array(*[F.when(c, label) for label, _, c in found]))
+
+def adjustment(title: Column, text: Column, pack: Market) -> Column:
+    """Struct of penalty (at least -30), reasons (up to four) and forced, whether the row must be reviewed, under one pack.
+
+    A language that is not the pack's costs 12, a class of titles that is not aimed at 10; a row without text costs nothing.
+    """
+    found = [(f"language:{code}", 12, T.contains_any(text, words)) for code, words in pack.queue_languages if code not in pack.allowed_codes]
+    found += [(label, 10, T.contains_any(title, words)) for label, words in pack.queue_titles]
+    nothing = F.struct(F.lit(0).alias("penalty"), F.lit("").alias("reasons"), F.lit(False).alias("forced"))
+    if not found or not pack.gated:
+        return nothing
+    labels = F.array_compact(F.array(*[F.when(c, F.lit(label)) for label, _, c in found]))
     total = sum((F.when(c, -points).otherwise(0) for _, points, c in found), F.lit(0))
-    return F.struct(F.greatest(F.lit(-30), total).alias("penalty"), F.array_join(F.slice(labels, 1, 4), " | ").alias("reasons"), (F.size(labels) > 0).alias("forced"))
+    made = F.struct(F.greatest(F.lit(-30), total).alias("penalty"), F.array_join(F.slice(labels, 1, 4), " | ").alias("reasons"), (F.size(labels) > 0).alias("forced"))
+    return F.when(text != "", made).otherwise(nothing)
 
 
-def apply_now(title: Column, rules: GateRules) -> Column:
-    """Struct of allowed and why not: the title itself must be on target."""
-    if not rules.gated:
-        return F.struct(F.lit(True).alias("allowed"), F.lit("").alias("why"))
+def apply_now(title: Column, gated: Column) -> Column:
+    """Struct of allowed and why not: in a gated market the title itself must be on target."""
     why = (
-        F.when(title == "", "empty_title").when(T.contains_any(title, rules.generic_titles), "generic_language_title")
-        .when(T.contains_any(title, rules.clear_titles) | F.contains(title, F.lit("junior")), "").otherwise("title_not_specific_enough")
+        F.when(~gated, "").when(title == "", "empty_title").when(T.contains_any(title, GENERIC_TITLES), "generic_language_title")
+        .when(T.contains_any(title, CLEAR_TITLES) | F.contains(title, F.lit("junior")), "").otherwise("title_not_specific_enough")
     )
     return F.struct((why == "").alias("allowed"), why.alias("why"))
 
 
-def in_focus(location: Column, remote: Column, focus: str, rules: GateRules) -> Column:
+def in_focus(location: Column, remote: Column, focus: str, pack: Market) -> Column:
     """Whether a place is one of a focus: a cluster's places, or the focus itself as a substring; no focus takes all."""
-    key = " ".join(focus.lower().split())
+    key = plain(focus)
     if not key:
         return F.lit(True)
-    found = T.contains_any(match_text(location), dict(rules.clusters).get(key, (key,)))
-    return found | remote if key == rules.remote_focus else found
+    found = T.contains_any(match_text(location), tuple(map(plain, dict(pack.clusters).get(key, (key,)))))
+    return found | remote if pack.clusters and key == REMOTE_FOCUS else found
 
 
 def focus_path(path: str, focus: str) -> str:
     """A path with the focus before its ending."""
-    key = "_".join(focus.lower().split())
+    key = plain(focus).replace(" ", "_")
     stem, dot, ending = path.rpartition(".")
     return path if not key else f"{stem}_{key}.{ending}" if dot and "/" not in ending else f"{path}_{key}"
 
 
-def reason_text(df: DataFrame, rules: GateRules) -> Column:
+def reason_text(focus: Column) -> Column:
     """Up to four labels of why a row ranks: is_remote, sponsorship_score, language_fit, junior_score, search_term, location, feedback_score."""
     term = F.trim(F.coalesce("search_term", F.lit("")))
-    there = T.contains_any(F.lower(F.coalesce("location", F.lit(""))), rules.region_markers) if rules.region else F.lit(False)
+    there = T.contains_any(F.lower(F.coalesce("location", F.lit(""))), REGION_PLACES)
     labels = [
         F.when(F.col("is_remote"), F.lit("remote/hybrid")), F.when(F.col("sponsorship_score") > 0, F.lit("sponsors-visa")),
         F.when(F.col("language_fit") > 0, F.lit("language-fit")), F.when(F.col("junior_score") >= 2, F.lit("junior-friendly")),
-        F.when(term != "", F.concat(F.lit("term:"), term)), F.when(there, F.lit(rules.region)),
-        F.when(~there & rules.region_aim, F.lit("country-wide")),
+        F.when(term != "", F.concat(F.lit("term:"), term)), F.when(there, F.lit(REGION)), F.when(~there & (focus == REGION_FOCUS), F.lit(ELSEWHERE)),
         F.when(F.col("feedback_score") > 0, F.lit("historical-fit+")).when(F.col("feedback_score") < 0, F.lit("historical-fit-")),
     ]
     told = F.array_join(F.slice(F.array_compact(F.array(*labels)), 1, 4), ", ")
     return F.when(told == "", "priority-ranked").otherwise(told)
 
 
-def gated(df: DataFrame, rules: GateRules, apply_min: int) -> DataFrame:
-    """df (priority, feedback_score, title, description, company) with adjusted, action, penalty_reasons and gate."""
-    title = match_text(F.col("title"))
-    df = df.withColumn("_a", adjustment(title, match_text(F.col("title"), F.col("description"), F.col("company")), rules)).withColumn("_g", apply_now(title, rules))
+def gated(df: DataFrame, r: Rules, apply_min: int) -> DataFrame:
+    """df (market, priority, feedback_score, title, description, company) with adjusted, action, penalty_reasons, gate and apply_reason."""
+    df = computed(df, {"_title": match_text(F.col("title")), "_text": match_text(F.col("title"), F.col("description"), F.col("company"))})
+    strict = [p for p in r.packs if p.gated]
+    costs = F.coalesce(*[F.when(F.col("market") == p.name, adjustment(F.col("_title"), F.col("_text"), p)) for p in strict], adjustment(F.col("_title"), F.col("_text"), Market()))
+    df = computed(df, {"_a": costs, "_g": apply_now(F.col("_title"), F.col("market").isin([p.name for p in strict]) if strict else F.lit(False))})
     adjusted = F.col("priority") + F.col("feedback_score") + F.col("_a.penalty")
     ready = (adjusted >= apply_min) & ~F.col("_a.forced") & F.col("_g.allowed")
-    return df.withColumns({"adjusted": adjusted.cast("int"), "action": F.when(ready, "apply_now").otherwise("review"), "penalty_reasons": F.col("_a.reasons"), "gate": F.col("_g.why")}).drop("_a", "_g")
+    focus = F.coalesce(*[F.when(F.col("market") == p.name, F.lit(p.focus)) for p in r.packs], F.lit(""))
+    return df.withColumns({
+        "adjusted": adjusted.cast("int"), "queue_adjustment": F.col("_a.penalty"), "action": F.when(ready, "apply_now").otherwise("review"), "penalty_reasons": F.col("_a.reasons"),
+        "gate": F.col("_g.why"), "apply_reason": reason_text(focus),
+    }).drop("_a", "_g", "_title", "_text")
 
 
 def demoted(queue: DataFrame, manual: DataFrame, keys: tuple[str, ...] = ("url", "canonical_url")) -> DataFrame:

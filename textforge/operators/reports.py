@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 #: What counts as true in text. Fixed values.
@@ -107,15 +107,43 @@ ORDERS = {
 }
 
 
+def _key(name: str) -> Column:
+    return {"action_rank": (F.col("action") == "apply_now").cast("int"), "company_key": F.lower("company")}.get(name, F.col(name))
+
+
 def order_by(name: str) -> list[Column]:
-    keys = {"action_rank": (F.col("action") == "apply_now").cast("int"), "company_key": F.lower("company")}
     out = []
     for key in ORDERS[name]:
-        c = keys.get(key.lstrip("-"), F.col(key.lstrip("-")))
+        c = _key(key.lstrip("-"))
         out.append(c.desc_nulls_last() if key.startswith("-") else c.asc())
     return out
 
 
+def _precedes(row: Row, name: str) -> Column:
+    """Whether a record stands before the given one in an order."""
+    ahead, same = F.lit(False), F.lit(True)
+    for key in ORDERS[name]:
+        c, v = _key(key.lstrip("-")), F.lit(row[key.lstrip("-")])
+        less = (c > v) if key.startswith("-") else (c < v)
+        ahead, same = ahead | (same & F.coalesce(less, c.isNotNull() & v.isNull())), same & c.eqNullSafe(v)
+    return ahead
+
+
+def places(df: DataFrame, names: tuple[str, ...], most: int) -> DataFrame:
+    """row_id and by_<name>, its place in each order, of the first `most` records by the first order.
+
+    The orders are total. The few records are picked first, and one pass counts what stands before each of them: no
+    order of the whole table is made.
+    """
+    keys = sorted({k.lstrip("-") for n in names for k in ORDERS[n]})
+    top = df.orderBy(*order_by(names[0])).limit(most).select(*[_key(k).alias(k) for k in keys]).collect()
+    if not top:
+        return df.select("row_id", *[F.lit(0).cast("long").alias(f"by_{n}") for n in names]).limit(0)
+    counts = df.agg(*[F.count_if(_precedes(r, n)).alias(f"{n}_{i}") for i, r in enumerate(top) for n in names])
+    rows = [F.struct(F.lit(r["row_id"]).alias("row_id"), *[(F.col(f"{n}_{i}") + 1).alias(f"by_{n}") for n in names]) for i, r in enumerate(top)]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def link_score(title: Column, company: Column, location: Column, link: Column, label: Column, around: Column, tokens) -> Column:
     """How well a link of a results page fits a posting: 6 for a details link, 2 for each word of the title in its label, 1 for company and place around it."""
     common = lambda a, b: F.size(F.array_intersect(tokens(a), tokens(b)))

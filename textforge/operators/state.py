@@ -33,6 +33,18 @@ def update_tracker(tracker: DataFrame, job_id: str, status: str, now: str, note:
     return tracker.withColumns({"status": F.when(here, status).otherwise(F.col("status")), "applied_date": F.when(here, date).otherwise(F.col("applied_date")), "notes": F.when(here, notes).otherwise(F.col("notes"))})
 
 
+def tracker_order() -> list[Column]:
+    """Last seen, first seen, priority and date, the latest and greatest first; the job's id makes it total."""
+    return [F.desc_nulls_last("last_seen"), F.desc_nulls_last("first_seen"), F.desc_nulls_last("priority_score"), F.desc_nulls_last("created"), F.asc("job_id")]
+
+
+def show_tracker(tracker: DataFrame, status: str = "", most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(status, n) by frequency, and the first rows of the tracker, of one status if it is given."""
+    counts = tracker.groupBy(valid_status(F.col("status")).alias("status")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "status")
+    rows = tracker.where(valid_status(F.col("status")) == status) if status else tracker
+    return counts, rows.orderBy(*tracker_order()).limit(most)
+
+
 def new_alerts(queue: DataFrame, alerted: DataFrame, key: str = "job_id") -> DataFrame:
     return queue.join(alerted.select(key), key, "left_anti")
 

@@ -12,7 +12,7 @@ from textforge.functions import urls as U
 from textforge.operators import cascade, classify, dedup, extract, language, queue, roles, scoring, state
 from textforge.plans import oracle as O
 from textforge.rulepack import FIXTURE
-from textforge.sources.tables import postings, read_table, unify
+from textforge.sources.tables import postings, ranked_sources, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -323,10 +323,8 @@ def q_fuzzy_dedup(spark, sf):
 
 @query("SELECT doc_id, source, (dense_rank() OVER (ORDER BY source NULLS LAST) - 1)::INT AS source_rank, coalesce(source, '') AS search_term FROM documents")
 def q_union_sources(spark, sf):
-    """Every source of the table, by name, rows without one last."""
-    d = docs(spark, sf).withColumn("search_term", F.col("source"))
-    names = sorted((r["source"] for r in d.select("source").distinct().collect()), key=lambda s: (s is None, s or ""))
-    return unify({s: d.where(F.col("source").eqNullSafe(F.lit(s))).drop("source") for s in names}).select("doc_id", "source", "source_rank", "search_term")
+    """Every source of the table, by name, rows without one last: one scan, and a rank for each source."""
+    return ranked_sources(docs(spark, sf).withColumn("search_term", F.col("source"))).select("doc_id", "source", "source_rank", "search_term")
 
 
 @query("SELECT d.doc_id, coalesce(nullif(trim(regexp_extract(p.html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), d.source) AS source FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id")

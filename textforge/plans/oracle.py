@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from html.entities import codepoint2name
 
-from textforge.functions.text import COMPANY_ENDINGS, GENDER_MARK, TOKEN_STOP, _entities
+from textforge.functions.text import COMPANY_ENDINGS, GENDER_MARK, TOKEN_STOP
 from textforge.operators.classify import VOTES
 from textforge.operators.dedup import NOISE
 from textforge.operators.queue import CLOSED, OUTCOME
@@ -23,9 +24,17 @@ def flat(x: str) -> str:
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
+#: Entities that SQL decodes one after another, the ampersand last: those of Latin-1, by name and number, and the marks of markup.
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+    *((f"&{n};", chr(c)) for c, n in sorted(codepoint2name.items()) if 0xA0 <= c <= 0xFF), *((f"&#{c};", chr(c)) for c in range(0xA0, 0x100)),
+    ("&amp;", "&"),
+)
+
+
 def decoded(x: str) -> str:
     out = given = f"coalesce({x}, '')"
-    for a, b in _entities():
+    for a, b in ENTITIES:
         out = f"replace({out}, {q(a)}, {q(b)})"
     return f"(CASE WHEN contains({given}, '&') THEN {out} ELSE {given} END)"
 

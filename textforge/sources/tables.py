@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -36,8 +36,8 @@ def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
 ALIASES = {"company": ("company", "company.display_name"), "location": ("location.display_name", "location"), "created": ("created", "updated"), "url": ("redirect_url", "url", "link"), "description": ("description", "snippet")}
 
 
-def canonical(df: DataFrame) -> DataFrame:
-    """A source's flat columns as the canonical ones: texts never null, salaries as they are."""
+def canonical(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """A source's flat columns as the canonical ones, and those of `extra` that it has: texts never null, salaries as they are."""
 
     def text(name: str):
         found = [blank_null(F.col(f"`{c}`").cast("string")) for c in ALIASES.get(name, (name,)) if c in df.columns]
@@ -45,7 +45,7 @@ def canonical(df: DataFrame) -> DataFrame:
 
     number = lambda n: (F.col(n).cast("double") if n in df.columns else F.lit(None).cast("double")).alias(n)
     names = ("title", "company", "location", "created", "url")
-    return df.select(*map(text, names), number("salary_min"), number("salary_max"), text("description"), text("search_term"))
+    return df.select(*map(text, names), number("salary_min"), number("salary_max"), text("description"), text("search_term"), *[n for n in extra if n in df.columns])
 
 
 def output_name(market: str, stage: str, source: str = "", default_market: str = "be") -> str:
@@ -64,6 +64,18 @@ def unify(sources: dict[str, DataFrame], default_term: str = "") -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def ranked_sources(df: DataFrame, default_term: str = "") -> DataFrame:
+    """A table that holds several sources as unify() would make it of their parts: source_rank by name, a blank term the default.
+
+    The distinct sources are ranked on their own and joined back, so the table is read once, whatever their number; rows
+    without a source come last.
+    """
+    names = df.groupBy("source").agg(F.count("*").alias("_n"))
+    ranks = names.select(F.col("source").alias("_source"), (F.dense_rank().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).alias("source_rank"))
+    joined = df.join(ranks, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return joined.withColumn("search_term", F.coalesce(blank_null(F.col("search_term")), F.lit(default_term)))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, escape='"')
 
