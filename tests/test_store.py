@@ -118,10 +118,8 @@ def test_flat_rows_and_back(spark, tmp_path):
     assert flat.columns[:5] == ["id", "company.?", "company.display_name", "company.more.?", "company.more.a"] and "dotted\\.name" in flat.columns
     assert flat.schema.fieldNames() == replay.flat_schema(df.schema).fieldNames()
     assert replay.restored(flat, df.schema).orderBy("id").collect() == df.orderBy("id").collect()
-    options = {"header": True, "multiLine": True, "escape": '"', "nullValue": "\\N", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
-    flat.write.options(**options, emptyValue='""').csv(str(tmp_path / "flat"))
-    back = spark.read.schema(replay.flat_schema(df.schema)).options(**options, emptyValue="").csv(str(tmp_path / "flat"))
-    assert replay.restored(back, df.schema).orderBy("id").collect() == df.orderBy("id").collect()
+    replay.write_flat(df, str(tmp_path / "flat"))
+    assert replay.read_flat(spark, str(tmp_path / "flat"), df.schema).orderBy("id").collect() == df.orderBy("id").collect()
 
 
 EVENTS = "event_id long, user_id long, ts timestamp"

@@ -137,7 +137,7 @@ SHOWN_CHARS = 400
 
 
 def filtered(df: DataFrame, mode: str, source: str | Column = "") -> DataFrame:
-    """scored() rows as a filtered table has them: thirty columns, lists as text, the description cut.
+    """scored() rows as a filtered table has them: lists as text, salaries where there are any, the description cut.
 
     blocked_language_reason is that of the strict mode whatever the mode, so a broad table tells what it let through.
     """
@@ -145,7 +145,7 @@ def filtered(df: DataFrame, mode: str, source: str | Column = "") -> DataFrame:
     strict = L.blocked_reason(need)
     return df.select(
         "row_id", "market", F.col("plain_title").alias("title"), F.col("plain_company").alias("company"), F.col("plain_place").alias("location"), "created", "url", U.canonical_url(F.col("url")).alias("canonical_url"),
-        F.substring("plain", 1, SHOWN_CHARS).alias("description"), "search_term", "junior_score", F.col("language_fit").alias("language_fit_score"), F.col("track").alias("it_track"),
+        *[c for c in ("salary_min", "salary_max") if c in df.columns], F.substring("plain", 1, SHOWN_CHARS).alias("description"), "search_term", "junior_score", F.col("language_fit").alias("language_fit_score"), F.col("track").alias("it_track"),
         told(F.col("track_signals")).alias("it_track_signals"), F.col("hiring_score").alias("hiring_likelihood_score"), told(F.col("hiring_reasons")).alias("hiring_likelihood_reasons"), "sponsorship_score",
         F.col("company_signal").alias("company_sponsor_signal"), F.col("priority").alias("priority_score"), "is_remote", "work_mode", F.col("level.years").alias("years_required"),
         F.col("level.level").alias("experience_level"), T.normalise(F.col("level.detail")).alias("experience_detail"), F.when(strict != "", strict).otherwise(L.review_reason(need)).alias("blocked_language_reason"),

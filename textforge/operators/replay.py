@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, StringType, StructField, StructType
 
@@ -50,6 +50,22 @@ def flat_schema(schema: StructType) -> StructType:
     return StructType([StructField(n, t) for n, _, t in _leaves(schema, ())])
 
 
+#: A text form that loses nothing: nulls differ from empty texts, blanks, quotes and line ends stay.
+CSV = {
+    "header": True, "multiLine": True, "escape": '"', "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+}
+
+
+def write_flat(df: DataFrame, path: str) -> None:
+    """df as CSV files of flat columns."""
+    flattened(df).write.options(**CSV, emptyValue='""').csv(path)
+
+
+def read_flat(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows that write_flat() was given."""
+    return restored(spark.read.schema(flat_schema(schema)).options(**CSV, emptyValue="").csv(path), schema)
+
+
 def _rebuilt(kind: DataType, path: tuple[str, ...]) -> Column:
     here = F.col(f"`{_name(path)}`")
     if isinstance(kind, StructType):

@@ -38,9 +38,6 @@ def q_split_sink(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-CSV = {"header": True, "multiLine": True, "escape": '"', "nullValue": "\\N", "emptyValue": '""', "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
-
-
 @query(f"WITH {O.scored()} SELECT row_id, title, company, priority FROM scored WHERE {O.passes()}")
 def q_replay(spark, sf):
     """Nested postings kept as flat text, read back, and filtered again: the rows of the first run."""
@@ -50,8 +47,8 @@ def q_replay(spark, sf):
         "description", "created", "search_term", F.create_map(F.lit("status"), F.col("status"), F.lit("none"), F.lit(None).cast("string")).alias("extra"),
     )
     folder = store.shared_dir(spark, "flat")
-    replay.flattened(nested).write.options(**CSV).csv(folder)
-    back = replay.restored(spark.read.schema(replay.flat_schema(nested.schema)).options(**{**CSV, "emptyValue": ""}).csv(folder), nested.schema)
+    replay.write_flat(nested, folder)
+    back = replay.read_flat(spark, folder, nested.schema)
     rows = back.select("row_id", "title", F.col("company.display_name").alias("company"), F.col("location.display_name").alias("location"), "description", "created", "search_term", F.col("extra.status").alias("status"))
     return cascade.keep(scoring.scored(classify.features(rows), FIXTURE), FIXTURE).select("row_id", "title", "company", "priority")
 
