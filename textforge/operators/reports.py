@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textforge.functions import text as T
+
 #: What counts as true in text. Fixed values.
 TRUE_TEXTS = ("true", "1", "yes")
 
@@ -119,11 +121,11 @@ def order_by(name: str) -> list[Column]:
     return out
 
 
-def _precedes(row: Row, name: str) -> Column:
-    """Whether a record stands before the given one in an order."""
+def _precedes(row: Column, name: str) -> Column:
+    """Whether a record stands before the given one, a struct of its keys, in an order."""
     ahead, same = F.lit(False), F.lit(True)
     for key in ORDERS[name]:
-        c, v = _key(key.lstrip("-")), F.lit(row[key.lstrip("-")])
+        c, v = _key(key.lstrip("-")), row[key.lstrip("-")]
         less = (c > v) if key.startswith("-") else (c < v)
         ahead, same = ahead | (same & F.coalesce(less, c.isNotNull() & v.isNull())), same & c.eqNullSafe(v)
     return ahead
@@ -136,12 +138,10 @@ def places(df: DataFrame, names: tuple[str, ...], most: int) -> DataFrame:
     order of the whole table is made.
     """
     keys = sorted({k.lstrip("-") for n in names for k in ORDERS[n]})
-    top = df.orderBy(*order_by(names[0])).limit(most).select(*[_key(k).alias(k) for k in keys]).collect()
-    if not top:
-        return df.select("row_id", *[F.lit(0).cast("long").alias(f"by_{n}") for n in names]).limit(0)
-    counts = df.agg(*[F.count_if(_precedes(r, n)).alias(f"{n}_{i}") for i, r in enumerate(top) for n in names])
-    rows = [F.struct(F.lit(r["row_id"]).alias("row_id"), *[(F.col(f"{n}_{i}") + 1).alias(f"by_{n}") for n in names]) for i, r in enumerate(top)]
-    return counts.select(F.inline(F.array(*rows)))
+    top = df.orderBy(*order_by(names[0])).limit(most).select(*[_key(k).alias(k) for k in keys])
+    picked = T.constant([r.asDict() for r in top.collect()], f"array<{top.schema.simpleString()}>")
+    each = df.select(F.explode(F.transform(picked, lambda r: F.struct(r["row_id"].alias("row_id"), *[_precedes(r, n).cast("int").alias(n) for n in names]))).alias("x")).select("x.*")
+    return each.groupBy("row_id").agg(*[(F.sum(n) + 1).alias(f"by_{n}") for n in names])
 
 
 def link_score(title: Column, company: Column, location: Column, link: Column, label: Column, around: Column, tokens) -> Column:

@@ -69,6 +69,22 @@ def first_valid(df: DataFrame, key: str, urls: Column, cache: DataFrame) -> Data
     return found.groupBy(key).agg(F.min(F.struct("pos", "url", "text")).alias("m")).select(key, F.col("m.url").alias("url"), F.col("m.text").alias("text"))
 
 
+def last_known(rows: DataFrame, known: DataFrame, column: str, order: str, keys: tuple[str, str] = ("canonical_url", "url")) -> DataFrame:
+    """rows with the column of the last known row of the same key: the first of keys that is not blank, else the second."""
+    key = lambda: F.coalesce(F.when(F.trim(keys[0]) != "", F.trim(keys[0])), F.trim(keys[1]))
+    last = known.select(key().alias("_key"), order, column).where("_key <> ''").groupBy("_key").agg(F.max_by(column, order).alias(column))
+    return rows.withColumn("_key", key()).join(last, "_key", "left").drop("_key")
+
+
+def union_distinct(tables: list[DataFrame], key: str, order: str) -> DataFrame:
+    """The rows of the tables, one for each key: that of the first table that has it, there the first by order. An empty key is one too."""
+    tagged = [t.withColumn("_table", F.lit(i)) for i, t in enumerate(tables)]
+    whole = tagged[0]
+    for t in tagged[1:]:
+        whole = whole.unionByName(t, allowMissingColumns=True)
+    return keep_first(whole.withColumn("_key", F.coalesce(key, F.lit(""))), ["_key"], ["_table", order]).drop("_key", "_table")
+
+
 def overlay(base: DataFrame, detail: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """base with each column taken from detail where that is not blank."""
     d = detail.select(key, *[F.col(c).alias(f"_{c}") for c in columns])

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textforge.operators import cascade, classify, replay, scoring
+from textforge.operators import cascade, classify, replay, scoring, state
 from textforge.plans import oracle as O
 from textforge.plans.catalogue import HARD, query, scored
 from textforge.rulepack import FIXTURE
 from textforge.sources import store
-from textforge.sources.tables import postings, read_table
+from textforge.sources.tables import postings, read_csv, read_raw_json, read_table, write_csv
 
 CHECKED = "CASE WHEN page_id % 2 = 0 THEN 'second ' || length(html) ELSE 'first ' || length(html) END"
 
@@ -64,3 +64,44 @@ def q_parity_steps(spark, sf):
     """Where the filter and the list that reports replay part, in the broad mode."""
     broad = FIXTURE.with_mode("broad")
     return cascade.differing(scored(spark, sf), broad, cascade.replay_steps(broad))
+
+
+@query(f"WITH {O.POSTING} SELECT title, company, location, CASE WHEN row_id % 3 = 0 THEN 'updated ' || row_id ELSE 'created ' || row_id END AS created, url, description, search_term FROM posting")
+def q_raw_json(spark, sf):
+    """Postings as an API gives them, nested and with alternative fields, written as JSON and read as canonical rows."""
+    p, n = postings(spark, sf), F.col("row_id")
+    third = n % 3 == 0
+    raw = p.select(
+        "title", F.when(third, F.struct(F.lit(None).cast("string").alias("display_name"), F.col("company").alias("name"))).otherwise(F.struct(F.col("company").alias("display_name"), F.lit("x").alias("name"))).alias("company"),
+        F.struct(F.col("location").alias("display_name")).alias("location"), F.when(third, " ").otherwise(F.col("description")).alias("description"), F.when(third, F.col("description")).otherwise("short").alias("snippet"),
+        F.when(third, "").otherwise(F.concat(F.lit("created "), n.cast("string"))).alias("created"), F.concat(F.lit("updated "), n.cast("string")).alias("updated"),
+        F.when(n % 3 == 1, F.col("url")).alias("redirect_url"), F.when(n % 3 == 2, F.col("url")).alias("url"), F.col("url").alias("link"), "search_term",
+    )
+    folder = store.shared_dir(spark, "raw")
+    raw.write.json(folder)
+    return read_raw_json(spark, folder).select("title", "company", "location", "created", "url", "description", "search_term")
+
+
+@query("SELECT doc_id::VARCHAR AS title, text AS description, source AS search_term FROM documents")
+def q_csv_sink(spark, sf):
+    """Whole texts through CSV and back."""
+    d = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("title"), F.col("text").alias("description"), F.col("source").alias("search_term"))
+    folder = store.shared_dir(spark, "csv")
+    write_csv(d, folder)
+    return read_csv(spark, folder, "title string, description string, search_term string")
+
+
+@query("WITH k AS (SELECT max_by(length(html), page_id) AS n, split_part(split_part(url, '?', 1), '#', 1) AS u FROM pages WHERE page_id % 2 = 0 GROUP BY u) SELECT page_id, coalesce(n, -1)::INT AS n FROM pages LEFT JOIN k ON split_part(split_part(url, '?', 1), '#', 1) = u")
+def q_description_lookup(spark, sf):
+    """The last known text of each page's address without query and fragment."""
+    bare = F.split(F.split("url", "[?]")[0], "#")[0]
+    p = read_table(spark, sf, "pages").select("page_id", "url", F.when(F.col("page_id") % 5 > 0, bare).otherwise(" ").alias("canonical_url"), bare.alias("bare"), F.length("html").alias("n"))
+    p = p.withColumn("url", F.when(F.col("page_id") % 5 > 0, F.col("url")).otherwise(F.col("bare")))
+    return state.last_known(p.drop("n"), p.where("page_id % 2 = 0"), "n", "page_id").select("page_id", F.coalesce("n", F.lit(-1)).alias("n"))
+
+
+@query("WITH u AS (SELECT *, 0 AS t FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT *, 1 FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT *, 2 FROM documents) SELECT doc_id, source FROM u QUALIFY row_number() OVER (PARTITION BY text ORDER BY t, doc_id) = 1")
+def q_union_distinct(spark, sf):
+    """Three overlapping tables as one, a row for each text, the first table's before the others'."""
+    d = read_table(spark, sf, "documents")
+    return state.union_distinct([d.where("doc_id % 3 = 0"), d.where("doc_id % 3 = 1"), d], "text", "doc_id").select("doc_id", "source")

@@ -77,7 +77,8 @@ def ranked_sources(df: DataFrame, default_term: str = "") -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    """A CSV file with header; quotes, line breaks and blanks at the ends of texts stay."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
