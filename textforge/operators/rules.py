@@ -125,9 +125,12 @@ class Rules:
         Markup and broken encodings are taken out first. A market without a pack leaves pack null, and its rows fail the
         cascade's first step.
         """
-        plain = {"plain_title": "title", "plain": "description", "plain_place": "location", "plain_company": "company"}
-        df = computed(df, {n: T.rule_plain(F.col(c)) for n, c in plain.items()})
-        df = computed(df, {n: T.normalise(F.col(c)) for n, c in zip(("title_n", "desc_n", "loc_n", "company_n"), plain, strict=True)})
+        plain = ("plain_title", "plain", "plain_place", "plain_company")
+        normal = ("title_n", "desc_n", "loc_n", "company_n")
+        # the four texts go through one expression, so the plan holds it once
+        df = computed(df, {"_plain": F.transform(F.array("title", "description", "location", "company"), T.rule_plain)})
+        df = computed(df, {"_normal": F.transform("_plain", T.normalise)})
+        df = df.withColumns({n: F.col("_plain")[i] for i, n in enumerate(plain)} | {n: F.col("_normal")[i] for i, n in enumerate(normal)}).drop("_plain", "_normal")
         df = computed(df, {"text_n": F.concat_ws(" ", T.blank_null(F.col("title_n")), T.blank_null(F.col("desc_n")))})
         look = phrases.found(self.book, self.context, F.col("loc_n"), F.col("title_n"), F.col("desc_n"))
         firms = phrases.parts(self.book, F.col("company_n"))
