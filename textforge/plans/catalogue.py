@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textforge.functions import text as T
 from textforge.functions import urls as U
 from textforge.operators import cascade, classify, dedup, extract, language, queue, roles, scoring, state
+from textforge.plans import market_oracle as M
 from textforge.plans import oracle as O
 from textforge.rulepack import FIXTURE
 from textforge.sources.tables import postings, ranked_sources, read_table
@@ -187,7 +188,7 @@ def q_track(spark, sf):
     return scored(spark, sf).select("row_id", "experience_level", "track", joined("track_signals").alias("signals"))
 
 
-@query()
+@query(f"WITH leveled AS (SELECT doc_id, {O.norm('text')} AS text_n, ['nl', 'de'] AS blocked_codes FROM documents), {M.spoken()} SELECT doc_id, array_to_string(p_required, '|') AS required, array_to_string(p_optional, '|') AS optional, array_to_string(choice, '|') AS alternative, array_to_string(evidence, '|') AS evidence FROM spoken")
 def q_clause_language(spark, sf):
     found = language.signals(T.normalise(F.col("text")), language.LanguageRules())
     return docs(spark, sf).withColumn("l", found).select("doc_id", *[joined(f"l.{k}").alias(k) for k in ("required", "optional", "alternative", "evidence")])
