@@ -71,7 +71,7 @@ def test_one_pass_finds_what_single_searches_find():
 
 def test_parts_of_a_row():
     book = phrases.Book.of([("word", ["rome", "turner", "old turner", "mill"]), ("part", [" old ", "er "])])
-    look = lambda *row: {k: [book.entries[i][1] for i in v] for k, v in phrases.looked_up(book, phrases.Context(), *row).items()}
+    look = lambda *row: {k: [book.entries[i][1] for i in v] for k, v in phrases.Reader(book, phrases.Context()).row(*row).items()}
     one = look("rome", "old turner", "mill in rome")
     assert one["loc"] == ["rome"] and one["title"] == ["turner", "old turner"] and one["desc"] == ["rome", "mill"] and one["work"] == ["rome", "turner", "old turner", "mill", "er "]
     assert one["place"] == ["rome", "turner", "old turner", " old "] and " old " not in one["title"]  # at its beginning there is no blank

@@ -86,9 +86,11 @@ def automaton(book: Book):
 
 def occurrences(book: Book, text: str) -> Iterator[tuple[int, int, int]]:
     """(start, end, id) of every phrase in a normalised text, overlapping ones too."""
-    if not book.entries:
-        return
-    for last, (size, entries) in automaton(book).iter(text):
+    return _occurrences(automaton(book), text) if book.entries else iter(())
+
+
+def _occurrences(machine, text: str) -> Iterator[tuple[int, int, int]]:
+    for last, (size, entries) in machine.iter(text):
         start, end = last + 1 - size, last + 1
         whole: dict[str, bool] = {"any": True}
         for i, way in entries:
@@ -129,37 +131,46 @@ def without(text: str, phrases: Sequence[str]) -> str:
     return " ".join(text.split())
 
 
-def looked_up(book: Book, context: Context, loc: str, title: str, desc: str) -> dict[str, list[int]]:
-    """Ids by WHERE, and bare, quiet, named and owner (see Context), of one row's normalised texts."""
-    parts, spans, at = (loc, title, desc, loc), [], 0
-    for x in parts:
-        spans.append((at, at + len(x)))
-        at += len(x) + (1 if x else 0)
-    whole = " ".join(x for x in parts if x)
-    (_, loc_end), (title_at, title_end), (desc_at, desc_end), _ = spans
-    last = desc_end if desc else title_end if title else loc_end
-    limits = {"loc": (0, loc_end), "place": (0, title_end if title else loc_end), "title": (title_at, title_end), "desc": (desc_at, desc_end), "text": (title_at, last), "every": (0, last), "work": (title_at, len(whole))}
-    found: dict[str, set[int]] = {k: set() for k in EVERY}
-    roles, bare = frozenset(context.roles), frozenset(context.bare)
-    for start, end, i in occurrences(book, whole):
-        for k, (low, high) in limits.items():
-            if low <= start and end <= high:
-                found[k].add(i)
-        if i in roles and i not in found["named"] and desc_at <= start and end <= desc_end and _open(whole, start, end, "low") and names_role(desc, start - desc_at, end - desc_at, context):
-            found["named"].add(i)
-    text = " ".join(x for x in (title, desc) if x)
-    less = without(text, context.exceptions)
-    found["bare"] = found["text"] & bare if less == text else {i for _, _, i in occurrences(book, less) if i in bare}
-    still = text
-    for p in context.noise:
-        still = re.sub(p, " ", still)
-    quiet = frozenset(context.quiet)
-    found["quiet"] = found["text"] & quiet if still == text else {i for _, _, i in occurrences(book, " ".join(still.split())) if i in quiet}
-    if context.belongs:
-        employers = frozenset(context.employers)
-        for m in re.finditer(context.belongs, desc):
-            found["owner"] |= {i for _, _, i in occurrences(book, desc[m.end() : m.end() + context.reach]) if i in employers}
-    return {k: sorted(v) for k, v in found.items()}
+class Reader:
+    """Looks rows up in a book; made once for each batch of them."""
+
+    def __init__(self, book: Book, context: Context):
+        self.context, self.machine = context, automaton(book) if book.entries else None
+        self.bare, self.quiet, self.roles, self.employers = map(frozenset, (context.bare, context.quiet, context.roles, context.employers))
+
+    def _all(self, text: str) -> Iterator[tuple[int, int, int]]:
+        return _occurrences(self.machine, text) if self.machine is not None and text else iter(())
+
+    def _ids(self, text: str, among: frozenset[int]) -> set[int]:
+        return {i for _, _, i in self._all(text) if i in among}
+
+    def row(self, loc: str, title: str, desc: str) -> dict[str, list[int]]:
+        """Ids by WHERE, and bare, quiet, named and owner (see Context), of one row's normalised texts."""
+        context, parts, spans, at = self.context, (loc, title, desc, loc), [], 0
+        for x in parts:
+            spans.append((at, at + len(x)))
+            at += len(x) + (1 if x else 0)
+        whole = " ".join(x for x in parts if x)
+        (_, loc_end), (title_at, title_end), (desc_at, desc_end), _ = spans
+        last = desc_end if desc else title_end if title else loc_end
+        limits = {"loc": (0, loc_end), "place": (0, title_end if title else loc_end), "title": (title_at, title_end), "desc": (desc_at, desc_end), "text": (title_at, last), "every": (0, last), "work": (title_at, len(whole))}
+        found: dict[str, set[int]] = {k: set() for k in EVERY}
+        for start, end, i in self._all(whole):
+            for k, (low, high) in limits.items():
+                if low <= start and end <= high:
+                    found[k].add(i)
+            if i in self.roles and i not in found["named"] and desc_at <= start and end <= desc_end and _open(whole, start, end, "low") and names_role(desc, start - desc_at, end - desc_at, context):
+                found["named"].add(i)
+        text = " ".join(x for x in (title, desc) if x)
+        less, still = without(text, context.exceptions), text
+        found["bare"] = found["text"] & self.bare if less == text else self._ids(less, self.bare)
+        for p in context.noise:
+            still = re.sub(p, " ", still)
+        found["quiet"] = found["text"] & self.quiet if still == text else self._ids(" ".join(still.split()), self.quiet)
+        if context.belongs:
+            for m in re.finditer(context.belongs, desc):
+                found["owner"] |= self._ids(desc[m.end() : m.end() + context.reach], self.employers)
+        return {k: sorted(v) for k, v in found.items()}
 
 
 def names_role(desc: str, start: int, end: int, context: Context) -> bool:
@@ -173,7 +184,8 @@ def found(book: Book, context: Context, loc: Column, title: Column, desc: Column
     """Struct of arrays of ids: WHERE, bare, quiet, named, owner. The texts are normalised; null counts as empty."""
 
     def look(locs: pd.Series, titles: pd.Series, descs: pd.Series) -> pd.DataFrame:
-        rows = [looked_up(book, context, a or "", b or "", c or "") for a, b, c in zip(locs, titles, descs, strict=True)]
+        read = Reader(book, context).row
+        rows = [read(a or "", b or "", c or "") for a, b, c in zip(locs, titles, descs, strict=True)]
         return pd.DataFrame({k: [r[k] for r in rows] for k in EVERY})
 
     return F.pandas_udf(look, ", ".join(f"{k} array<int>" for k in EVERY))(loc, title, desc)
@@ -183,6 +195,8 @@ def parts(book: Book, *texts: Column) -> Column:
     """Array of ids for each of the texts, which are matched as they are; null counts as empty."""
 
     def look(*columns: pd.Series) -> pd.Series:
-        return pd.Series([[sorted({i for _, _, i in occurrences(book, t or "")}) for t in row] for row in zip(*columns, strict=True)], dtype=object)
+        machine = automaton(book) if book.entries else None
+        ids = lambda t: sorted({i for _, _, i in _occurrences(machine, t)}) if machine is not None and t else []
+        return pd.Series([[ids(t) for t in row] for row in zip(*columns, strict=True)], dtype=object)
 
     return F.pandas_udf(look, "array<array<int>>")(*texts)
