@@ -69,3 +69,16 @@ def test_stock_phrases_make_no_region(spark):
     assert jaccard_join.regions(held, 85, len(sets)).count() == 0
     got = jaccard_join.jaccard_components(df)
     assert all(r["component_id"] == r["doc_id"] for r in got.collect())
+
+
+def test_a_cell_with_one_point_at_home_ends():
+    """A pivot alone in its cell, with many copies of others in its window and one point near it that it is not linked with."""
+    rng, new = random.Random(1), iter(range(10**6, 10**7))
+    fresh = lambda n: [next(new) for _ in range(n)]
+    near = lambda s: [*rng.sample(s, len(s) - 10), *fresh(12)]
+    other = list(range(100))
+    alone = [*other[:80], *fresh(20)]
+    rows = {0: alone, 5: other, 10: near(alone)} | {i: near(other) for i in range(2, 60) if i % 5}
+    sets = [rows.get(i) or fresh(100) for i in range(jaccard_join.MOST)]
+    found = jaccard_join.link_region([np.array(sorted(s), dtype=np.uint64) for s in sets], 85)
+    assert dict(enumerate(found)) == brute_components(dict(enumerate(map(frozenset, sets))), 85)

@@ -36,8 +36,8 @@ from textforge.llm.fingerprint import _LETTER, _powers, blocks, mix
 _RNG = np.random.default_rng(6)
 _PLACES = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.uint64(0x6A09E667F3BCC909)
-#: Points and shingles of a region that one task joins, pivots of a split, and points that are compared directly.
-MOST, WEIGHT, PIVOTS, LEAF = 128, 1 << 19, 24, 24
+#: Points and shingles of a region that one task joins, and pivots of a split.
+MOST, WEIGHT, PIVOTS = 128, 1 << 19, 24
 #: Distance from its pivot up to which a point is at home in a cell. A region is compared block by block where a split
 #: would make more than COPIES rows of each point, and after DEPTH splits.
 REACH, COPIES, DEPTH = 0.5, 2, 6
@@ -198,7 +198,7 @@ def link_region(sets: list[np.ndarray], percent: int) -> list[int]:
         return placed
 
     def split(own: np.ndarray, home: np.ndarray) -> None:
-        if len(own) <= LEAF:
+        if home.sum() <= PIVOTS:  # all at home are pivots: another split would be this one again
             compare(own, own[home])
             return
         pivots = own[home][:: max(1, int(home.sum()) // PIVOTS)][:PIVOTS]
