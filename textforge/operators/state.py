@@ -62,10 +62,10 @@ def drop_either_key(df: DataFrame, gone: DataFrame, keys: tuple[str, str]) -> Da
     return out
 
 
-def first_valid(df: DataFrame, key: str, urls: Column, cache: DataFrame) -> DataFrame:
-    """key, url, text: the first of each row's candidate urls that the cache (url, text) has a text for."""
+def first_valid(df: DataFrame, key: str, urls: Column, cache: DataFrame, order: str) -> DataFrame:
+    """key, url, text: the first of each row's candidate urls that the cache (url, text) has a text for; of several texts the last by order."""
     tries = df.select(key, F.posexplode(urls).alias("pos", "url"))
-    found = tries.join(cache.where("text <> ''"), "url")
+    found = tries.join(keep_first(cache.where("text <> ''"), ["url"], [F.desc_nulls_last(order)]).select("url", "text"), "url")
     return found.groupBy(key).agg(F.min(F.struct("pos", "url", "text")).alias("m")).select(key, F.col("m.url").alias("url"), F.col("m.text").alias("text"))
 
 
