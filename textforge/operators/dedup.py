@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textforge.functions import text as T
-from textforge.sources.store import shared_dir
+from textforge.operators import blocks
 
 #: Words without weight in a canonical key. Fixed values.
 NOISE = ("m/f/x", "m/f", "m w d", "junior", "senior", "medior")
@@ -91,48 +95,132 @@ def _rare_first(keys: DataFrame, column: str, item: str) -> DataFrame:
     return keys.drop(column).join(ordered.select("first", F.col("o")[item].alias(column)), "first")
 
 
+#: Keys of a block of names, and the characters that names in simple form have.
+NAMES, CHARACTERS = 4096, " abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _name_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (place, size, first, whole) in the order of the first three as blocks of one place: counts of characters by key."""
+    code = np.zeros(256, np.uint8)
+    code[np.frombuffer(CHARACTERS.encode(), np.uint8)] = np.arange(len(CHARACTERS))
+    part, number = TaskContext.get().partitionId(), itertools.count()
+    rows: list[tuple[int, int, bytes]] = []
+    here = None
+
+    def block() -> pa.RecordBatch:
+        sizes = np.array([n for n, _, _ in rows], np.int32)
+        flat = code[np.frombuffer(b"".join(w for _, _, w in rows), np.uint8)].astype(np.int64)
+        bags = np.bincount(np.repeat(np.arange(len(rows)), sizes) * len(CHARACTERS) + flat, minlength=len(rows) * len(CHARACTERS)).astype(np.int32)
+        firsts = np.array([f for _, f, _ in rows], np.int64)
+        row = ([part << 32 | next(number)], [here], [int(sizes[0])], [int(sizes[-1])], [firsts.tobytes()], [sizes.tobytes()], [bags.tobytes()])
+        types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["id", "place", "lo", "hi", "firsts", "sizes", "bags"])
+
+    for batch in batches:
+        for place, size, first, whole in zip(*(batch.column(c).to_pylist() for c in ("place", "size", "first", "whole")), strict=True):
+            if rows and (place != here or len(rows) >= NAMES):
+                yield block()
+            here = place
+            rows.append((size, first, whole.encode()))
+    if rows:
+        yield block()
+
+
+def _near_bags(miss: float):
+    """Pairs of keys of two blocks whose characters differ in at most that share."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                read = lambda name, kind: np.frombuffer(batch.column(name)[r].as_buffer(), kind)  # noqa: E731, B023
+                (fa, na, ba), (fb, nb, bb) = ((read(f"firsts{k}", np.int64), read(f"sizes{k}", np.int32), read(f"bags{k}", np.int32).reshape(-1, len(CHARACTERS))) for k in "ab")
+                same, found = batch.column("ida")[r] == batch.column("idb")[r], []
+                low = np.searchsorted(nb, na * (1 - miss) / (1 + miss) - 1e-6)
+                high = np.searchsorted(nb, na * (1 + miss) / (1 - miss) + 1e-6, "right")
+                for i in range(len(fa)):
+                    lo = max(low[i], i + 1) if same else low[i]
+                    if lo < high[i]:
+                        apart = np.abs(bb[lo : high[i]] - ba[i]).sum(axis=1)
+                        hit = lo + np.flatnonzero(apart <= miss * (nb[lo : high[i]] + na[i]) + 1e-9)
+                        found.append((np.full(len(hit), fa[i]), fb[hit]))
+                    if found and (i == len(fa) - 1 or sum(len(x) for x, _ in found[-64:]) > 1 << 16):
+                        one, two = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+                        found = []
+
+    return near
+
+
+def _by_bags(keys: DataFrame, places: DataFrame, miss: float) -> DataFrame:
+    """a, b: keys (first, place, whole, size) whose characters are near each other's and whose places are among the pairs pa, pb."""
+    blocks.bounded(keys.sparkSession)
+    packed = keys.where("size > 0").select("place", "size", F.col("first").cast("long").alias("first"), "whole").repartitionByRange("place", "size").sortWithinPartitions("place", "size")
+    made = blocks.kept(packed.mapInArrow(_name_blocks, "id long, place string, lo int, hi int, firsts binary, sizes binary, bags binary"), "names")
+    one, two = (made.select(*[F.col(c).alias(f"{c}{k}") for c in made.columns]) for k in ("a", "b"))
+    ratio = (1 + miss) / (1 - miss) + 1e-6
+    met = one.join(places, F.col("placea") == F.col("pa")).join(two, F.col("placeb") == F.col("pb")).where("ida <= idb").where((F.col("loa") <= ratio * F.col("hib")) & (F.col("lob") <= ratio * F.col("hia")))
+    # one pair of blocks is much work, so each goes to a partition by itself as far as there are any
+    dealt = met.select("ida", "idb", *[f"{c}{k}" for k in ("a", "b") for c in ("firsts", "sizes", "bags")]).repartition("ida", "idb")
+    return dealt.mapInArrow(_near_bags(miss), "a long, b long")
+
+
+def _by_tokens(keys: DataFrame, miss: float) -> DataFrame:
+    """a, b: keys (first, tokens, size) of which one has a first rare token of the other; see fuzzy_pairs()."""
+    words = _rare_first(keys.select("first", "size", "tokens"), "tokens", "token")
+    room = 2 * miss / (1 + miss)
+    before = lambda i: F.aggregate(F.slice("tokens", F.lit(1), i), F.lit(0), lambda n, t: n + F.length(t))
+    probes = words.select("first", F.explode(F.filter(F.col("tokens"), lambda t, i: before(i) <= room * F.col("size") + 1e-9)).alias("token"))
+    every = words.select(F.col("first").alias("other"), F.explode("tokens").alias("token"))
+    return probes.join(every, "token").where("first <> other").select(F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"))
+
+
+def _sorted_tokens(keys: DataFrame, column: str) -> DataFrame:
+    """keys with tokens, whole (the sorted tokens as one text) and size of a column in simple form."""
+    tokens = F.sort_array(F.array_distinct(F.filter(F.split(column, " "), lambda t: t != "")))
+    return keys.withColumn("tokens", tokens).withColumn("whole", F.array_join("tokens", " ")).withColumn("size", F.length("whole"))
+
+
+def _ratio(a: str, b: str) -> Column:
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return F.pandas_udf(ratio, "double")(a, b)
+
+
+def _places(keys: DataFrame, place: float) -> DataFrame:
+    """pa, pb, in both orders: places of keys that are alike: equal, either empty, or near each other. No place is compared twice."""
+    every = blocks.kept(keys.select("place").distinct().withColumn("first", F.monotonically_increasing_id()), "places")
+    alone = _sorted_tokens(every, "place")
+    whole = every.agg(F.lit("").alias("pa")).crossJoin(every.agg(F.lit("").alias("pb")))
+    near = _by_bags(alone.withColumn("place", F.lit("")), whole, 1 - place / 100).unionAll(_by_tokens(alone, 1 - place / 100)).distinct()
+    one, two = (every.select(F.col("first").alias(k), F.col("place").alias(f"p{k}")) for k in ("a", "b"))
+    alike = near.join(one, "a").join(two, "b").where("pa <> '' AND pb <> ''").where(_ratio("pa", "pb") >= place).select("pa", "pb")
+    equal = every.select(F.col("place").alias("pa"), F.col("place").alias("pb"))
+    empty = every.where("place <> ''").select(F.lit("").alias("pa"), F.col("place").alias("pb"))
+    return equal.unionAll(alike).unionAll(alike.select(F.col("pb").alias("pa"), F.col("pa").alias("pb"))).unionAll(empty).unionAll(empty.select("pb", "pa").toDF("pa", "pb"))
+
+
 def fuzzy_pairs(df: DataFrame, threshold: float = 92.0, place: float = 90.0) -> DataFrame:
     """a, b: every two keys of df (first, name, place) that match, a the lower; candidates come from two bounds on the ratio.
 
     * If the sorted tokens of both sides are near each other by insertions and deletions, so are their bags of
-      characters. With each character numbered by its occurrence, two bags share one of their first rare items.
+      characters. Keys of one place are packed into blocks, and bags of blocks whose places are alike are compared in memory.
     * If the common tokens alone are near one side, or all of it, the tokens that the other lacks weigh little, so the
       other has one of this side's first rare tokens.
     """
     miss = 1 - threshold / 100
-    tokens = F.array_sort(F.array_distinct(F.filter(F.split("name", " "), lambda t: t != "")))
-    keys = df.withColumn("tokens", tokens).withColumn("whole", F.array_join("tokens", " ")).withColumn("size", F.length("whole"))
-    letters = F.split("whole", "")
-    numbered = F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.concat(F.element_at("ch", i), F.size(F.filter(F.slice("ch", F.lit(1), i), lambda c: c == F.element_at("ch", i))).cast("string")))
-    bags = _rare_first(keys.where("size > 0").select("first", "size", letters.alias("ch")).select("first", "size", numbered.alias("bag")), "bag", "item")
-    least = F.ceil(F.col("size") * (1 - miss) / (1 + miss) - 1e-9)
-    heads = bags.select("first", "size", F.explode(F.slice("bag", F.lit(1), (F.col("size") - least + 1).cast("int"))).alias("item"))
-    one, two = (heads.select(F.col("first").alias(k), F.col("size").alias(f"s{k}"), "item") for k in ("a", "b"))
-    near = F.abs(F.col("sa") - F.col("sb")) <= miss * (F.col("sa") + F.col("sb")) + 1e-9
-    by_bag = one.join(two, "item").where((F.col("a") < F.col("b")) & near).select("a", "b")
-    words = _rare_first(keys.select("first", "size", "tokens"), "tokens", "token")
-    room = 2 * miss / (1 + miss)
-    before = lambda i: F.aggregate(F.slice("tokens", F.lit(1), i), F.lit(0), lambda n, t: n + F.length(t))
-    probes = words.select("first", F.explode(F.filter(F.col("tokens"), lambda t, i: before(i) <= room * F.col("size") + 1e-9)).alias("token"))
-    every = words.select(F.col("first").alias("other"), F.explode("tokens").alias("token"))
-    by_token = probes.join(every, "token").where("first <> other").select(F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"))
-    @F.pandas_udf("boolean")
-    def alike(na: pd.Series, pa: pd.Series, nb: pd.Series, pb: pd.Series) -> pd.Series:
-        """The places first, as they are the cheaper test."""
-        there = lambda p, q: not p or not q or p == q or token_set_ratio(p, q) >= place
-        return pd.Series([there(p, q) and token_set_ratio(x, y) >= threshold for x, p, y, q in zip(na, pa, nb, pb, strict=True)], dtype=bool)
-
+    keys = _sorted_tokens(df, "name")
+    places = blocks.kept(_places(keys, place), "alike")
     named = [keys.select(F.col("first").alias(k), F.col("name").alias(f"n{k}"), F.col("place").alias(f"p{k}")) for k in ("a", "b")]
-    pairs = by_bag.unionAll(by_token).distinct().join(named[0], "a").join(named[1], "b")
-    return pairs.where(alike("na", "pa", "nb", "pb")).select("a", "b")
+    told = lambda pairs: pairs.join(named[0], "a").join(named[1], "b")
+    pairs = _by_bags(keys, places, miss).unionAll(told(_by_tokens(keys, miss)).join(places, ["pa", "pb"], "left_semi").select("a", "b")).distinct()
+    return told(pairs).where(_ratio("na", "nb") >= threshold).select("a", "b")
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df in the checkpoint folder that the cluster names in spark.checkpoint.dir; without one a cluster is refused."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
+    """df below the folder that the cluster names in spark.checkpoint.dir; without one a cluster is refused."""
+    return blocks.kept(df, "cut")
 
 
 def first_matches(pairs: DataFrame) -> DataFrame:
