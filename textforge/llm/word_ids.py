@@ -2,11 +2,12 @@
 
 The file's splitter has no pattern that looks across white space, its normaliser joins nothing across a space, and
 its two added tokens hold none, so a text's ids are those of its space-separated words in order. Each worker asks the
-library, with its default settings, once for each word it has not met. Tests hold this against whole texts.
+library, with its default settings, once for each word it has not met, for words of letters many at once. Tests hold this against whole texts.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 from array import array
 from collections.abc import Iterable, Iterator
@@ -18,6 +19,8 @@ HELD, ENTRY = 80 << 20, 160
 #: Characters of texts that are split at once.
 BLOCK = 1 << 19
 _MARKS = ".,;:!?"
+#: What the tokens that end a word end in. Words of letters that are asked for as one text, and such texts at once.
+SUFFIX, TOGETHER, ASKED = "</w>", 64, 64
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -32,6 +35,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: For each id, whether it ends a word.
+        self.last = bytearray(max(vocabulary.values(), default=0) + 1)
+        for token, i in vocabulary.items():
+            self.last[i] = token.endswith(SUFFIX)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
@@ -73,13 +81,26 @@ class WordEncoder:
         new = met.difference(known)
         # letters before one mark are split from it by the file's pattern; beyond Latin-1, lower case may end in a mark
         marked = [w for w in new if w[-1:] in _MARKS and w[:-1].isalpha() and _is_latin(w)]
-        asked = list(new.difference(marked).union([w[:-1] for w in marked], _MARKS).difference(known))
+        asked = new.difference(marked).union([w[:-1] for w in marked], _MARKS).difference(known)
+        letters = [w for w in asked if w.isalpha() and _is_latin(w)]
+        # such a word is one match of the file's pattern, so its last id, and no other, is one that ends a word
+        for at in range(0, len(letters), ASKED * TOGETHER):
+            self._learn_letters(letters[at : at + ASKED * TOGETHER])
+        asked = list(asked.difference(known))
         for w, e in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
             known[w] = array("I", e.ids).tobytes()
         for w in marked:
             known[w] = known[w[:-1]] + known[w[-1]]
-        self.held += sum(len(w) + len(known[w]) + ENTRY for w in met)
-
+        self.held += sum(map(len, met)) + sum(map(len, map(known.__getitem__, met))) + ENTRY * len(met)
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Learns words of Latin letters, TOGETHER in one text; if their ends are not found, none is learnt."""
+        texts = [" ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        ids = array("I", itertools.chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
+        ends = [4 * at for at in itertools.compress(range(1, len(ids) + 1), map(self.last.__getitem__, ids))]
+        if len(ends) == len(words):
+            raw = ids.tobytes()
+            self.known.update(zip(words, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
 def _is_latin(text: str) -> bool:
     if text.isascii():
