@@ -77,7 +77,8 @@ class WordEncoder:
             self.known, self.older, self.held = {}, self.known, 0
         known = self.known
         met = words.difference(known)
-        known.update((w, self.older[w]) for w in met.intersection(self.older))
+        older = self.older
+        known.update((w, older[w]) for w in met if w in older)  # an intersection would go through all of older for each block
         new = met.difference(known)
         # letters before one mark are split from it by the file's pattern; beyond Latin-1, lower case may end in a mark
         marked = [w for w in new if w[-1:] in _MARKS and w[:-1].isalpha() and _is_latin(w)]
